@@ -1,0 +1,5 @@
+"""Batch only: there are no streaming operators.
+
+The row-wise operators (descriptor projections, ``assign_words``, ``score_rows``,
+``libsvm_lines``) keep no state, so they also accept a streaming DataFrame.
+"""
