@@ -15,9 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Rows x words handled at a time, so that the work arrays stay in the CPU cache.
-BLOCK_CELLS = 32_768
-# From this dimension on the matrix product pays for itself.
-SCREEN_MIN_DIM = 24
+BLOCK_CELLS = 131_072
 
 
 def to_double(features: Column | str) -> Column:
@@ -52,15 +50,12 @@ def squared_distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest_direct(points, centroids):
-    return squared_distances(points, centroids).argmin(axis=1)
-
-
-def _nearest_screened(points, centroids, norms):
-    """Same answer through one matrix product.
+def _nearest_block(points: np.ndarray, centroids: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Nearest centroid by one matrix product, with the direct sum where it could err.
 
     |c|^2 - 2 x.c ranks the words up to rounding. Where a second word comes within the
-    rounding bound of the best one, that row is decided by the direct sum.
+    rounding bound of the best one, or a value is not a number, the direct sum decides,
+    so the answer is always that of the direct sum.
     """
     score = points @ (-2.0 * centroids.T)
     score += norms
@@ -70,25 +65,25 @@ def _nearest_screened(points, centroids, norms):
     slack = 16 * (centroids.shape[1] + 8) * np.finfo(float).eps * (point_norms + norms.max())
     unclear = (score <= (best + slack)[:, None]).sum(axis=1) != 1
     if unclear.any():
-        word[unclear] = _nearest_direct(points[unclear], centroids)
+        word[unclear] = squared_distances(points[unclear], centroids).argmin(axis=1)
     return word
 
 
 def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest word of each point (ties: lowest word) and its squared distance."""
-    block = max(1, BLOCK_CELLS // len(centroids))
     words = np.empty(len(points), dtype=np.int32)
+    distance = np.empty(len(points))
     norms = np.square(centroids).sum(axis=1)
+    block = max(1, BLOCK_CELLS // max(centroids.shape))
     for start in range(0, len(points), block):
-        part = points[start : start + block]
-        if centroids.shape[1] < SCREEN_MIN_DIM:
-            words[start : start + block] = _nearest_direct(part, centroids)
-        else:
-            words[start : start + block] = _nearest_screened(part, centroids, norms)
-    distance = np.zeros(len(points))
-    chosen = centroids[words]
-    for j in range(centroids.shape[1]):
-        distance += np.square(points[:, j] - chosen[:, j])
+        part = slice(start, start + block)
+        words[part] = _nearest_block(points[part], centroids, norms)
+        # Transposed, so that each dimension is added for all rows at once, in order.
+        steps = np.ascontiguousarray((points[part] - centroids[words[part]]).T)
+        np.square(steps, out=steps)
+        for j in range(1, len(steps)):
+            steps[0] += steps[j]
+        distance[part] = steps[0]
     return words, distance
 
 

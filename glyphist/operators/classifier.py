@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +118,19 @@ def train_linear_svc(
 def score_rows(rows: DataFrame, model: LinearModel) -> DataFrame:
     """``(id, class, margin, predicted, actual)`` for every row and class.
 
-    ``predicted`` is 1.0 where the margin exceeds the threshold of the class.
+    ``predicted`` is 1.0 where the margin exceeds the threshold of the class. Beyond
+    CLASSES_PER_JOB classes the rows are read once per block of classes, which bounds
+    the size of an Arrow batch.
     """
-    scored = rows.withColumn("_margins", class_margins(model.weights)(F.col("features")))
-    names = F.array(*[F.lit(float(c)) for c in model.classes])
-    limits = F.array(*[F.lit(float(t)) for t in model.thresholds])
+    n = len(model.classes)
+    blocks = [_score_block(rows, model, slice(i, i + CLASSES_PER_JOB)) for i in range(0, n, CLASSES_PER_JOB)]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _score_block(rows: DataFrame, model: LinearModel, block: slice) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in model.classes[block].tolist()])
+    limits = F.array(*[F.lit(t) for t in model.thresholds[block].tolist()])
+    scored = rows.withColumn("_margins", class_margins(model.weights[block])(F.col("features")))
     long = scored.select("id", "label", F.posexplode("_margins").alias("_c", "margin"))
     return long.select(
         "id",

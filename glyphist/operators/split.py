@@ -63,12 +63,20 @@ def prefix_split(entities: DataFrame, key: str, fraction: float) -> PrefixSplit:
     return PrefixSplit(n, n_train, last, key_type)
 
 
-def hash_is_train(key: Column | str, fraction: float) -> Column:
+@dataclass(frozen=True)
+class HashSplit:
     """Split by a hash of the key: no sort, no count, stable when entities are added.
 
     MD5 makes the choice reproducible in other engines; 32 of its bits give the place
     of a key in [0, 1).
     """
-    column = F.col(key) if isinstance(key, str) else key
-    head = F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("bigint")
-    return head < F.lit(math.floor(fraction * 2**32))
+
+    fraction: float
+
+    def is_train(self, key: Column | str) -> Column:
+        column = F.col(key) if isinstance(key, str) else key
+        place = F.conv(F.substring(F.md5(column.cast("string")), 1, 8), 16, 10).cast("bigint")
+        return place < F.lit(math.floor(self.fraction * 2**32))
+
+    def apply(self, df: DataFrame, key: str) -> DataFrame:
+        return df.withColumn("split", split_name(self.is_train(key)))

@@ -18,10 +18,10 @@ from glyphist.operators.codebook import assign_words, codebook_of, train_codeboo
 from glyphist.operators.evaluate import class_report, confusion, label_areas
 from glyphist.operators.histogram import histogram_dense, word_counts
 from glyphist.operators.labels import label_entities, label_map
-from glyphist.operators.split import PrefixSplit, prefix_split
+from glyphist.operators.split import HashSplit, PrefixSplit, prefix_split
 from glyphist.operators.training import training_rows
 from glyphist.schema import Codebook, LinearModel
-from glyphist.session import checkpointed
+from glyphist.session import checkpointed, spread
 from glyphist.sources.run_log import RunLog
 
 
@@ -34,12 +34,14 @@ class Settings:
     init_mode: str = "k-means||"
     classifier_iterations: int = DEFAULT_ITERATIONS
     threshold: float = DEFAULT_THRESHOLD
+    # Write the descriptors once before use: worth it if extracting them is expensive.
+    store_descriptors: bool = False
     category_thresholds: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Fitted:
-    split: PrefixSplit
+    split: PrefixSplit | HashSplit
     codebook: Codebook
     labels: DataFrame
     model: LinearModel
@@ -68,18 +70,23 @@ def fit(
     tags: DataFrame,
     settings: Settings = Settings(),
     make_codebook: Callable[[DataFrame], Codebook] | None = None,
+    split: PrefixSplit | HashSplit | None = None,
 ) -> Fitted:
-    """Train on the first part of the entities in ``tags (id, tag)``.
+    """Train on the training part of the entities in ``tags (id, tag)``.
 
     Histograms of both parts come from one pass over ``descriptors`` and are written
-    once; the classifier's many steps read only those rows.
+    once; the classifier's many steps read only those rows. Without ``split`` the first
+    part of the ids, in order, is the training part.
     """
-    spark = descriptors.sparkSession
-    log = RunLog(spark)
-    with log.timed("split"):
-        split = prefix_split(tags, "id", settings.train_fraction)
-    log.add("split", "train_entities", split.n_train)
-    log.add("split", "test_entities", split.n - split.n_train)
+    log = RunLog(descriptors.sparkSession)
+    if settings.store_descriptors:
+        with log.timed("descriptors"):
+            descriptors = checkpointed(descriptors)
+    if split is None:
+        with log.timed("split"):
+            split = prefix_split(tags, "id", settings.train_fraction)
+        log.add("split", "train_entities", split.n_train)
+        log.add("split", "test_entities", split.n - split.n_train)
 
     with log.timed("codebook"):
         make_codebook = make_codebook or spark_ml_codebook(settings)
@@ -88,6 +95,7 @@ def fit(
 
     with log.timed("rows"):
         labels = label_map(tags.filter(split.is_train("id")))
+        n_labels = labels.count()
         labelled = log.counted(
             label_entities(tags, labels),
             "labels",
@@ -98,15 +106,23 @@ def fit(
         rows = checkpointed(log.counted(split.apply(training_rows(labelled, hists), "id"), "rows"))
 
     with log.timed("classifier"):
-        names = {r.label: r.tag for r in labels.collect()}
-        train = rows.filter(F.col("split") == "train")
-        model = train_hinge_descent(train, sorted(names), codebook.size, settings.classifier_iterations)
+        train = spread(rows.filter(F.col("split") == "train"))
+        # Labels are 0.0 .. n - 1, so the classes need not be collected.
+        model = train_hinge_descent(train, range(n_labels), codebook.size, settings.classifier_iterations)
         model = model.with_threshold(settings.threshold).with_thresholds(
-            {c: settings.category_thresholds[t] for c, t in names.items() if t in settings.category_thresholds}
+            thresholds_by_label(labels, settings.category_thresholds)
         )
     return Fitted(split, codebook, labels, model, rows, log)
 
 
+def thresholds_by_label(labels: DataFrame, by_tag: dict[str, float]) -> dict[float, float]:
+    """Thresholds given by category name, keyed by label; unknown names are left out."""
+    if not by_tag:
+        return {}
+    found = labels.filter(F.col("tag").isin(list(by_tag))).collect()
+    return {r.label: by_tag[r.tag] for r in found}
+
+
 def evaluate(fitted: Fitted) -> DataFrame:
     """``(class, tp .. fn, precision .. fmeasure, auroc, aupr)`` on the test part."""
     test = fitted.rows.filter(F.col("split") == "test")

@@ -27,7 +27,7 @@ from glyphist.operators.histogram import (
     word_counts,
 )
 from glyphist.operators.labels import distinct_tags, label_drops, label_entities, label_map
-from glyphist.operators.split import hash_is_train, prefix_split, split_name
+from glyphist.operators.split import HashSplit, prefix_split
 from glyphist.operators.training import class_rows, one_vs_rest, training_rows
 from glyphist.plans.end_to_end import Settings, evaluate, fit, histograms
 from glyphist.schema import Codebook, LinearModel, dimension_report
@@ -44,7 +44,7 @@ EVENT_WORDS = 16
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 SCORE_THRESHOLD = 0.002
 CLASS_THRESHOLDS = {0.0: -0.004, 2.0: 0.001, 4.0: 0.0, 7.0: 0.006}
-END_TO_END = Settings(words=16, codebook_iterations=2, classifier_iterations=3, threshold=-0.2)
+END_TO_END = Settings(words=16, codebook_iterations=2, classifier_iterations=3, threshold=-0.09)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,20 +62,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # Descriptors and given codebooks ------------------------------------------------------
 
 
+def wide_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, spread over all cores before the per-row work starts."""
+    return spread(table(spark, sf, name).select(*columns))
+
+
 def embedding_descriptors(spark, sf):
-    return spread(desc.sub_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 8, 8))
+    vectors = wide_table(spark, sf, "embeddings", "vec_id", "embedding")
+    return desc.sub_vectors(vectors, "vec_id", "embedding", 8, 8)
 
 
 def line_item_descriptors(spark, sf):
-    return spread(desc.line_item_descriptors(table(spark, sf, "lineitem")))
+    columns = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return desc.line_item_descriptors(wide_table(spark, sf, "lineitem", *columns))
 
 
 def line_descriptors(spark, sf):
-    return spread(desc.line_descriptors(table(spark, sf, "documents")))
+    return desc.line_descriptors(wide_table(spark, sf, "documents", "doc_id", "text"))
 
 
 def event_descriptors(spark, sf):
-    return spread(desc.event_descriptors(table(spark, sf, "events"), EVENT_TYPES))
+    columns = ("user_id", "event_id", "value", "ts", "event_type")
+    return desc.event_descriptors(wide_table(spark, sf, "events", *columns), EVENT_TYPES)
 
 
 def given_codebook(descriptors: DataFrame, k: int) -> Codebook:
@@ -123,7 +131,7 @@ def line_character_counts(text: str) -> np.ndarray:
 
 @query
 def descriptors_user_function(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = wide_table(spark, sf, "documents", "doc_id", "text")
     return flat_features(desc.extracted(documents, "doc_id", "text", line_character_counts, 6), 6)
 
 
@@ -175,8 +183,7 @@ def train_test_counts(spark, sf):
 
 @query
 def hash_split(spark, sf):
-    orders = table(spark, sf, "orders")
-    return orders.select("o_orderkey", split_name(hash_is_train("o_orderkey", 0.8)).alias("split"))
+    return HashSplit(0.8).apply(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query
@@ -599,5 +606,5 @@ def train_and_evaluate(spark, sf):
 
 @query
 def train_and_evaluate_kmeans(spark, sf):
-    settings = Settings(words=EMBEDDING_WORDS, classifier_iterations=20, threshold=-0.2)
+    settings = Settings(words=EMBEDDING_WORDS, classifier_iterations=20, threshold=-0.093)
     return evaluate(fit(embedding_descriptors(spark, sf), embedding_tags(spark, sf), settings))

@@ -29,16 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     Unset is an error on a cluster: a temporary folder of one machine would lose the
-    data with that machine. A local session gets a fresh temporary folder.
+    data with that machine. A local session without the setting gets a new temporary
+    folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="glyphist-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphist-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,17 +49,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written rows."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the session has cores.
+    """Rebalance rows that have fewer partitions than the session has cores.
 
     A Parquet file with one row group is one task however many cores wait. Inputs that
-    already fill the cluster are returned as they are, without a shuffle. Use on
-    scan-derived frames: asking a shuffled plan for its partitions would run it.
+    already fill the cluster are returned as they are, without a shuffle. For frames
+    read from files or checkpoints: asking a shuffled plan for its partitions runs it.
     """
     wanted = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:

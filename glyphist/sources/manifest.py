@@ -11,8 +11,8 @@ from glyphist.functions.paths import base_name, metadata_name
 def list_entities(spark: SparkSession, directory: str) -> DataFrame:
     """``(path)`` of every file directly in ``directory``, whatever its extension.
 
-    File contents are not selected and therefore not read. Names starting with ``_`` or
-    ``.`` are hidden from Spark.
+    File contents are not selected and therefore not read. Spark does not list empty
+    files and names that start with ``_`` or ``.``.
     """
     return spark.read.format("binaryFile").load(directory).select("path")
 
