@@ -93,7 +93,7 @@ def codebook_select(name: str, digits: int | None = None) -> str:
   FROM {name}, LATERAL (SELECT unnest(range(0, len(c))) AS j)"""
 
 
-ASSIGNED = "SELECT id, pos, word, round(dist, 9) AS dist FROM a"
+ASSIGNED = "SELECT id, pos, word, dist FROM a"
 
 # Histograms: (id, word, n, freq) and dense rows (id, f) ---------------------------------
 

@@ -289,18 +289,19 @@ def assigned(descriptors: DataFrame, k: int) -> DataFrame:
     return assign_words(descriptors, given_codebook(descriptors, k))
 
 
-def rounded_assignment(assignment: DataFrame) -> DataFrame:
-    return assignment.select("id", F.col("pos").cast("bigint").alias("pos"), "word", F.round("dist", 9).alias("dist"))
+def assignment_rows(assignment: DataFrame) -> DataFrame:
+    # Not rounded: both engines add the dimensions in the same order.
+    return assignment.select("id", F.col("pos").cast("bigint").alias("pos"), "word", "dist")
 
 
 @query
 def assign_words_embedding(spark, sf):
-    return rounded_assignment(assigned(embedding_descriptors(spark, sf), EMBEDDING_WORDS))
+    return assignment_rows(assigned(embedding_descriptors(spark, sf), EMBEDDING_WORDS))
 
 
 @query
 def assign_words_lineitem(spark, sf):
-    return rounded_assignment(assigned(line_item_descriptors(spark, sf), LINE_ITEM_WORDS))
+    return assignment_rows(assigned(line_item_descriptors(spark, sf), LINE_ITEM_WORDS))
 
 
 @query
