@@ -28,7 +28,7 @@ from glyphist.operators.split import prefix_split  # noqa: E402
 from glyphist.operators.training import training_rows  # noqa: E402
 from glyphist.plans.end_to_end import histograms  # noqa: E402
 from glyphist.plans.registry import line_item_descriptors, order_tags  # noqa: E402
-from glyphist.session import checkpointed, configure, ship_with_tasks, spread  # noqa: E402
+from glyphist.session import configure, ship_with_tasks, spread, stored  # noqa: E402
 
 WORDS, ITERATIONS, DESCENT_STEPS = 100, 15, 20
 
@@ -71,8 +71,8 @@ def main() -> None:
     timed("histograms_k100", lambda: run(histograms(items, codebook)))
 
     def labelled_rows():
-        labels = label_map(tags)
-        return checkpointed(split.apply(training_rows(label_entities(tags, labels), histograms(items, codebook)), "id"))
+        labelled = label_entities(tags, label_map(tags))
+        return stored(split.apply(training_rows(labelled, histograms(items, codebook)), "id"), "rows")
 
     rows = timed("assign_histogram_label_join_k100", labelled_rows)
     fitted = timed(

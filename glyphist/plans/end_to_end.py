@@ -21,7 +21,7 @@ from glyphist.operators.labels import label_entities, label_map
 from glyphist.operators.split import HashSplit, PrefixSplit, prefix_split
 from glyphist.operators.training import training_rows
 from glyphist.schema import Codebook, LinearModel
-from glyphist.session import checkpointed, spread
+from glyphist.session import spread, stored
 from glyphist.sources.run_log import RunLog
 
 
@@ -81,7 +81,7 @@ def fit(
     log = RunLog(descriptors.sparkSession)
     if settings.store_descriptors:
         with log.timed("descriptors"):
-            descriptors = checkpointed(descriptors)
+            descriptors = stored(descriptors, "descriptors")
     if split is None:
         with log.timed("split"):
             split = prefix_split(tags, "id", settings.train_fraction)
@@ -103,7 +103,8 @@ def fit(
             unknown_tag=F.count_if(F.col("tag").isNotNull() & F.col("label").isNull()),
         )
         hists = histograms(log.counted(descriptors, "descriptors"), codebook)
-        rows = checkpointed(log.counted(split.apply(training_rows(labelled, hists), "id"), "rows"))
+        rows = split.apply(training_rows(labelled, hists), "id")
+        rows = stored(log.counted(rows, "rows"), "rows")
 
     with log.timed("classifier"):
         train = spread(rows.filter(F.col("split") == "train"))

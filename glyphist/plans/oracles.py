@@ -301,6 +301,13 @@ ORACLES: dict[str, str] = {
         *given(LINE_ITEM, LINE_ITEM_WORDS),
         select=f"""SELECT h.id, m.label, word, freq FROM ({LONG}) AS h JOIN ({ORDER_TAGS}) AS t ON h.id = t.id
   JOIN ({label_map_sql(ORDER_TAGS)}) AS m ON m.tag = t.tag""",
+    ),
+    "label_join_repeated_ids": with_(
+        *given(EVENTS, EVENT_WORDS),
+        select=f"""SELECT h.id, m.label, word, freq, count(*) AS copies
+  FROM ({LONG}) AS h JOIN events AS e ON h.id = e.user_id
+  JOIN ({label_map_sql("SELECT event_type AS tag FROM events")}) AS m ON m.tag = e.event_type
+  GROUP BY h.id, m.label, word, freq""",
     ),
     "assign_words_embedding": with_(*given(EMBEDDING, EMBEDDING_WORDS), select=ASSIGNED),
     "assign_words_lineitem": with_(*given(LINE_ITEM, LINE_ITEM_WORDS), select=ASSIGNED),

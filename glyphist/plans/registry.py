@@ -31,7 +31,7 @@ from glyphist.operators.split import HashSplit, prefix_split
 from glyphist.operators.training import class_rows, one_vs_rest, training_rows
 from glyphist.plans.end_to_end import Settings, evaluate, fit, histograms
 from glyphist.schema import Codebook, LinearModel, dimension_report
-from glyphist.session import checkpointed, scratch_path, spread
+from glyphist.session import scratch_path, spread, stored
 from glyphist.sources import libsvm, manifest, models
 from glyphist.sources.metadata import tags_from_json
 from glyphist.sources.run_log import RunLog
@@ -282,6 +282,17 @@ def label_join(spark, sf):
     return rows.select("id", "label", F.posexplode("features").alias("word", "freq")).filter("freq > 0")
 
 
+@query
+def label_join_repeated_ids(spark, sf):
+    """Every event labels its user, so ids repeat; frequent users take the hot-key path."""
+    events = event_descriptors(spark, sf)
+    hists = histograms(events, given_codebook(events, EVENT_WORDS))
+    tags = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("tag"))
+    rows = training_rows(label_entities(tags, label_map(tags)), hists, min_rows=20, share=0.006)
+    cells = rows.select("id", "label", F.posexplode("features").alias("word", "freq")).filter("freq > 0")
+    return cells.groupBy("id", "label", "word", "freq").agg(F.count("*").alias("copies"))
+
+
 # Codebook and assignment --------------------------------------------------------------
 
 
@@ -591,7 +602,7 @@ def run_metrics(spark, sf):
     codebook = given_codebook(items, EMBEDDING_WORDS)
     log.add("codebook", "words", codebook.size)
     hists = histograms(log.counted(items, "descriptors"), codebook)
-    checkpointed(log.counted(hists, "histograms"))
+    stored(log.counted(hists, "histograms"), "histograms")
     return log.to_df()
 
 

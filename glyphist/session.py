@@ -54,6 +54,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For tables that are read again and again: compressed, column-pruned, and independent
+    of what computed them. The folder can be emptied once the results are no longer used.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Rebalance rows that have fewer partitions than the session has cores.
 

@@ -24,7 +24,10 @@ class RunLog:
         self.rows.append((stage, metric, float(value)))
 
     def counted(self, df: DataFrame, stage: str, **metrics) -> DataFrame:
-        """Count the rows of ``df`` as a by-product of the next action on it."""
+        """Count the rows of ``df`` as a by-product of the next action on it.
+
+        A stage that runs again after a lost executor may count its rows twice.
+        """
         seen = Observation(f"{stage}-{len(self._observed)}")
         self._observed.append((stage, seen))
         columns = [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]]

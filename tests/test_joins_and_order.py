@@ -98,3 +98,14 @@ def test_training_rows_join(spark):
     )
     hists = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id int, features array<double>")
     assert rows(training_rows(labelled, hists), "id", "label") == [(1, 0.0), (1, 1.0)]
+
+
+def test_hot_keys_are_filtered_in_the_scan(spark, tmp_path):
+    skewed(spark).write.parquet(str(tmp_path / "many"))
+    spark.range(200).withColumn("n", F.lit(1)).write.parquet(str(tmp_path / "one"))
+    many, one = (spark.read.parquet(str(tmp_path / n)) for n in ("many", "one"))
+    sums = one.groupBy("id").agg(F.sum("n").alias("total"))
+    joined = join_on_entity(many, sums, "id", 50, 0.1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(id,7)") >= 4 and "BroadcastHashJoin" in plan
+    assert joined.count() == 200
