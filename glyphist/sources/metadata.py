@@ -13,10 +13,13 @@ from glyphist.schema import METADATA_SCHEMA
 def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(id, tag)`` from files with one JSON object each; the id is the file's base name.
 
-    A missing, empty or malformed tag list gives a NULL tag.
+    A missing, empty or malformed tag list gives a NULL tag. Very many small files are
+    better kept as a table of JSON text, see ``tags_from_json``.
     """
+    # The path of the file metadata is URL-encoded, in which a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     files = spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(paths)
-    return files.select(base_name("_metadata.file_path").alias("id"), F.get("tags", F.lit(0)).alias("tag"))
+    return files.select(base_name(path).alias("id"), F.get("tags", F.lit(0)).alias("tag"))
 
 
 def tags_from_json(df: DataFrame, id_col: str, json: Column | str) -> DataFrame:

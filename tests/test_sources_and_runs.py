@@ -58,6 +58,14 @@ def test_metadata_files(spark, tmp_path):
     assert got == {"one": "pizza", "none": None, "missing": None, "text": None, "bad": None}
 
 
+def test_ids_agree_for_unusual_file_names(spark, tmp_path):
+    names = ["a b", "p+q", "x%20y", "é ü", "v1.2"]
+    for name in names:
+        (tmp_path / f"{name}.json").write_text('{"tags": ["t"]}')
+    assert sorted(r.id for r in read_metadata(spark, str(tmp_path)).collect()) == sorted(names)
+    assert sorted(r.id for r in binary.read_entities(spark, str(tmp_path)).collect()) == sorted(names)
+
+
 def test_binary_entities_with_equal_base_names_merge(spark, tmp_path):
     (tmp_path / "x.jpg").write_bytes(bytes([1, 2, 3, 4]))
     (tmp_path / "x.png").write_bytes(bytes([5, 6]))
