@@ -6,7 +6,9 @@ from glyphist.operators import codebook as cb
 from glyphist.operators import histogram as hg
 from glyphist.operators.blocks import to_blocks
 from glyphist.operators.descriptors import extracted, line_descriptors, sub_vectors
+from glyphist.operators.training import training_rows
 from glyphist.plans import registry
+from glyphist.plans.end_to_end import histograms
 from glyphist.schema import Codebook, require_uniform_dimension
 
 DESCRIPTOR = "id string, pos int, features array<double>"
@@ -28,6 +30,27 @@ def test_assignment_is_narrow(spark):
     book = Codebook([[0.0, 0.0], [1.0, 0.0]])
     plan = cb.assign_words(frame(spark, [(0, 0)]), book)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    assert plan.count("nearest_word_udf(") == 1
+
+
+def test_shuffles_of_a_label_join(spark, tmp_path):
+    """Two shuffles for the histograms; the join adds one, of the labels only."""
+    spark.range(100).select(
+        F.col("id"), F.lit(0).alias("pos"), F.array(F.col("id") * 1.0, F.lit(0.5)).alias("features")
+    ).write.parquet(str(tmp_path / "points"))
+    spark.range(100).select(F.col("id"), F.lit(1.0).alias("label")).write.parquet(str(tmp_path / "labels"))
+    hists = histograms(spark.read.parquet(str(tmp_path / "points")), Codebook([[0.0, 0.0], [50.0, 0.0]]))
+    assert shuffles(hists) == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = training_rows(spark.read.parquet(str(tmp_path / "labels")), hists)
+        assert shuffles(joined) == 3 and joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
 def test_empty_word_keeps_its_centre_and_a_zero(spark):
