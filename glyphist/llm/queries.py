@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphist.llm.decontamination import contaminations
+from glyphist.llm.language_id import fold, identify_languages, train_language_model
 from glyphist.llm.licenses import known_licenses, license_matches
 from glyphist.llm.packing import pack_documents
+from glyphist.llm.quality_model import quality_scores, train_quality_model
 from glyphist.llm.sharding import byte_size_shards
 from glyphist.llm.token_counts import token_counts
 
@@ -20,6 +23,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_size_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on labelled rows outside the held-out third."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    known = labels.filter(~held_out & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
+    model = train_quality_model(docs.select("doc_id", "text").join(known, "doc_id"))
+    scored = quality_scores(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,13 +43,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the texts outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    training = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = train_language_model(training)
+    return identify_languages(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"), known_licenses(spark))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op10_license_scan": op10_license_scan,
 }

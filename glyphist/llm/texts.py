@@ -194,3 +194,62 @@ def distinct_by_text(hashes: np.ndarray, owners: np.ndarray, n: int) -> tuple[np
     keep[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
     hashes, owners = hashes[keep], owners[keep]
     return hashes, np.searchsorted(owners, np.arange(n + 1))
+
+
+class SortedHashes:
+    """Distinct 64-bit hashes in ascending order, found through a directory of their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.ascontiguousarray(hashes, np.uint64)
+        bits = max(1, int(len(hashes)).bit_length() + 1)
+        self._shift = _U(64 - bits)
+        heads = (self.hashes >> self._shift).astype(np.int64)
+        self._starts = np.searchsorted(heads, np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of every wanted hash, or -1."""
+        result = np.full(len(wanted), -1, np.int32)
+        if not len(self.hashes):
+            return result
+        head = (wanted >> self._shift).astype(np.int64)
+        at, end = self._starts[head], self._starts[head + 1]
+        equal = (self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted) & (at < end)
+        np.copyto(result, at, where=equal)
+        todo = np.flatnonzero(~equal & (at + 1 < end))
+        at, end, wanted = at[todo] + 1, end[todo], wanted[todo]
+        while len(todo):
+            equal = self.hashes[at] == wanted
+            result[todo[equal]] = at[equal]
+            at = at + 1
+            more = ~equal & (at < end)
+            todo, at, end, wanted = todo[more], at[more], end[more], wanted[more]
+        return result
+
+
+def code_points(texts: Texts) -> Texts:
+    """The characters of each text as 32-bit numbers; bytes that are no UTF-8 become U+FFFD."""
+    whole = texts.data.tobytes()
+    try:
+        points = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
+        begins = np.zeros(len(texts.data) + 1, np.int64)
+        np.cumsum((texts.data & 0xC0) != 0x80, out=begins[1:])
+        return Texts(points, begins[texts.at])
+    except UnicodeDecodeError:
+        parts = [
+            np.frombuffer(texts.text(i).decode(errors="replace").encode("utf-32-le"), np.uint32)
+            for i in range(len(texts))
+        ]
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return Texts(np.concatenate([*parts, np.zeros(0, np.uint32)]), at.astype(np.int64))
+
+
+def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n numbers from each position on."""
+    m = max(0, len(points) - n + 1)
+    total = np.zeros(m, np.uint64)
+    for i, c in enumerate(constants(505 + n, n)):
+        total += points[i : i + m] * c
+    return mixed(total)
