@@ -11,6 +11,7 @@ from glyphist.llm.language_id import fold, identify_languages, train_language_mo
 from glyphist.llm.licenses import known_licenses, license_matches
 from glyphist.llm.packing import pack_documents
 from glyphist.llm.quality_model import quality_scores, train_quality_model
+from glyphist.llm.quality_rules import quality_verdicts
 from glyphist.llm.sharding import byte_size_shards
 from glyphist.llm.token_counts import token_counts
 
@@ -35,6 +36,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -65,6 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
