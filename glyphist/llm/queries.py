@@ -12,6 +12,7 @@ from glyphist.llm.licenses import known_licenses, license_matches
 from glyphist.llm.packing import pack_documents
 from glyphist.llm.quality_model import quality_scores, train_quality_model
 from glyphist.llm.quality_rules import quality_verdicts
+from glyphist.llm.repeated_passages import removal_report
 from glyphist.llm.sharding import byte_size_shards
 from glyphist.llm.token_counts import token_counts
 
@@ -63,6 +64,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"), known_licenses(spark))
 
@@ -75,5 +80,6 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_license_scan": op10_license_scan,
 }
