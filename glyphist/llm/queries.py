@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphist.llm.decontamination import contaminations
 from glyphist.llm.language_id import fold, identify_languages, train_language_model
 from glyphist.llm.licenses import known_licenses, license_matches
+from glyphist.llm.near_duplicates import near_duplicates
 from glyphist.llm.packing import pack_documents
 from glyphist.llm.quality_model import quality_scores, train_quality_model
 from glyphist.llm.quality_rules import quality_verdicts
@@ -64,6 +65,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_license_scan": op10_license_scan,
 }
