@@ -354,21 +354,21 @@ class Forest:
         )
 
     def membership(self) -> DataFrame:
-        """``(doc_id, n, k1, k2, component_id)`` for every row."""
+        """``(doc_id, n, k1, k2, component_id, c1, c2)`` for every row; c1, c2 name the component."""
         labels = self.steps.keep(self.labels(self.links()), "labels")
         linked = self.classes.select("g1", "g2", "least").join(labels, ["g1", "g2"])
         lowest = linked.groupBy("r1", "r2").agg(F.min("least").alias("component_id"))
-        moved = linked.join(lowest, ["r1", "r2"]).select("g1", "g2", "component_id")
+        moved = linked.join(lowest, ["r1", "r2"]).select("g1", "g2", "component_id", "r1", "r2")
         alone = self.classes.select("g1", "g2", F.col("least").alias("_least"))
         named = alone.join(moved, ["g1", "g2"], "left").select(
-            "g1", "g2", F.coalesce("component_id", "_least").alias("component_id")
+            "g1", "g2",
+            F.when(F.col("r1").isNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"),
+            F.coalesce("r1", "g1").alias("c1"), F.coalesce("r2", "g2").alias("c2"),
         )
         named = self.steps.keep(named, "named")
         joined = self.rows.drop("sig").join(named, ["g1", "g2"], "left")
-        return joined.select(
-            "doc_id", "n", "k1", "k2",
-            F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+        own = F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        return joined.select("doc_id", "n", "k1", "k2", own.alias("component_id"), "c1", "c2")
 
 
 def _block() -> Column:
@@ -401,3 +401,32 @@ def near_duplicates(
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates.
+
+    Of every component the row with the least id stays, of several with that id the one with
+    the least hash of its text, and of rows equal in both any one. Texts without words all stay.
+    """
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        docs[id_col].cast("long").alias("doc_id"),
+        F.coalesce(docs[text_col], F.lit("")).alias("text"),
+    )
+    forest = Forest(marked.select("doc_id", "text"), words, percent)
+    members = forest.steps.keep(forest.membership(), "members")
+    key = ["doc_id", "k1", "k2"]
+    winners = members.filter("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(*key)).alias("w")).select("w.*")
+    stays = forest.steps.keep(winners.union(members.filter("n = 0").select(*key).distinct()), "stays")
+    keyed = with_key(marked, F.col("text")).alias("d")
+    same = reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key])
+    result = keyed.join(stays.alias("s"), same, "left_semi")
+    repeated = members.filter("n > 0").groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
+    if not repeated.join(stays, key, "left_semi").isEmpty():
+        wordless = ~F.col("text").rlike(r"[^ \x09-\x0d]")
+        result = result.withColumn("_own", F.when(wordless, F.monotonically_increasing_id()))
+        result = result.dropDuplicates([*key, "_own"])
+    return result.select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphist.session import stored
+from glyphist.llm.steps import Steps
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -104,7 +104,7 @@ def _group_name(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, steps: Steps) -> DataFrame:
     """Add ``g``: language and source, or language, or all, the first with enough rows."""
     pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     of_lang = Window.partitionBy("lang")
@@ -116,18 +116,18 @@ def grouped(rows: DataFrame) -> DataFrame:
         .otherwise(F.lit("all"))
         .alias("g"),
     )
-    names = stored(sized.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "groups")
+    names = steps.keep(sized.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "groups")
     match = rows["lang"].eqNullSafe(names["_lang"]) & rows["source"].eqNullSafe(names["_source"])
     return rows.join(names, match).drop("_lang", "_source")
 
 
-def start(rows: DataFrame) -> DataFrame:
+def start(rows: DataFrame, steps: Steps) -> DataFrame:
     """First estimates ``(g, m1.., l11, l21..)``: medians, and median deviations as a diagonal.
 
     Medians of whole numbers in a small range are exact and need one count per number.
     """
     medians = rows.groupBy("g").agg(*[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in _AXES])
-    medians = stored(medians, "medians")
+    medians = steps.keep(medians, "medians")
     deviations = rows.join(medians, "g").groupBy("g").agg(
         *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in _AXES]
     )
@@ -190,20 +190,24 @@ def factored(sums: DataFrame) -> DataFrame:
     return df.select("g", *[f"m{i}" for i in _AXES], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
-def judged(stats: DataFrame, concentrations: int = CONCENTRATIONS, cutoff: float = CUTOFF) -> DataFrame:
+def judged(
+    stats: DataFrame, steps: Steps, concentrations: int = CONCENTRATIONS, cutoff: float = CUTOFF
+) -> DataFrame:
     """Add ``base_failed``, ``d2`` (null where the base rules failed) and ``kept``.
 
-    ``stats`` is a stored table with lang, source and the counts of each row. It is
-    read once for every step, narrow; groups are small tables joined as Spark chooses by
-    their size, and all sums combine before they are shuffled.
+    ``stats`` is a written table with lang, source and the counts of each row. Only its
+    narrow columns are read for the estimates; groups are small tables joined as Spark
+    chooses by their size, and all sums combine before they are shuffled.
     """
     marked = stats.withColumn("base_failed", base_failed())
-    named = stored(grouped(vectors(marked.filter(~F.col("base_failed")))), "vectors")
-    core = named.select("g", *[f"x{i}" for i in _AXES])
-    estimates = stored(start(core), "estimates")
+    peers = grouped(marked.filter(~F.col("base_failed")), steps)
+    rows = vectors(peers)
+    axes = [f"x{i}" for i in _AXES]
+    core = steps.keep(rows.select("g", *axes), "vectors")
+    estimates = steps.keep(start(core, steps), "estimates")
     for _ in range(concentrations):
-        estimates = stored(concentrated(core, estimates), "estimates")
-    measured = with_distance(named, estimates).drop("g", *[f"x{i}" for i in _AXES])
+        estimates = steps.keep(concentrated(core, estimates), "estimates")
+    measured = with_distance(rows, estimates).drop("g", *axes)
     failed = marked.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return measured.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
 
@@ -218,6 +222,22 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stats = text_statistics(
         docs.select(F.col(id_col).alias("doc_id"), "lang", "source", F.col(text_col).alias("text"))
     ).drop("text")
-    return judged(stored(stats, "stats")).select(
+    steps = Steps(docs.sparkSession, "quality")
+    return judged(steps.keep(stats, "stats"), steps).select(
         "doc_id", "n_words", *STATS, "base_failed", "kept", F.round("d2", 6).alias("d2")
     )
+
+
+def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns.
+
+    The rows and their counts are written once; only the counts are read to find the verdicts.
+    """
+    steps = Steps(docs.sparkSession, "quality")
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        docs["lang"].alias("lang"),
+        docs["source"].alias("source"),
+        docs[text_col].alias("text"),
+    )
+    return judged(steps.keep(text_statistics(held).drop("text"), "rows"), steps).filter("kept").select("row.*")

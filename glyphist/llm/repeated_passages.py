@@ -342,3 +342,33 @@ def removal_report(
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.when(lost, F.col("kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+    """``docs``, all rows and columns, with repeated bytes cut from the texts.
+
+    As ``removal_report``, but only whole characters are cut; ``n_chars``, if there is such a
+    column, becomes the length of a text that was cut.
+    """
+    steps = Steps(docs.sparkSession, "passages")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(text.alias("text"))
+    ranges, texts = repeated_starts(steps, rows, length)
+    cut = cut_texts(ranges, texts, length, whole_characters=True)
+    cut = steps.keep(cut.select("k1", "k2", F.col("kept").cast("string").alias("kept")), "cut")
+    steps.drop(texts)
+    ids = steps.keep(with_key(rows, F.col("text")).select("k1", "k2", F.octet_length("text").alias("n_bytes")), "ids")
+    copies = _copies(ids, length).select("k1", "k2")
+    whole = copies.select("k1", "k2", F.lit("").alias("kept"))
+    changed = steps.keep(whole.unionByName(cut.join(copies, ["k1", "k2"], "left_anti")), "changed")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
+    joined = with_key(held, F.col("text")).join(changed, ["k1", "k2"], "left")
+    columns = []
+    for field in docs.schema:
+        column = F.col("row").getField(field.name)
+        if field.name == text_col:
+            column = F.coalesce("kept", column)
+        elif field.name == "n_chars":
+            column = F.coalesce(F.char_length("kept").cast(field.dataType), column)
+        columns.append(column.alias(field.name))
+    return joined.select(*columns)
