@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glyphist.llm import quality_rules
 from glyphist.llm.licenses import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
 
 # CRC-32 by half bytes: the table is made from the polynomial, low half of each byte first.
@@ -68,4 +69,159 @@ WHERE canonical <> ''
 GROUP BY ALL
 """
 
-ORACLES = {"op1_sharding": OP1, "op10_license_scan": OP10}
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_AXES = range(1, quality_rules.DIM + 1)
+_PAIRS = [(i, j) for i in _AXES for j in range(1, i + 1)]
+_MEANS = ", ".join(f"m{i}" for i in _AXES)
+
+
+def _distance(rows: str, estimates: str) -> str:
+    """Subquery with d2: each y is the rest of an axis after the earlier ones."""
+    inner = f"SELECT v.*, {', '.join(f'e.m{i}' for i in _AXES)}, {', '.join(f'e.l{i}{j}' for i, j in _PAIRS)} FROM {rows} v JOIN {estimates} e USING (g)"
+    for i in _AXES:
+        rest = "".join(f" - l{i}{j} * y{j}" for j in range(1, i))
+        inner = f"SELECT *, (x{i} - m{i}{rest}) / l{i}{i} AS y{i} FROM ({inner})"
+    return f"(SELECT *, {' + '.join(f'y{i} * y{i}' for i in _AXES)} AS d2 FROM ({inner}))"
+
+
+def _concentrated(rows: str, estimates: str) -> str:
+    sums = [f"sum(x{i}) AS t{i}" for i in _AXES] + [f"sum(x{i} * x{j}) AS t{i}{j}" for i, j in _PAIRS]
+    names = ["n", *[f"t{i}" for i in _AXES], *[f"t{i}{j}" for i, j in _PAIRS]]
+    bins = (
+        f"SELECT g, least(floor(sqrt(d2) * 16)::BIGINT, {quality_rules.BINS - 1}) AS bin, count(*) AS n, {', '.join(sums)} "
+        f"FROM {_distance(rows, estimates)} GROUP BY ALL"
+    )
+    inner = f"""SELECT g, {', '.join(f'sum({c})::DOUBLE AS {c}' for c in names)} FROM (
+        SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer,
+            sum(n) OVER (PARTITION BY g) AS total FROM ({bins})) WHERE nearer < total::DOUBLE * {quality_rules.CORE_SHARE} GROUP BY g"""
+    inner = f"SELECT *, {', '.join(f't{i} / n AS m{i}' for i in _AXES)} FROM ({inner})"
+    scatter = []
+    for i, j in _PAIRS:
+        value = f"(t{i}{j} / n - m{i} * m{j}) * {quality_rules.CONSISTENCY}::DOUBLE"
+        if i == j:
+            value = f"greatest({value}, 0.0::DOUBLE) + {quality_rules.FLOORS[i - 1] ** 2}::DOUBLE"
+        scatter.append(f"{value} AS c{i}{j}")
+    inner = f"SELECT *, {', '.join(scatter)} FROM ({inner})"
+    for j in _AXES:
+        for i in range(j, quality_rules.DIM + 1):
+            rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
+            value = f"sqrt(greatest({rest}, 1.0::DOUBLE))" if i == j else f"({rest}) / l{j}{j}"
+            inner = f"SELECT *, {value} AS l{i}{j} FROM ({inner})"
+    return f"SELECT g, {_MEANS}, {', '.join(f'l{i}{j}' for i, j in _PAIRS)} FROM ({inner})"
+
+
+def _logged(count: str) -> str:
+    return f"floor(log2(1.0::DOUBLE + {count} * 100.0::DOUBLE / n_words) * 64 + 0.5::DOUBLE)::BIGINT"
+
+
+_DIAGONAL = ", ".join(
+    f"greatest(1.4826::DOUBLE * s{i}, {quality_rules.FLOORS[i - 1]}::DOUBLE) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}"
+    for i, j in _PAIRS
+)
+_ROUNDS = "".join(
+    f",\ne{n} AS MATERIALIZED ({_concentrated('vectors', f'e{n - 1}')})" for n in range(1, quality_rules.CONCENTRATIONS + 1)
+)
+
+OP3 = f"""
+WITH base AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS ls
+    FROM documents
+),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM base),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS times FROM places),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows, range(3) x(k) WHERE times > 1 GROUP BY r),
+stats AS MATERIALIZED (
+    SELECT r, doc_id, lang, source, len(ws)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+        (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM base LEFT JOIN covered USING (r)
+),
+marked AS MATERIALIZED (
+    SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed FROM stats
+),
+sized AS (
+    SELECT *, count(*) OVER (PARTITION BY lang, source) AS n_pair, count(*) OVER (PARTITION BY lang) AS n_lang
+    FROM marked WHERE NOT base_failed
+),
+vectors AS MATERIALIZED (
+    SELECT r, CASE WHEN n_pair >= {quality_rules.MIN_GROUP} THEN struct_pack(l := lang, s := source, k := 2)
+            WHEN n_lang >= {quality_rules.MIN_GROUP} THEN struct_pack(l := lang, s := NULL, k := 1)
+            ELSE struct_pack(l := NULL, s := NULL, k := 0) END::VARCHAR AS g,
+        floor(word_chars / n_words * 64 + 0.5::DOUBLE)::BIGINT AS x1,
+        {_logged("n_symbols")} AS x2, {_logged("n_dup_lines")} AS x3, {_logged("n_repeat_words")} AS x4
+    FROM sized
+),
+medians AS MATERIALIZED (SELECT g, {", ".join(f"median(x{i})::DOUBLE AS m{i}" for i in _AXES)} FROM vectors GROUP BY g),
+deviations AS (
+    SELECT g, {", ".join(f"median(abs(x{i} - m{i}))::DOUBLE AS s{i}" for i in _AXES)} FROM vectors JOIN medians USING (g) GROUP BY g
+),
+e0 AS MATERIALIZED (SELECT g, {_MEANS}, {_DIAGONAL} FROM medians JOIN deviations USING (g)){_ROUNDS},
+measured AS (SELECT r, d2 FROM {_distance("vectors", f"e{quality_rules.CONCENTRATIONS}")})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    coalesce(d2 <= {quality_rules.CUTOFF}::DOUBLE, false) AS kept, round(d2, 6) AS d2
+FROM marked LEFT JOIN measured USING (r)
+"""
+
+OP8 = f"""
+WITH RECURSIVE base AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws
+    FROM documents
+),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT r, array_to_string(ws[i : i + 2], ' ') AS s
+    FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM base WHERE len(ws) > 0)
+),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (
+    SELECT a.r AS a, b.r AS b, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL
+),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+),
+reach(a, b) AS (SELECT r, r FROM base UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id,
+    d.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM reach JOIN base d ON d.r = reach.a JOIN base o ON o.r = reach.b LEFT JOIN sizes ON sizes.r = reach.a
+GROUP BY reach.a, d.doc_id
+"""
+
+# Positions are counted in half bytes of the hexadecimal text.
+OP9 = """
+WITH base AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+),
+starts AS MATERIALIZED (
+    SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS name
+    FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) AS i FROM base)
+),
+twice AS (SELECT name FROM starts GROUP BY name HAVING count(*) > 1),
+found AS (SELECT r, i FROM starts SEMI JOIN twice USING (name)),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER w + 400, true) AS opens FROM found WINDOW w AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT r, i, sum(opens::INTEGER) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+spans AS (SELECT r, run, min(i) AS first, max(i) + 400 AS last FROM runs GROUP BY ALL),
+cuts AS (SELECT r, list(struct_pack(f := first, l := last) ORDER BY first) AS c FROM spans GROUP BY r),
+kept AS (
+    SELECT doc_id, h, coalesce(c, []) AS c,
+        array_to_string(list_transform(range(0, len(coalesce(c, [])) + 1), lambda k:
+            substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * c[k].l + 1 END,
+                (CASE WHEN k = len(coalesce(c, [])) THEN len(h) ELSE 2 * c[k + 1].f END)
+                - (CASE WHEN k = 0 THEN 0 ELSE 2 * c[k].l END))), '') AS rest
+    FROM base LEFT JOIN cuts USING (r)
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, ((len(h) - len(rest)) // 2)::BIGINT AS n_removed,
+    len(c)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM kept
+"""
+
+ORACLES = {
+    "op1_sharding": OP1,
+    "op3_quality_rules": OP3,
+    "op8_near_duplicates": OP8,
+    "op9_repeated_passages": OP9,
+    "op10_license_scan": OP10,
+}

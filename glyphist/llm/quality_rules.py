@@ -19,6 +19,7 @@ DIM = 4
 # Share of a group that the estimates rest on, and the number of concentration steps.
 CORE_SHARE = 0.75
 CONCENTRATIONS = 4
+BINS = 1 << 14
 # Groups with fewer rows are judged with their language, and languages with all texts.
 MIN_GROUP = 200
 # Least standard deviations: for statistics that are the same in most texts.
@@ -156,12 +157,12 @@ def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Estimates from the rows nearest to the given ones.
 
     Rows are summed by group and narrow bin of distance, before and after the shuffle; the
-    core is the bins that hold the nearest share of the group. Per group there are at most
-    as many bins as 64 times the log of the largest distance, so no group is large there.
+    core is the bins that hold the nearest share of the group. The last of at most
+    ``BINS`` bins of a group takes all larger distances.
     """
     moments = [F.sum(f"x{i}").alias(f"t{i}") for i in _AXES]
     moments += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"t{i}{j}") for i, j in _PAIRS]
-    bin_of = F.floor(F.log2(F.lit(1.0) + F.col("d2")) * 64).cast("long")
+    bin_of = F.least(F.floor(F.sqrt("d2") * 16).cast("long"), F.lit(BINS - 1))
     bins = with_distance(rows, estimates).groupBy("g", bin_of.alias("bin")).agg(F.count("*").alias("n"), *moments)
     upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     nearer = F.coalesce(F.sum("n").over(upto), F.lit(0))
