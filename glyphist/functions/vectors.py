@@ -29,14 +29,22 @@ def dense_vector(features: Column | str) -> Column:
 
 
 def batch_matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column as a matrix; unequal or missing vectors are an error."""
+    """Rows of a list column as a matrix.
+
+    Unequal or missing vectors, and vectors with a missing, infinite or NaN number, are an
+    error: one of them would spoil every centre that it is added to.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) and (
         column.null_count or not pc.all(pc.equal(pc.list_value_length(column), dim)).as_py()
     ):
         raise ValueError(f"every feature vector must have {dim} values")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    finite = np.isfinite(matrix)
+    if not finite.all():
+        raise ValueError(f"{(~finite.all(axis=1)).sum()} feature vectors have a number that is missing or not finite")
+    return matrix
 
 
 def squared_distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:

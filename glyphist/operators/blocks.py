@@ -10,19 +10,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphist.functions.vectors import batch_matrix
+from glyphist.session import stored
 
 BLOCK_BYTES = 1 << 20
 
 
 def to_blocks(rows: DataFrame, dim: int, label: str | None = None) -> DataFrame:
-    """``(labels BINARY, points BINARY)``, kept in executor memory and on their disks.
+    """``(labels BINARY, points BINARY)``, written once to the shared folder.
 
-    Lost blocks are rebuilt from ``rows``; unpersist when the last step is done.
+    Every step reads them from there, so a lost executor costs no more than its tasks;
+    ``release`` them after the last step.
     """
     per_block = max(1, BLOCK_BYTES // (8 * dim))
     source = rows.select((F.col(label) if label else F.lit(0.0)).cast("double").alias("label"), "features")
@@ -37,8 +38,7 @@ def to_blocks(rows: DataFrame, dim: int, label: str | None = None) -> DataFrame:
                     [pa.array([labels[part].tobytes()]), pa.array([points[part].tobytes()])], ["labels", "points"]
                 )
 
-    blocks = source.mapInArrow(pack, "labels binary, points binary")
-    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(source.mapInArrow(pack, "labels binary, points binary"), "blocks")
 
 
 def block_arrays(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -48,25 +48,37 @@ def block_arrays(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray,
 
 
 def summed_partials(blocks: DataFrame, per_task, n_keys: int, width: int) -> np.ndarray:
-    """Add up ``per_task(batches) -> matrix`` over all tasks, in the shuffle.
+    """Add up ``per_task(batches) -> matrix`` over all tasks.
 
-    Every task sends one model-sized matrix, row by row; the sums are made cell by cell
-    and the driver receives the model-sized result only.
+    Blocks are read by as many tasks as there are cores, however many files they are in,
+    and each task sends its used rows whole. Tasks that own a share of the keys add them
+    up, so a step shuffles at most keys x cores rows, and the driver receives a matrix of
+    the model's size.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = per_task(batches)
-        used = np.flatnonzero(matrix.any(axis=1))
-        if len(used):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array(list(matrix[used]), pa.list_(pa.float64()))],
-                ["key", "vector"],
-            )
-
-    cells = blocks.mapInArrow(run, "key int, vector array<double>").select(
-        "key", F.posexplode("vector").alias("j", "v")
-    )
-    sums = cells.groupBy("key", "j").agg(F.sum("v").alias("v")).toArrow()
+        yield from _packed(np.flatnonzero(matrix.any(axis=1)), matrix)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, vector in zip(batch.column("key").to_pylist(), batch.column("vector")):
+                own = np.frombuffer(vector.as_buffer())
+                totals[key] = totals[key] + own if key in totals else own
+        keys = np.array(sorted(totals), dtype=np.int64)
+        yield from _packed(keys, totals)
+
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    parts = blocks.coalesce(cores).mapInArrow(run, "key int, vector binary")
+    sums = parts.repartition(max(1, min(cores, n_keys)), "key").mapInArrow(add, "key int, vector binary").toArrow()
     result = np.zeros((n_keys, width))
-    result[sums["key"].to_numpy(), sums["j"].to_numpy()] = sums["v"].to_numpy()
+    for key, vector in zip(sums["key"].to_pylist(), sums["vector"].to_pylist()):
+        result[key] = np.frombuffer(vector)
     return result
+
+
+def _packed(keys: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
+    if len(keys):
+        vectors = [np.ascontiguousarray(rows[k]).tobytes() for k in keys.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(vectors)], ["key", "vector"])

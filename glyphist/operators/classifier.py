@@ -15,6 +15,7 @@ from glyphist.functions.vectors import class_margins, dense_vector
 from glyphist.operators.blocks import block_arrays, summed_partials, to_blocks
 from glyphist.operators.training import class_target
 from glyphist.schema import LinearModel
+from glyphist.session import release
 
 DEFAULT_ITERATIONS = 200
 CLASSES_PER_JOB = 256
@@ -97,7 +98,7 @@ def train_hinge_descent(
             for i in range(0, len(labels), CLASSES_PER_JOB)
         ]
     finally:
-        blocks.unpersist()
+        release(blocks)
     return LinearModel(labels, np.vstack(weights))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from glyphist.functions.vectors import dense_vector, nearest, nearest_word
 from glyphist.operators.blocks import block_arrays, summed_partials, to_blocks
-from glyphist.schema import Codebook
+from glyphist.schema import MODEL_MAX_BYTES, Codebook
+from glyphist.session import release, stored
 
 DEFAULT_WORDS = 100
 DEFAULT_ITERATIONS = 15
@@ -55,8 +56,11 @@ def codebook_of(model: KMeansModel) -> Codebook:
 
 def first_descriptors(descriptors: DataFrame, k: int, *order: Column | str) -> Codebook:
     """Initial centres: the ``k`` descriptors that come first in a total order."""
-    rows = descriptors.orderBy(*order).select("features").limit(k).collect()
-    return Codebook([r.features for r in rows])
+    return Codebook.from_df(
+        descriptors.orderBy(*order).limit(k).select(
+            F.monotonically_increasing_id().alias("word"), F.col("features").alias("centroid")
+        )
+    )
 
 
 def assign_words(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
@@ -72,6 +76,38 @@ def assign_words(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
     )
 
 
+def assign_words_of_table(
+    descriptors: DataFrame, codebook: DataFrame, max_bytes: int = MODEL_MAX_BYTES
+) -> DataFrame:
+    """``assign_words`` for a codebook table ``(word, centroid)`` of any size.
+
+    The words are taken in blocks of at most ``max_bytes``, in the order of their numbers. Each
+    block is one narrow pass that keeps the best word so far, and its result is written,
+    so that a task holds one block at a time.
+    """
+    row = codebook.agg(F.min("word"), F.max("word"), F.max(F.size("centroid"))).first()
+    low, high, dim = row
+    if low is None:
+        raise ValueError("codebook table is empty")
+    per_block = max(1, max_bytes // (8 * dim))
+    best = None
+    for first in range(low, high + 1, per_block):
+        block = codebook.filter(F.col("word").between(first, first + per_block - 1))
+        numbers = [r.word for r in block.select("word").orderBy("word").collect()]
+        if not numbers:
+            continue
+        match = nearest_word(Codebook.from_df(block, max(max_bytes, 8 * dim)).centroids)(F.col("features"))
+        name = F.get(F.array(*[F.lit(n) for n in numbers]), F.col("_match.word")).cast("int")
+        source = descriptors if best is None else best
+        found = source.withColumn("_match", match).withColumn("_match", F.struct(name.alias("word"), "_match.dist"))
+        if best is not None:
+            nearer = F.col("_match.dist") < F.col("_best.dist")
+            found = found.withColumn("_match", F.when(nearer, F.col("_match")).otherwise(F.col("_best"))).drop("_best")
+        best = stored(found.withColumnRenamed("_match", "_best"), "assignment")
+    others = [c for c in descriptors.columns if c != "features"]
+    return best.select(*others, F.col("_best.word").alias("word"), F.col("_best.dist").alias("dist"))
+
+
 def codebook_cost(assignment: DataFrame) -> DataFrame:
     """Within-set sum of squared distances and the number of descriptors."""
     return assignment.agg(F.sum("dist").alias("wssse"), F.count("*").alias("n_descriptors"))
@@ -115,5 +151,5 @@ def lloyd(descriptors: DataFrame, initial: Codebook, steps: int) -> tuple[Codebo
             codebook, cost = lloyd_step(blocks, codebook)
             costs.append(cost)
     finally:
-        blocks.unpersist()
+        release(blocks)
     return codebook, costs

@@ -38,23 +38,39 @@ def class_report(counts: DataFrame) -> DataFrame:
     return ratios.withColumn("fmeasure", F.try_divide(2 * (p * r), p + r))
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """``(class, line)``: counts, percentages with two decimals, F as a plain ratio."""
+def report_lines(report: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``(class, line)``: the report of each class as text, four lines in one.
+
+    Counts, percentages with two decimals and F as a plain ratio; then the two areas if the
+    report has them. ``labels (tag, label)`` gives the category its name; without it, or
+    for a class that it lacks, the class number is the name.
+    """
 
     def number(column: Column) -> Column:
         return F.coalesce(fixed_decimals(column, 2), F.lit("NaN"))
 
-    line = F.concat(
-        F.lit("true positives: "), F.col("tp"),
+    named = report.withColumn("_tag", F.col("class").cast("string"))
+    if labels is not None:
+        known = labels.select(F.col("label").alias("class"), F.col("tag").alias("_name"))
+        named = lookup_join(report, known, "class").withColumn("_tag", F.coalesce("_name", F.col("class").cast("string")))
+    # The wording of the report.
+    parts = [
+        F.lit("Category:"), F.col("_tag"),
+        F.lit(" true positives: "), F.col("tp"),
         F.lit(" true negatives: "), F.col("tn"),
         F.lit(" false positives: "), F.col("fp"),
         F.lit(" false negatives: "), F.col("fn"),
-        F.lit(" precision:"), number(F.col("precision") * 100),
+        F.lit("\nprecision:"), number(F.col("precision") * 100),
         F.lit("% recall:"), number(F.col("recall") * 100),
         F.lit("% accuracy:"), number(F.col("accuracy") * 100),
         F.lit("% fmeasure:"), number(F.col("fmeasure")),
-    )
-    return report.select("class", line.alias("line"))
+    ]
+    if {"auroc", "aupr"} <= set(report.columns):
+        parts += [
+            F.lit("\nArea under ROC = "), fixed_decimals(F.col("auroc"), 6),
+            F.lit("\nArea under PR curve = "), fixed_decimals(F.col("aupr"), 6),
+        ]
+    return named.select("class", F.concat(*parts).alias("line"))
 
 
 def _rate(part: Column, whole: Column) -> Column:

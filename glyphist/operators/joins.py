@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphist.session import stored
+
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALTS = 64
@@ -36,9 +38,10 @@ def lookup_join(
     keys = [keys] if isinstance(keys, str) else keys
     if is_small(table, max_rows):
         return df.join(F.broadcast(table), keys, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    # The row number parts rows that are equal in every column.
+    own = F.xxhash64(*df.columns, F.monotonically_increasing_id())
+    salted = df.withColumn("_salt", F.pmod(own, F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # Rows that are equal in all columns share a salt; AQE splits what is left of them.
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -65,14 +68,16 @@ def join_on_entity(
 ) -> DataFrame:
     """Inner join where ``key`` is unique in ``one`` and may repeat, even heavily, in ``many``.
 
-    Rows of hot keys meet a broadcast of the few matching ``one`` rows and are never
-    shuffled. All others take the ordinary shuffled join, which reuses the key
-    partitioning that ``one`` has from its aggregation.
+    Without hot keys this is the ordinary join, which reuses the key partitioning that
+    ``one`` has from its aggregation. Otherwise ``one`` is written first; rows of hot keys
+    meet a broadcast of their few rows of it, or are salted if those are large.
     """
     hot = hot_keys(many, key, min_rows, share)
     if not hot:
         return many.join(one, key, "inner")
+    # Both branches read the written rows, so ``one`` is computed once, whatever it takes.
+    one = stored(one, "entities")
     is_hot = F.col(key).isin(hot)
-    # At most 1/share keys, one row each.
-    hot_part = many.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, "inner")
+    # At most 1/share keys, one row each; their bytes are checked before they are sent.
+    hot_part = lookup_join(many.filter(is_hot), one.filter(is_hot), key, "inner")
     return many.filter(~is_hot).join(one.filter(~is_hot), key, "inner").unionByName(hot_part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphist.session import checkpointed
+from glyphist.session import stored
 
 # monotonically_increasing_id() keeps the row number of a partition in the low bits.
 SLOT_BITS = 33
@@ -16,9 +16,9 @@ def ordered_slots(df: DataFrame, *order: Column | str) -> DataFrame:
     """Range-sort ``df`` and record partition and row number as ``_slot``.
 
     Range bounds come from sampling, so a second run could cut elsewhere; the result is
-    checkpointed and every later reader sees the same slots.
+    written to the shared folder and every later reader sees the same slots.
     """
-    return checkpointed(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
+    return stored(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()), "slots")
 
 
 def slot_partition() -> Column:

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphist.operators.ordering import ordered_slots, partition_sizes, slot_at_rank
+from glyphist.session import release
 
 
 @dataclass(frozen=True)
 class PrefixSplit:
-    """The first ``n_train`` of ``n`` keys, in key order, are the training part."""
+    """The first ``n_train`` of ``n`` rows, in key order, are the training part.
+
+    Rows with equal keys are always in the same part.
+    """
 
     n: int
     n_train: int
@@ -41,25 +45,31 @@ def split_name(is_train: Column) -> Column:
 
 
 def prefix_split(entities: DataFrame, key: str, fraction: float) -> PrefixSplit:
-    """Exact split after floor(n * fraction) keys.
+    """Exact split after floor(n * fraction) rows in key order.
 
-    Only the key column is sorted, range-partitioned over all tasks; the driver sees one
-    count per partition and the two keys at the cut.
+    Keys may repeat: all rows with the key at the cut are training rows, so the training
+    part can be larger than asked for by the copies of one key. NULL keys are no keys;
+    they come last and are test rows. Only the key column is sorted, range-partitioned over
+    all tasks; the driver sees one count per partition and the key at the cut.
     """
     if not 0.0 <= fraction <= 1.0:
         raise ValueError("fraction must lie in [0, 1]")
-    keys = ordered_slots(entities.select(key), key)
+    keys = ordered_slots(entities.select(key), F.asc_nulls_last(key))
     sizes = partition_sizes(keys)
     n = sum(size for _, size in sizes)
-    n_train = math.floor(n * fraction)
+    asked = math.floor(n * fraction)
     key_type = entities.schema[key].dataType
-    if n_train == 0:
+    last = None
+    if asked:
+        slot = slot_at_rank(sizes, asked - 1)
+        last = keys.filter(F.col("_slot") == slot).first()[key]
+        # A NULL at the cut: every row with a key is before it.
+        cut = keys.agg(F.max(key)).first()[0] if last is None else last
+        n_train = 0 if cut is None else keys.filter(F.col(key) <= F.lit(cut).cast(key_type)).count()
+        last = cut
+    release(keys)
+    if last is None:
         return PrefixSplit(n, 0, None, key_type)
-    slots = [s for s in (slot_at_rank(sizes, n_train - 1), slot_at_rank(sizes, n_train)) if s is not None]
-    found = {r["_slot"]: r[key] for r in keys.filter(F.col("_slot").isin(slots)).collect()}
-    last = found[slots[0]]
-    if last is None or (len(slots) > 1 and found[slots[1]] == last):
-        raise ValueError(f"{key} must be unique and not NULL where the split cuts, found {last!r}")
     return PrefixSplit(n, n_train, last, key_type)
 
 

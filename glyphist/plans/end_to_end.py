@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphist.operators.classifier import (
@@ -17,11 +17,13 @@ from glyphist.operators.classifier import (
 from glyphist.operators.codebook import assign_words, codebook_of, train_codebook
 from glyphist.operators.evaluate import class_report, confusion, label_areas
 from glyphist.operators.histogram import histogram_dense, word_counts
+from glyphist.operators.joins import lookup_join
 from glyphist.operators.labels import label_entities, label_map
 from glyphist.operators.split import HashSplit, PrefixSplit, prefix_split
 from glyphist.operators.training import training_rows
 from glyphist.schema import Codebook, LinearModel
-from glyphist.session import spread, stored
+from glyphist.session import release, spread, stored
+from glyphist.sources import models
 from glyphist.sources.run_log import RunLog
 
 
@@ -41,6 +43,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Fitted:
+    """What a run leaves; ``save_fitted`` keeps the models, ``release`` removes its rows."""
+
     split: PrefixSplit | HashSplit
     codebook: Codebook
     labels: DataFrame
@@ -48,6 +52,18 @@ class Fitted:
     rows: DataFrame
     log: RunLog
 
+    def release(self) -> None:
+        release(self.rows)
+
+
+@dataclass(frozen=True)
+class Models:
+    """What new entities are classified with: codebook, label map and classifier."""
+
+    codebook: Codebook
+    labels: DataFrame
+    model: LinearModel
+
 
 def histograms(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
     """Descriptors to dense histograms, one row per entity."""
@@ -79,6 +95,8 @@ def fit(
     part of the ids, in order, is the training part.
     """
     log = RunLog(descriptors.sparkSession)
+    for name in ("train_fraction", "words", "codebook_iterations", "runs", "classifier_iterations", "threshold"):
+        log.add("settings", name, getattr(settings, name))
     if settings.store_descriptors:
         with log.timed("descriptors"):
             descriptors = stored(descriptors, "descriptors")
@@ -128,3 +146,40 @@ def evaluate(fitted: Fitted) -> DataFrame:
     """``(class, tp .. fn, precision .. fmeasure, auroc, aupr)`` on the test part."""
     test = fitted.rows.filter(F.col("split") == "test")
     return label_areas(class_report(confusion(score_rows(test, fitted.model))))
+
+
+def save_fitted(fitted: Fitted | Models, path: str) -> None:
+    """Codebook, label map and classifier as three tables below ``path``."""
+    spark = fitted.labels.sparkSession
+    models.save_codebook(fitted.codebook, spark, f"{path}/codebook")
+    models.save_labels(fitted.labels, f"{path}/labels")
+    models.save_classifier(fitted.model, spark, f"{path}/classifier")
+
+
+def load_fitted(spark: SparkSession, path: str) -> Models:
+    return Models(
+        models.load_codebook(spark, f"{path}/codebook"),
+        models.load_labels(spark, f"{path}/labels"),
+        models.load_classifier(spark, f"{path}/classifier"),
+    )
+
+
+def predict(fitted: Fitted | Models, descriptors: DataFrame) -> DataFrame:
+    """``(id, class, tag, margin, predicted)`` of entities that may be new, for every category."""
+    unlabelled = histograms(descriptors, fitted.codebook).withColumn("label", F.lit(None).cast("double"))
+    return named(score_rows(unlabelled, fitted.model).drop("actual"), fitted.labels)
+
+
+def evaluate_on(fitted: Fitted | Models, descriptors: DataFrame, tags: DataFrame) -> DataFrame:
+    """As ``evaluate``, with category names, on entities with tags, by the label map of the models.
+
+    Entities whose tag the models do not know, or that have no descriptor, are left out.
+    """
+    labelled = label_entities(tags, fitted.labels)
+    rows = training_rows(labelled, histograms(descriptors, fitted.codebook))
+    return named(label_areas(class_report(confusion(score_rows(rows, fitted.model)))), fitted.labels)
+
+
+def named(by_class: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add the category name ``tag`` of ``class``."""
+    return lookup_join(by_class, labels.select(F.col("label").alias("class"), "tag"), "class")

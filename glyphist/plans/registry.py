@@ -6,13 +6,16 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphist.functions.vectors import dense_vector
 from glyphist.operators import descriptors as desc
 from glyphist.operators.classifier import score_rows, train_hinge_descent, train_linear_svc
 from glyphist.operators.codebook import (
     assign_words,
+    assign_words_of_table,
     codebook_cost,
     codebook_of,
     first_descriptors,
@@ -29,11 +32,20 @@ from glyphist.operators.histogram import (
 from glyphist.operators.labels import distinct_tags, label_drops, label_entities, label_map
 from glyphist.operators.split import HashSplit, prefix_split
 from glyphist.operators.training import class_rows, one_vs_rest, training_rows
-from glyphist.plans.end_to_end import Settings, evaluate, fit, histograms
+from glyphist.plans.end_to_end import (
+    Fitted,
+    Settings,
+    evaluate,
+    evaluate_on,
+    fit,
+    histograms,
+    load_fitted,
+    save_fitted,
+)
 from glyphist.schema import Codebook, LinearModel, dimension_report
 from glyphist.session import scratch_path, spread, stored
-from glyphist.sources import libsvm, manifest, models
-from glyphist.sources.metadata import tags_from_json
+from glyphist.sources import binary, libsvm, manifest, models
+from glyphist.sources.metadata import read_metadata, tags_from_json
 from glyphist.sources.run_log import RunLog
 
 # Words per codebook, steps and thresholds of the registered queries.
@@ -346,27 +358,62 @@ def lloyd_3_lineitem(spark, sf):
     return codebook_rows(spark, lloyd(items, given_codebook(items, LINE_ITEM_WORDS), 3)[0], 6)
 
 
+def training_facts(spark: SparkSession, descriptors: DataFrame, codebook: Codebook) -> DataFrame:
+    """What must hold of any trained codebook, with the numbers it is held against.
+
+    The cost is below that of the first k descriptors as centres, far below that of the single
+    mean, and another step does not raise it; every descriptor has a word.
+    """
+    first = given_codebook(descriptors, codebook.size)
+    mean = descriptors.select(F.posexplode("features").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("v"))
+    single = Codebook([[r.v for r in mean.orderBy("j").collect()]])
+
+    def cost(book: Codebook) -> float:
+        return codebook_cost(assign_words(descriptors, book)).first().wssse
+
+    trained = cost(codebook)
+    again = cost(lloyd(descriptors, codebook, 1)[0])
+    counted = word_counts(assign_words(descriptors, codebook)).agg(F.sum("n").alias("n")).first().n
+    single_cost, first_cost = cost(single), cost(first)
+    row = (codebook.size, counted, round(single_cost, 6), trained < first_cost, trained < single_cost, again <= trained * (1 + 1e-12))
+    schema = "n_words int, n_descriptors long, single_cost double, below_first boolean, below_single boolean, settled boolean"
+    return spark.createDataFrame([row], schema)
+
+
 @query
 def kmeans_codebook(spark, sf):
-    model = train_codebook(embedding_descriptors(spark, sf), k=EMBEDDING_WORDS)
-    return codebook_rows(spark, codebook_of(model))
+    items = embedding_descriptors(spark, sf)
+    return training_facts(spark, items, codebook_of(train_codebook(items, k=EMBEDDING_WORDS)))
 
 
 @query
 def kmeans_lineitem(spark, sf):
-    return codebook_rows(spark, codebook_of(train_codebook(line_item_descriptors(spark, sf))))
+    items = line_item_descriptors(spark, sf)
+    return training_facts(spark, items, codebook_of(train_codebook(items)))
 
 
 @query
 def kmeans_restarts(spark, sf):
-    model = train_codebook(embedding_descriptors(spark, sf), k=EMBEDDING_WORDS, iterations=5, runs=3)
-    return codebook_rows(spark, codebook_of(model))
+    """Three restarts; the best is no worse than the first alone."""
+    items = embedding_descriptors(spark, sf)
+    one = train_codebook(items, k=EMBEDDING_WORDS)
+    best = train_codebook(items, k=EMBEDDING_WORDS, runs=3)
+    facts = training_facts(spark, items, codebook_of(best))
+    return facts.withColumn("no_worse", F.lit(best.summary.trainingCost <= one.summary.trainingCost * (1 + 1e-12)))
 
 
 @query
 def kmeans_random_init(spark, sf):
-    model = train_codebook(embedding_descriptors(spark, sf), k=EMBEDDING_WORDS, init_mode="random")
-    return codebook_rows(spark, codebook_of(model))
+    items = embedding_descriptors(spark, sf)
+    return training_facts(spark, items, codebook_of(train_codebook(items, k=EMBEDDING_WORDS, init_mode="random")))
+
+
+@query
+def assign_words_in_blocks(spark, sf):
+    """The codebook as a table, in blocks of 17 words."""
+    items = embedding_descriptors(spark, sf)
+    book = given_codebook(items, EMBEDDING_WORDS).to_df(spark)
+    return assignment_rows(assign_words_of_table(items, book, max_bytes=17 * 8 * 8))
 
 
 @query
@@ -475,7 +522,14 @@ def libsvm_roundtrip(spark, sf):
     path = scratch_path(spark, "libsvm")
     libsvm.write_libsvm_lines(embedding_rows(spark, sf), path)
     back = spark.read.format("libsvm").option("numFeatures", str(EMBEDDING_WORDS)).load(path)
-    return back.groupBy("label").agg(F.count("*").alias("n"))
+    cells = back.select("label", F.posexplode(vector_to_array("features")).alias("word", "freq"))
+    return cells.groupBy("label", "word", "freq").agg(F.count("*").alias("n"))
+
+
+@query
+def dense_vector_roundtrip(spark, sf):
+    back = embedding_descriptors(spark, sf).select("id", "pos", vector_to_array(dense_vector("features")).alias("features"))
+    return flat_features(back, 8)
 
 
 @query
@@ -519,7 +573,22 @@ def svm_descent_3(spark, sf):
 
 @query
 def svm_train(spark, sf):
-    return weight_rows(spark, train_linear_svc(embedding_rows(spark, sf), 10))
+    """Per class: the regularised hinge loss, below that of zero weights and of three steps."""
+    rows = stored(embedding_rows(spark, sf), "rows")
+
+    def losses(model: LinearModel) -> DataFrame:
+        norms = {float(c): 0.005 * float(w @ w) for c, w in zip(model.classes, model.weights)}
+        side = 2 * F.col("actual") - 1
+        hinge = F.greatest(F.lit(0.0), 1 - side * F.col("margin"))
+        by_class = score_rows(rows, model).groupBy("class").agg(F.count("*").alias("n_rows"), F.avg(hinge).alias("loss"))
+        extra = F.element_at(F.create_map(*[F.lit(x) for c in norms.items() for x in c]), F.col("class"))
+        return by_class.withColumn("loss", F.col("loss") + extra)
+
+    svc = losses(train_linear_svc(rows, 10))
+    steps = losses(train_hinge_descent(rows, range(10), EMBEDDING_WORDS, 3)).select("class", F.col("loss").alias("three"))
+    return svc.join(steps, "class").select(
+        "class", "n_rows", (F.col("loss") <= 1.0).alias("below_zero_weights"), (F.col("loss") <= F.col("three")).alias("below_three_steps")
+    )
 
 
 @query
@@ -578,6 +647,13 @@ def report_text(spark, sf):
     return report_lines(class_report(confusion_documents(spark, sf)))
 
 
+@query
+def report_text_scores(spark, sf):
+    """With the names of the categories and the areas."""
+    report = label_areas(class_report(confusion_scores(spark, sf)))
+    return report_lines(report, label_map(embedding_tags(spark, sf)))
+
+
 @query
 def areas_by_label(spark, sf):
     return rounded_ratios(label_areas(confusion_scores(spark, sf))).select("class", "auroc", "aupr")
@@ -585,7 +661,8 @@ def areas_by_label(spark, sf):
 
 @query
 def areas_by_margin(spark, sf):
-    return rounded_ratios(margin_areas(rounded_scores(contrast_scores(spark, sf))))
+    # Not rounded: both engines add the margins in the same order.
+    return rounded_ratios(margin_areas(contrast_scores(spark, sf)))
 
 
 # Whole runs ---------------------------------------------------------------------------
@@ -616,7 +693,85 @@ def train_and_evaluate(spark, sf):
     return rounded_ratios(evaluate(fitted))
 
 
+@query
+def predict_from_saved(spark, sf):
+    """Fit, save, load, and evaluate the test entities anew, as a second job would."""
+    items, tags = line_item_descriptors(spark, sf), order_tags(spark, sf)
+    fitted = fit(items, tags, END_TO_END, seeded_codebook)
+    path = scratch_path(spark, "models")
+    save_fitted(fitted, path)
+    test = ~fitted.split.is_train("id")
+    report = evaluate_on(load_fitted(spark, path), items.filter(test), tags.filter(test))
+    fitted.release()
+    return rounded_ratios(report)
+
+
+def run_facts(spark: SparkSession, fitted: Fitted) -> DataFrame:
+    """Per class of a run: its test rows, and whether the counts and ratios agree with them."""
+    report = evaluate(fitted)
+    total = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    return report.select(
+        "class",
+        total.alias("n_test"),
+        (F.col("tp") + F.col("fn")).alias("n_class"),
+        (F.abs(F.col("accuracy") * total - (F.col("tp") + F.col("tn"))) < 1e-6).alias("consistent"),
+        F.col("auroc").between(0, 1).alias("area_in_range"),
+    )
+
+
 @query
 def train_and_evaluate_kmeans(spark, sf):
-    settings = Settings(words=EMBEDDING_WORDS, classifier_iterations=20, threshold=-0.093)
-    return evaluate(fit(embedding_descriptors(spark, sf), embedding_tags(spark, sf), settings))
+    settings = Settings(words=EMBEDDING_WORDS, threshold=-0.093)
+    return run_facts(spark, fit(embedding_descriptors(spark, sf), embedding_tags(spark, sf), settings))
+
+
+@query
+def train_and_evaluate_default(spark, sf):
+    """The default settings: 100 words in 15 iterations, 200 classifier steps."""
+    return run_facts(spark, fit(line_item_descriptors(spark, sf), order_tags(spark, sf)))
+
+
+# Files --------------------------------------------------------------------------------
+
+
+def written_files(rows: DataFrame, name: str, kind: str = "text") -> str:
+    """Each row as a file of its own in a new folder."""
+    path = scratch_path(rows.sparkSession, name)
+    writer = rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\n")
+    writer.text(path) if kind == "text" else writer.json(path)
+    return path
+
+
+@query
+def entities_from_directory(spark, sf):
+    """Pages as files, listed and read back: their sizes and contents."""
+    folder = written_files(table(spark, sf, "pages").select(F.col("html").alias("value")), "entities")
+    listed = manifest.list_entities(spark, folder).filter("NOT hidden").select("path", "length")
+    read = binary.read_entities(spark, folder, skip_hidden=True).join(listed, "path")
+    return read.groupBy("length", F.md5("content").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query
+def metadata_from_files(spark, sf):
+    """Customers as JSON files; the tag of each is read back."""
+    tagged = table(spark, sf, "customer").select("c_name", F.array("c_mktsegment", F.lit("other")).alias("tags"))
+    folder = written_files(tagged, "metadata", "json")
+    return read_metadata(spark, folder, skip_hidden=True).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query
+def file_run(spark, sf):
+    """From files to word counts: documents as files, decoded to a vector per line."""
+    docs = table(spark, sf, "documents").select(F.col("text").alias("value"))
+    folder = written_files(docs, "files")
+    items = binary.file_descriptors(spark, folder, byte_line_counts, 6, skip_hidden=True)
+    counts = word_counts(assign_words(items, FILE_CODEBOOK))
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def byte_line_counts(content: bytes) -> np.ndarray:
+    return line_character_counts(content.decode()[:-1])
+
+
+# Given words for lines: none, and lines rich in vowels, consonants or capitals.
+FILE_CODEBOOK = Codebook([[0, 0, 0, 0, 0, 0], [50, 60, 2, 0, 20, 5], [200, 250, 5, 0, 90, 10], [5, 5, 100, 0, 20, 30]])

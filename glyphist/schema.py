@@ -28,7 +28,6 @@ CLASSIFIER_SCHEMA = T.StructType(
         T.StructField("threshold", T.DoubleType(), False),
     ]
 )
-METADATA_SCHEMA = T.StructType([T.StructField("tags", T.ArrayType(T.StringType()))])
 RUN_METRICS_SCHEMA = T.StructType(
     [
         T.StructField("stage", T.StringType(), False),
@@ -37,6 +36,8 @@ RUN_METRICS_SCHEMA = T.StructType(
     ]
 )
 
+# What a model may take in the driver and in every task, unless a reader is given another
+# limit. A codebook beyond it stays a table, see ``assign_words_of_table``.
 MODEL_MAX_BYTES = 512 * 1024 * 1024
 
 
@@ -44,18 +45,16 @@ def _matrix(rows, what: str) -> np.ndarray:
     matrix = np.ascontiguousarray(rows, dtype=np.float64)
     if matrix.ndim != 2 or 0 in matrix.shape:
         raise ValueError(f"{what} must be a non-empty table of equally long vectors")
-    if matrix.nbytes > MODEL_MAX_BYTES:
-        raise ValueError(f"{what} takes {matrix.nbytes} bytes, limit {MODEL_MAX_BYTES}")
     return matrix
 
 
-def _collect_checked(df: DataFrame, vector: str, what: str) -> list:
+def _collect_checked(df: DataFrame, vector: str, what: str, max_bytes: int) -> list:
     """Collect a model table after checking its size inside Spark."""
     rows, numbers = df.agg(F.count("*"), F.sum(F.size(vector))).first()
     if not rows:
         raise ValueError(f"{what} table is empty")
-    if numbers * 8 > MODEL_MAX_BYTES:
-        raise ValueError(f"{what} takes {numbers * 8} bytes, limit {MODEL_MAX_BYTES}")
+    if numbers * 8 > max_bytes:
+        raise ValueError(f"{what} takes {numbers * 8} bytes, limit {max_bytes}")
     return df.collect()
 
 
@@ -81,8 +80,8 @@ class Codebook:
         return spark.createDataFrame(rows, CODEBOOK_SCHEMA)
 
     @classmethod
-    def from_df(cls, df: DataFrame) -> Codebook:
-        rows = _collect_checked(df, "centroid", "codebook")
+    def from_df(cls, df: DataFrame, max_bytes: int = MODEL_MAX_BYTES) -> Codebook:
+        rows = _collect_checked(df, "centroid", "codebook", max_bytes)
         return cls([r["centroid"] for r in sorted(rows, key=lambda r: r["word"])])
 
 
@@ -126,8 +125,8 @@ class LinearModel:
         return spark.createDataFrame(rows, CLASSIFIER_SCHEMA)
 
     @classmethod
-    def from_df(cls, df: DataFrame) -> LinearModel:
-        rows = sorted(_collect_checked(df, "weights", "classifier"), key=lambda r: r["class"])
+    def from_df(cls, df: DataFrame, max_bytes: int = MODEL_MAX_BYTES) -> LinearModel:
+        rows = sorted(_collect_checked(df, "weights", "classifier", max_bytes), key=lambda r: r["class"])
         return cls(
             [r["class"] for r in rows],
             [r["weights"] for r in rows],
@@ -135,12 +134,6 @@ class LinearModel:
         )
 
 
-def require_columns(df: DataFrame, *names: str) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; found {df.columns}")
-
-
 def dimension_report(descriptors: DataFrame) -> DataFrame:
     """Smallest and largest vector length, and rows without a vector."""
     return descriptors.agg(

@@ -6,22 +6,20 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphist.functions.paths import base_name
 from glyphist.operators.descriptors import extracted
+from glyphist.sources.manifest import read_files
 
 
-def read_entities(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(id, path, content)``; equal base names share an id."""
-    reader = spark.read.format("binaryFile")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(base_name("path").alias("id"), "path", "content")
+def read_entities(spark: SparkSession, path: str, glob: str | None = None, skip_hidden: bool = False) -> DataFrame:
+    """``(id, path, content)`` of every file in the folder; equal base names share an id."""
+    return read_files(spark, path, glob, skip_hidden).select(base_name("path").alias("id"), "path", "content")
 
 
 def file_descriptors(
-    spark: SparkSession, path: str, extract: Callable[[bytes], np.ndarray], dim: int, glob: str | None = None
+    spark: SparkSession, path: str, extract: Callable[[bytes], np.ndarray], dim: int, glob: str | None = None,
+    skip_hidden: bool = False,
 ) -> DataFrame:
     """Descriptors of every file, by a decoder of the caller's choice."""
-    return extracted(read_entities(spark, path, glob).select("id", F.col("content")), "id", "content", extract, dim)
+    return extracted(read_entities(spark, path, glob, skip_hidden).select("id", "content"), "id", "content", extract, dim)

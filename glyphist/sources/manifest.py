@@ -2,19 +2,73 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphist.functions.paths import base_name, metadata_name
+from glyphist.session import scratch_path
+
+
+ENTITY_SCHEMA = "path string, length long, hidden boolean"
+# Rows are handed to Spark in pieces of this many names while a directory is listed.
+NAMES_PER_PIECE = 100_000
 
 
 def list_entities(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path)`` of every file directly in ``directory``, whatever its extension.
+    """``(path, length, hidden)`` of every file directly in ``directory``, whatever its name.
+
+    The file system is asked, not a Spark source, so empty files are listed too, and folders
+    such as ``k=1`` neither are entities nor change the listing. ``hidden`` marks names that
+    begin with ``_`` or ``.``, which Spark's sources do not read. As with any source, the
+    driver does the listing; it keeps a piece of the names at a time.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    statuses = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(path)
+    target, piece, pieces = scratch_path(spark, "listing"), [], 0
+
+    def write() -> None:
+        spark.createDataFrame(piece, ENTITY_SCHEMA).write.mode("append").parquet(target)
+
+    while statuses.hasNext():
+        status = statuses.next()
+        if status.isFile():
+            name = status.getPath().getName()
+            piece.append((status.getPath().toString(), status.getLen(), name[0] in "_."))
+        if len(piece) >= NAMES_PER_PIECE:
+            write()
+            piece, pieces = [], pieces + 1
+    if not pieces:
+        return spark.createDataFrame(piece, ENTITY_SCHEMA)
+    if piece:
+        write()
+    return spark.read.schema(ENTITY_SCHEMA).parquet(target)
+
+
+def read_files(spark: SparkSession, directory: str, glob: str | None = None, skip_hidden: bool = False) -> DataFrame:
+    """``(path, content)`` of every file directly in ``directory``.
 
-    File contents are not selected and therefore not read. Spark does not list empty
-    files and names that start with ``_`` or ``.``.
+    Empty files have empty content. Spark cannot read hidden files: one that is not empty is an
+    error, unless ``skip_hidden`` leaves all hidden files out.
     """
-    return spark.read.format("binaryFile").load(directory).select("path")
+    listed = list_entities(spark, directory)
+    if glob is not None:
+        pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
+        listed = listed.filter(F.regexp_replace("path", r"(?s)^.*/", "").rlike(f"^(?s:{pattern})$"))
+    unread = listed.filter("hidden AND length > 0")
+    if skip_hidden:
+        listed = listed.filter("NOT hidden")
+    elif n := unread.count():
+        raise ValueError(f"{n} hidden files in {directory} cannot be read; skip_hidden leaves them out")
+    # Folders such as k=1 are walked into and filtered again, so they are no partitions.
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if listed.filter("NOT hidden AND length > 0").isEmpty():
+        return listed.select("path", F.lit(b"").alias("content"))
+    contents = reader.load(directory).select("path", "content")
+    empty = listed.filter("length = 0").select("path", F.lit(b"").alias("content"))
+    filled = listed.filter("length > 0").select("path")
+    return contents.join(filled, "path", "left_semi").unionByName(empty)
 
 
 def manifest(paths: DataFrame, path: str, metadata_dir: str | None = None) -> DataFrame:

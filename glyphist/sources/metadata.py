@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphist.functions.paths import base_name
 from glyphist.functions.text import first_tag
-from glyphist.schema import METADATA_SCHEMA
+from glyphist.sources.manifest import read_files
 
 
-def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(id, tag)`` from files with one JSON object each; the id is the file's base name.
+def read_metadata(
+    spark: SparkSession, folders: str | list[str], glob: str | None = None, skip_hidden: bool = False
+) -> DataFrame:
+    """``(id, tag)``, one row per file of the folders; the id is the file's base name.
 
-    A missing, empty or malformed tag list gives a NULL tag. Very many small files are
-    better kept as a table of JSON text, see ``tags_from_json``.
+    A file holds one JSON object. A missing, empty or malformed tag list gives a NULL tag, and
+    so do an empty file and one that holds something else. Very many small files are better
+    kept as a table of JSON text, see ``tags_from_json``.
     """
-    # The path of the file metadata is URL-encoded, in which a plus sign stands for itself.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    files = spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(paths)
-    return files.select(base_name(path).alias("id"), F.get("tags", F.lit(0)).alias("tag"))
+    names = [folders] if isinstance(folders, str) else folders
+    files = reduce(DataFrame.unionByName, [read_files(spark, f, glob, skip_hidden) for f in names])
+    return files.select(base_name("path").alias("id"), first_tag(F.col("content").cast("string")).alias("tag"))
 
 
 def tags_from_json(df: DataFrame, id_col: str, json: Column | str) -> DataFrame:
