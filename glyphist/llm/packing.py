@@ -9,6 +9,7 @@ by their rank among those of their size.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,17 +52,25 @@ class TextIds:
         self._words: dict[str, bytes] = {}
         self._cached = cached
 
+    def _new(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
         if ids is None:
-            letters = word.encode().decode("latin-1").translate(self._letters)
-            ids = np.array([t.id for t in self._model.tokenize(letters)], "<u4").tobytes()
+            ids = self._new(word)
             if len(self._words) > self._cached:
                 self._words.clear()
             self._words[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes | None:
+        # Letters alone, or before one mark, are cut as the pattern cuts them.
+        if part.isalpha():
+            return self._new(" " + part)
+        if part[:-1].isalpha() and part[-1] in ".,;:!?":
+            return self._word(" " + part[:-1]) + self._word(part[-1])
         if not part or part[-1].isspace():
             return None
         return b"".join(map(self._word, self._find(" " + part)))
