@@ -233,8 +233,10 @@ def repeated_starts(
     held = steps.keep(single.join(runs.select("k1", "k2").distinct(), ["k1", "k2"]), "texts")
 
     ranges = runs.filter("equal").selectExpr("k1", "k2", f"{_LOW} AS first", f"{_HIGH} AS last")
-    nodes = runs.filter("open").withColumn("i", _blocks("0", str(length), BLOCKS[0]))
-    for level, block in enumerate(BLOCKS):
+    # A block's shared piece must be most of a string for its rank to tell much.
+    blocks = [b for b in BLOCKS if b == 1 or 4 * b <= length]
+    nodes = runs.filter("open").withColumn("i", _blocks("0", str(length), blocks[0]))
+    for level, block in enumerate(blocks):
         names = steps.keep(block_names(held.join(_listed(nodes), ["k1", "k2"]), length, block), "names")
         verdicts = judged(names, f"xxhash64(k1, k2, {_ANCHOR}, i)", ["s1", "s2"], ["w1", "w2"])
         verdicts = steps.keep(verdicts, "verdicts")
@@ -247,7 +249,7 @@ def repeated_starts(
         )
         ranges = ranges.unionByName(equal)
         if block > 1:
-            nodes = verdicts.filter("open").withColumn("i", _blocks("i", f"i + {block - 1}", BLOCKS[level + 1]))
+            nodes = verdicts.filter("open").withColumn("i", _blocks("i", f"i + {block - 1}", blocks[level + 1]))
     return ranges, held
 
 

