@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from glyphist.operators.classifier import score_rows, train_hinge_descent  # noqa: E402
+from glyphist.operators.classifier import confusion_of, score_rows, train_hinge_descent  # noqa: E402
 from glyphist.operators.codebook import (  # noqa: E402
     assign_words,
     codebook_cost,
@@ -22,7 +22,7 @@ from glyphist.operators.codebook import (  # noqa: E402
     lloyd,
     train_codebook,
 )
-from glyphist.operators.evaluate import class_report, confusion, label_areas, margin_areas  # noqa: E402
+from glyphist.operators.evaluate import class_report, label_areas, margin_areas  # noqa: E402
 from glyphist.operators.labels import label_entities, label_map  # noqa: E402
 from glyphist.operators.split import prefix_split  # noqa: E402
 from glyphist.operators.training import training_rows  # noqa: E402
@@ -30,7 +30,7 @@ from glyphist.plans.end_to_end import histograms  # noqa: E402
 from glyphist.plans.registry import line_item_descriptors, order_tags  # noqa: E402
 from glyphist.session import configure, ship_with_tasks, spread, stored  # noqa: E402
 
-WORDS, ITERATIONS, DESCENT_STEPS = 100, 15, 20
+WORDS, ITERATIONS, DESCENT_STEPS = 100, 15, 200
 
 
 def main() -> None:
@@ -76,11 +76,12 @@ def main() -> None:
 
     rows = timed("assign_histogram_label_join_k100", labelled_rows)
     fitted = timed(
-        "svm_descent_20_steps_5_classes",
+        "svm_descent_200_steps_5_classes",
         lambda: train_hinge_descent(spread(rows.filter("split = 'train'")), range(5), WORDS, DESCENT_STEPS),
     )
     scores = score_rows(rows.filter(F.col("split") == "test"), fitted.with_threshold(-0.09))
-    timed("score_and_report", lambda: label_areas(class_report(confusion(scores))).collect())
+    limited = fitted.with_threshold(-0.09)
+    timed("score_and_report", lambda: label_areas(class_report(confusion_of(rows.filter("split = 'test'"), limited))).collect())
     timed("margin_areas", lambda: margin_areas(scores).collect())
     spark.stop()
     scale = re.search(r"sf([0-9.]+)", folder)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from glyphist.operators.classifier import (
     DEFAULT_ITERATIONS,
     DEFAULT_THRESHOLD,
+    confusion_of,
     score_rows,
     train_hinge_descent,
 )
 from glyphist.operators.codebook import assign_words, codebook_of, train_codebook
-from glyphist.operators.evaluate import class_report, confusion, label_areas
+from glyphist.operators.evaluate import class_report, label_areas
 from glyphist.operators.histogram import histogram_dense, word_counts
 from glyphist.operators.joins import lookup_join
 from glyphist.operators.labels import label_entities, label_map
@@ -145,7 +146,7 @@ def thresholds_by_label(labels: DataFrame, by_tag: dict[str, float]) -> dict[flo
 def evaluate(fitted: Fitted) -> DataFrame:
     """``(class, tp .. fn, precision .. fmeasure, auroc, aupr)`` on the test part."""
     test = fitted.rows.filter(F.col("split") == "test")
-    return label_areas(class_report(confusion(score_rows(test, fitted.model))))
+    return label_areas(class_report(confusion_of(test, fitted.model)))
 
 
 def save_fitted(fitted: Fitted | Models, path: str) -> None:
@@ -177,7 +178,7 @@ def evaluate_on(fitted: Fitted | Models, descriptors: DataFrame, tags: DataFrame
     """
     labelled = label_entities(tags, fitted.labels)
     rows = training_rows(labelled, histograms(descriptors, fitted.codebook))
-    return named(label_areas(class_report(confusion(score_rows(rows, fitted.model)))), fitted.labels)
+    return named(label_areas(class_report(confusion_of(rows, fitted.model))), fitted.labels)
 
 
 def named(by_class: DataFrame, labels: DataFrame) -> DataFrame:

@@ -112,6 +112,10 @@ def test_confusion_report_and_areas(spark):
     assert row.auroc == pytest.approx(0.58333, abs=1e-5) and row.aupr == pytest.approx(0.475)
     line = ev.report_lines(ev.class_report(counts)).first().line
     assert line.endswith("precision:50.00% recall:50.00% accuracy:60.00% fmeasure:0.50")
+    labels = counts.sparkSession.createDataFrame([("pizza", counts.first()["class"])], "tag string, label double")
+    report = ev.label_areas(ev.class_report(counts))
+    line = ev.report_lines(report.withColumn("class", F.col("class").cast("double")), labels).first().line
+    assert line.startswith("Category:pizza true positives: 1") and "\nArea under ROC = 0.583333" in line
 
 
 def test_no_positive_prediction_gives_null_precision(spark):

@@ -9,6 +9,7 @@ from glyphist.operators.descriptors import extracted, line_descriptors, sub_vect
 from glyphist.operators.training import training_rows
 from glyphist.plans import registry
 from glyphist.plans.end_to_end import histograms
+from glyphist.session import release
 from glyphist.schema import Codebook, require_uniform_dimension
 
 DESCRIPTOR = "id string, pos int, features array<double>"
@@ -121,7 +122,7 @@ def test_blocks_hold_all_rows(spark):
     points = np.arange(5000, dtype=float).reshape(-1, 2)
     blocks = to_blocks(frame(spark, points), 2)
     total = sum(np.frombuffer(bytes(r.points)).sum() for r in blocks.collect())
-    blocks.unpersist()
+    release(blocks)
     assert total == points.sum()
 
 
@@ -185,3 +186,31 @@ def test_dimension_check(spark):
     assert require_uniform_dimension(frame(spark, [(1, 2), (3, 4)])) == 2
     with pytest.raises(ValueError, match="differ"):
         require_uniform_dimension(frame(spark, [(1, 2), (3,)]))
+
+
+def test_a_step_shuffles_whole_vectors(spark):
+    """At most keys x cores rows, however many blocks there are."""
+    from glyphist.operators.blocks import summed_partials
+
+    points = np.arange(4000, dtype=float).reshape(-1, 2)
+    blocks = to_blocks(frame(spark, points).repartition(20), 2)
+
+    def sums(batches):
+        total = np.zeros((3, 2))
+        for batch in batches:
+            for value in batch.column("points"):
+                total[1] += np.frombuffer(value.as_buffer()).reshape(-1, 2).sum(axis=0)
+        return total
+
+    got = summed_partials(blocks, sums, 3, 2)
+    assert np.array_equal(got, [[0, 0], points.sum(axis=0), [0, 0]])
+    assert blocks.coalesce(4).rdd.getNumPartitions() <= 4
+    release(blocks)
+
+
+def test_words_of_a_table_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    points, book = frame(spark, rng.normal(size=(200, 3))), Codebook(rng.normal(size=(11, 3)))
+    want = {(r.id, r.pos): (r.word, r.dist) for r in cb.assign_words(points, book).collect()}
+    got = cb.assign_words_of_table(points, book.to_df(spark), max_bytes=4 * 24)
+    assert {(r.id, r.pos): (r.word, r.dist) for r in got.collect()} == want

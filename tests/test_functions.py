@@ -77,6 +77,12 @@ def test_unequal_vectors_are_refused(column):
         vectors.batch_matrix(pa.array(column, pa.list_(pa.float64())), 2)
 
 
+@pytest.mark.parametrize("column", [[[1.0, None], [3.0, 4.0]], [[1.0, float("nan")]], [[float("inf"), 0.0]]])
+def test_missing_and_infinite_numbers_are_refused(column):
+    with pytest.raises(ValueError, match="1 feature vectors"):
+        vectors.batch_matrix(pa.array(column, pa.list_(pa.float64())), 2)
+
+
 def test_dense_vector_and_double(spark):
     df = spark.createDataFrame([([1.5, 2.0],)], "f array<float>").select(
         vectors.dense_vector("f").alias("v"), vectors.to_double("f").alias("d")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,11 +65,13 @@ def test_prefix_split(spark, n, fraction):
     assert train == sorted(r.key for r in df.collect())[: int(n * fraction)]
 
 
-def test_prefix_split_refuses_a_cut_between_equal_keys(spark):
-    df = spark.createDataFrame([(1,), (2,), (2,), (3,)], "key int")
-    with pytest.raises(ValueError, match="unique"):
-        prefix_split(df, "key", 0.5)
-    assert prefix_split(df, "key", 0.75).n_train == 3
+def test_prefix_split_keeps_equal_keys_together(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "key int")
+    for fraction, n_train in ((0.0, 0), (0.2, 1), (0.4, 3), (0.6, 3), (0.8, 4), (1.0, 4)):
+        split = prefix_split(df, "key", fraction)
+        assert (split.n, split.n_train) == (5, n_train)
+        assert split.apply(df, "key").filter("split = 'train'").count() == n_train
+    assert prefix_split(df.filter("key IS NULL"), "key", 0.5).n_train == 0
 
 
 def test_hash_split_is_a_fixed_partition(spark):
@@ -100,12 +103,37 @@ def test_training_rows_join(spark):
     assert rows(training_rows(labelled, hists), "id", "label") == [(1, 0.0), (1, 1.0)]
 
 
-def test_hot_keys_are_filtered_in_the_scan(spark, tmp_path):
+def test_entities_are_computed_once_for_hot_keys(spark, tmp_path):
+    """With a count on the way and a decoder of the user, one scan and one pass remain."""
+    from glyphist.operators.descriptors import extracted
+    from glyphist.operators.histogram import histogram_dense, word_counts
+    from glyphist.operators.codebook import assign_words
+    from glyphist.schema import Codebook
+    from glyphist.sources.run_log import RunLog
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def decode(payload):
+        calls.add(1)
+        return np.array([[float(len(payload))]])
+
     skewed(spark).write.parquet(str(tmp_path / "many"))
-    spark.range(200).withColumn("n", F.lit(1)).write.parquet(str(tmp_path / "one"))
-    many, one = (spark.read.parquet(str(tmp_path / n)) for n in ("many", "one"))
-    sums = one.groupBy("id").agg(F.sum("n").alias("total"))
-    joined = join_on_entity(many, sums, "id", 50, 0.1)
+    many = spark.read.parquet(str(tmp_path / "many"))
+    payloads = spark.range(200).select("id", F.lit("x").alias("payload"))
+    log = RunLog(spark)
+    items = log.counted(extracted(payloads, "id", "payload", decode, 1), "descriptors")
+    one = histogram_dense(word_counts(assign_words(items, Codebook([[0.0], [1.0]]))), 2)
+    joined = join_on_entity(many, one, "id", 50, 0.1)
+    assert joined.count() == many.filter("id < 200").count() and calls.value == 200
     plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("EqualTo(id,7)") >= 4 and "BroadcastHashJoin" in plan
-    assert joined.count() == 200
+    assert "MapInArrow" not in plan and "BroadcastHashJoin" in plan
+    assert {m: v for _, m, v in log.collect()}["rows"] == 200
+
+
+def test_large_rows_of_hot_keys_are_not_broadcast(spark, monkeypatch):
+    from glyphist.operators import joins
+
+    monkeypatch.setattr(joins.is_small, "__defaults__", (joins.BROADCAST_MAX_ROWS, 10))
+    many, one = skewed(spark), spark.range(200).withColumn("m", F.lit(1))
+    assert join_on_entity(many, one, "id", 50, 0.1).count() == many.filter("id < 200").count()
+

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from glyphist.operators.codebook import assign_words
 from glyphist.operators.split import HashSplit, prefix_split
 from glyphist.plans import registry
-from glyphist.plans.end_to_end import Settings, evaluate, fit, thresholds_by_label
+from glyphist.plans.end_to_end import (
+    Settings,
+    evaluate,
+    evaluate_on,
+    fit,
+    load_fitted,
+    predict,
+    save_fitted,
+    thresholds_by_label,
+)
 from glyphist.schema import Codebook, LinearModel
 from glyphist.session import shared_dir, spread
 from glyphist.sources import binary, libsvm, manifest, models
@@ -38,10 +47,39 @@ def test_directory_manifest_and_path_lists(spark, tmp_path):
     assert manifest.read_path_list(spark, target, "test", "entity").count() == 1
 
 
-def test_listing_does_not_read_contents(spark, tmp_path):
-    (tmp_path / "a.jpg").write_bytes(b"x")
-    plan = manifest.list_entities(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+def test_listing_has_every_name(spark, tmp_path):
+    for name in ("a.jpg", "_b.jpg", ".c.jpg", "x y%20.png"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "d.jpg").write_bytes(b"")
+    (tmp_path / "k=1").mkdir()
+    (tmp_path / "k=1" / "z.jpg").write_bytes(b"z")
+    rows = manifest.list_entities(spark, str(tmp_path)).collect()
+    names = {r.path.rsplit("/", 1)[1]: (r.length, r.hidden) for r in rows}
+    assert names == {
+        "a.jpg": (1, False), "_b.jpg": (1, True), ".c.jpg": (1, True), "d.jpg": (0, False), "x y%20.png": (1, False),
+    }
+    with pytest.raises(ValueError, match="2 hidden"):
+        binary.read_entities(spark, str(tmp_path))
+    read = {r.id: bytes(r.content) for r in binary.read_entities(spark, str(tmp_path), skip_hidden=True).collect()}
+    assert read == {"a": b"x", "d": b"", "x y%20": b"x"}
+
+
+def test_listing_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "NAMES_PER_PIECE", 3)
+    for i in range(8):
+        (tmp_path / f"{i}.jpg").write_bytes(b"x" * i)
+    rows = manifest.list_entities(spark, str(tmp_path)).collect()
+    assert sorted(r.length for r in rows) == list(range(8))
+
+
+def test_one_metadata_file_is_one_row(spark, tmp_path):
+    (tmp_path / "two.json").write_text('[{"tags": ["a"]}, {"tags": ["b"]}]')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "k=1").mkdir()
+    (tmp_path / "k=1" / "z.json").write_text('{"tags": ["z"]}')
+    (tmp_path / "one.json").write_text('{"tags": ["t"]}')
+    got = sorted((r.id, r.tag) for r in read_metadata(spark, str(tmp_path)).collect())
+    assert got == [("empty", None), ("one", "t"), ("two", None)]
 
 
 def test_metadata_files(spark, tmp_path):
@@ -78,7 +116,7 @@ def test_binary_entities_with_equal_base_names_merge(spark, tmp_path):
     got = sorted((r.id, r.features) for r in binary.file_descriptors(spark, str(tmp_path), pairs, 2).collect())
     assert got == [("x", [1.0, 2.0]), ("x", [3.0, 4.0]), ("x", [5.0, 6.0]), ("y", [7.0, 8.0])]
     only = binary.read_entities(spark, str(tmp_path), "*.jpg").select("id").collect()
-    assert sorted(r.id for r in only) == ["x", "y"]
+    assert sorted(r.id for r in only) == ["empty", "x", "y"]
 
 
 def test_models_survive_saving_and_are_replaced(spark, tmp_path):
@@ -104,10 +142,11 @@ def test_kmeans_model_roundtrip(spark, sf, tmp_path):
     assert np.array_equal(codebook_of(models.load_kmeans(str(tmp_path / "k"))).centroids, codebook_of(model).centroids)
 
 
-def test_oversized_model_is_refused(monkeypatch):
-    monkeypatch.setattr("glyphist.schema.MODEL_MAX_BYTES", 100)
+def test_oversized_model_is_refused(spark):
+    book = Codebook(np.zeros((10, 2)))
     with pytest.raises(ValueError, match="limit"):
-        Codebook(np.zeros((10, 2)))
+        Codebook.from_df(book.to_df(spark), max_bytes=100)
+    assert Codebook.from_df(book.to_df(spark), max_bytes=160).size == 10
 
 
 def test_libsvm_files(spark, tmp_path):
@@ -179,3 +218,20 @@ def test_thresholds_by_label(spark):
     labels = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "tag string, label double")
     assert thresholds_by_label(labels, {"b": 0.5, "zz": 1.0}) == {1.0: 0.5}
     assert thresholds_by_label(labels, {}) == {}
+
+
+def test_saved_models_classify_new_entities(spark, sf, tmp_path):
+    settings = Settings(words=8, codebook_iterations=2, classifier_iterations=3, threshold=-0.1)
+    items, tags = registry.line_item_descriptors(spark, sf), registry.order_tags(spark, sf)
+    fitted = fit(items, tags, settings)
+    save_fitted(fitted, str(tmp_path / "m"))
+    loaded = load_fitted(spark, str(tmp_path / "m"))
+    test = ~fitted.split.is_train("id")
+    again = evaluate_on(loaded, items.filter(test), tags.filter(test))
+    counts = ("class", "tp", "tn", "fp", "fn")
+    assert sorted(map(tuple, again.select(*counts).collect())) == sorted(map(tuple, evaluate(fitted).select(*counts).collect()))
+    predicted = predict(loaded, items.filter(test))
+    assert {r.tag for r in predicted.select("tag").distinct().collect()} == {r.tag for r in fitted.labels.collect()}
+    log = {(stage, metric): v for stage, metric, v in fitted.log.collect()}
+    assert log[("settings", "classifier_iterations")] == 3
+    fitted.release()
