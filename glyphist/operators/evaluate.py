@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphist.functions.text import fixed_decimals
 from glyphist.operators.joins import lookup_join
-from glyphist.operators.ordering import ordered_slots, slot_partition
+from glyphist.session import stored
 
 COUNTS = ("tp", "tn", "fp", "fn")
 
@@ -93,19 +97,41 @@ def label_areas(counts: DataFrame) -> DataFrame:
     return counts.select("*", roc.alias("auroc"), pr.alias("aupr"))
 
 
+def _running_totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running ``pos`` and ``neg`` of each class over the sorted rows of one range."""
+    last, carry = None, np.zeros(2, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        classes = batch.column("class").to_numpy(zero_copy_only=False)
+        counts = np.stack([batch.column(c).to_numpy() for c in ("pos", "neg")])
+        starts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+        runs = counts.cumsum(axis=1)
+        before = np.where(starts > 0, runs[:, starts - 1], 0)
+        if classes[0] == last:
+            before[:, 0] -= carry
+        runs -= np.repeat(before, np.diff(np.append(starts, len(classes))), axis=1)
+        last, carry = classes[-1], runs[:, -1].copy()
+        columns = [*batch.columns, pa.array(runs[0]), pa.array(runs[1])]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_pos_run", "_neg_run"])
+
+
 def margin_areas(predictions: DataFrame) -> DataFrame:
     """``(class, auroc, aupr)`` over all distinct margins.
 
-    Equal margins are merged first. The merged rows are range-sorted by class and
-    margin, running totals are taken inside each range, and the totals of the ranges
-    before it are added: no class passes through one task.
+    Equal margins are merged first. The merged rows are range-sorted by class and margin,
+    the only shuffle of them; running totals are taken as each range is written, and the
+    totals of the ranges before it are added: no class passes through one task.
     """
     real = F.col("actual") == 1
     merged = predictions.groupBy("class", "margin").agg(
         F.count_if(real).alias("pos"), F.count_if(~real).alias("neg")
     )
-    ranges = ordered_slots(merged, "class", F.desc("margin")).withColumn("_range", slot_partition())
-    per_range = ranges.groupBy("class", "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    ordered = merged.orderBy("class", F.desc("margin")).withColumn("_range", F.spark_partition_id())
+    kind = merged.schema["class"].dataType.simpleString()
+    schema = f"class {kind}, margin double, pos long, neg long, _range int, _pos_run long, _neg_run long"
+    ranges = stored(ordered.mapInArrow(_running_totals, schema), "margins")
+    per_range = ranges.groupBy("class", "_range").agg(F.max("_pos_run").alias("_pos"), F.max("_neg_run").alias("_neg"))
     # One row per range and class: a class has at most as many rows as there are ranges.
     whole = Window.partitionBy("class")
     earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,13 +143,7 @@ def margin_areas(predictions: DataFrame) -> DataFrame:
         F.sum("_pos").over(whole).alias("_pos_all"),
         F.sum("_neg").over(whole).alias("_neg_all"),
     )
-    inside = (
-        Window.partitionBy("class", "_range")
-        .orderBy(F.desc("margin"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = ranges.withColumn("_pos_run", F.sum("pos").over(inside)).withColumn("_neg_run", F.sum("neg").over(inside))
-    points = lookup_join(running, starts, ["class", "_range"], "inner")
+    points = lookup_join(ranges, starts, ["class", "_range"], "inner")
     tp, fp = F.col("_pos_start") + F.col("_pos_run"), F.col("_neg_start") + F.col("_neg_run")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     tpr, tpr0 = _rate(tp, F.col("_pos_all")), _rate(tp0, F.col("_pos_all"))
