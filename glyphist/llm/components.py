@@ -15,7 +15,8 @@ def components(steps: Steps, edges: DataFrame) -> DataFrame:
     neighbours to its least neighbour, then every node and its smaller neighbours to the least
     of them; rounds are few (about the logarithm of the longest path) and end when the
     edges no longer change. Only least nodes are aggregated, which combines before the
-    shuffle, and a node with very many edges meets one row in a join that Spark can split.
+    shuffle and are written; a node with very many edges then meets one row in a join that
+    Spark can split.
     """
     ordered = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current = steps.keep(ordered.distinct(), "edges")
@@ -23,9 +24,10 @@ def components(steps: Steps, edges: DataFrame) -> DataFrame:
     while state[0]:
         both = current.union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = steps.keep(least, "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = steps.keep(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = steps.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").union(least.select("u", "m"))
         following = steps.keep(small.distinct(), "edges")

@@ -255,7 +255,8 @@ class Forest:
             "g1", "g2", "n", "tree", _path(F.col("tree"), DEPTH).alias("path")
         )
         regions = paths.groupBy(region(LEAST_DEPTH)).agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-        alive = paths.withColumn("region", region(LEAST_DEPTH)).join(regions.filter("sets > 1"), "region")
+        regions = self.steps.keep(regions.filter("sets > 1"), "regions")
+        alive = paths.withColumn("region", region(LEAST_DEPTH)).join(regions, "region")
         alive = self.steps.keep(alive, "alive")
         fits = F.expr(f"sets <= {REGION_SETS} AND shingles <= {REGION_SHINGLES}")
         cells = alive.filter(fits).withColumn("cell", F.col("region")).select("cell", "tree", "g1", "g2")

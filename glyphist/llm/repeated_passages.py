@@ -142,13 +142,16 @@ def repeated(rows: DataFrame, position: str, *name: str) -> DataFrame:
     return names.filter("_first <> _last").select(*name)
 
 
-def judged(rows: DataFrame, position: str, shared: list[str], whole: list[str]) -> DataFrame:
+def judged(steps: Steps, rows: DataFrame, position: str, shared: list[str], whole: list[str]) -> DataFrame:
     """Add ``equal`` (all strings of the block repeat) and ``open`` (to be ranked again).
 
     Blocks with equal whole pieces are equal. A block whose shared piece is its own alone
     has no string that repeats, and is left out. Blocks that share a piece stay open if
     one of them is not equal to another; of equal ones the first is enough for that.
     A whole piece that is 0 is none.
+
+    What a join adds is written first, one row for each name: Spark then splits the rows of
+    a frequent name over tasks.
     """
     p = F.expr(position)
     groups = rows.groupBy(*shared, *whole).agg(F.min(p).alias("_first"), F.max(p).alias("_last"))
@@ -157,8 +160,10 @@ def judged(rows: DataFrame, position: str, shared: list[str], whole: list[str])
         F.min("_first").alias("_low"), F.max("_last").alias("_high"), F.bool_or(~F.col("equal")).alias("_some")
     )
     classes = classes.filter("_some AND _low <> _high").select(*shared, F.lit(True).alias("_open"))
+    groups, classes = steps.keep(groups, "groups"), steps.keep(classes, "classes")
     flags = groups.join(classes, shared, "left").filter("equal OR _open")
-    named = rows.join(flags.select(*shared, *whole, "equal", "_open", "_first"), [*shared, *whole])
+    flags = steps.keep(flags.select(*shared, *whole, "equal", "_open", "_first"), "flags")
+    named = rows.join(flags, [*shared, *whole])
     still = F.coalesce("_open", F.lit(False)) & (~F.col("equal") | (p == F.col("_first")))
     return named.withColumn("open", still).drop("_open", "_first", *shared, *whole)
 
@@ -219,10 +224,11 @@ def repeated_starts(
     gram = gram or max(1, min(GRAM, length // 2))
     found = steps.keep(anchors(docs, length, gram), "anchors")
     # The anchor's gram is the piece that all strings of a run share.
-    seeds = steps.keep(found.join(repeated(found, _POSITION, "gram"), "gram", "left_semi"), "seeds")
+    names = steps.keep(repeated(found, _POSITION, "gram"), "grams")
+    seeds = steps.keep(found.join(names, "gram", "left_semi"), "seeds")
     steps.drop(found)
     runs = steps.keep(
-        judged(seeds, _POSITION, ["gram"], ["whole"]).select("k1", "k2", "run", "equal", "open").distinct(), "runs"
+        judged(steps, seeds, _POSITION, ["gram"], ["whole"]).select("k1", "k2", "run", "equal", "open").distinct(), "runs"
     )
     steps.drop(seeds)
 
@@ -238,7 +244,7 @@ def repeated_starts(
     nodes = runs.filter("open").withColumn("i", _blocks("0", str(length), blocks[0]))
     for level, block in enumerate(blocks):
         names = steps.keep(block_names(held.join(_listed(nodes), ["k1", "k2"]), length, block), "names")
-        verdicts = judged(names, f"xxhash64(k1, k2, {_ANCHOR}, i)", ["s1", "s2"], ["w1", "w2"])
+        verdicts = judged(steps, names, f"xxhash64(k1, k2, {_ANCHOR}, i)", ["s1", "s2"], ["w1", "w2"])
         verdicts = steps.keep(verdicts, "verdicts")
         steps.drop(names)
         equal = verdicts.filter("equal").selectExpr(
