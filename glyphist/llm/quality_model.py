@@ -116,17 +116,18 @@ def fit(
 
 
 def train_quality_model(
-    labelled: DataFrame, rows: int = TRAIN_ROWS, dim: int = DIM, epochs: int = EPOCHS
+    docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dim: int = DIM, epochs: int = EPOCHS
 ) -> SubwordClassifier | None:
-    """Fit on ``labelled (doc_id, text, label)`` with labels 0 and 1; None without any row.
+    """Fit on the texts of ``docs (doc_id, text)`` with a 0 or 1 in ``labels (doc_id, label)``.
 
-    The features of whole texts are made in the tasks; only the ``rows`` labelled texts with
-    the lowest hashed ids are fitted on, the bound of what reaches the driver. Of rows with
-    the same id one is taken.
+    Only the ``rows`` labelled documents with the lowest hashed ids are fitted on, which bounds
+    what is broadcast and what reaches the driver; features of their whole texts are made in
+    the tasks. Of rows with the same id one is taken. None if no document has a label.
     """
-    order = labelled.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h", "doc_id")
-    ids = order.limit(rows).select("doc_id")
-    one = labelled.join(F.broadcast(ids), "doc_id")
+    known = labels.filter("label IN (0, 1)").join(docs.select("doc_id"), "doc_id", "left_semi")
+    order = known.select("doc_id", F.xxhash64("doc_id").alias("_h")).distinct().orderBy("_h", "doc_id")
+    sample = order.limit(rows).select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"))
+    one = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in all_slices(batches):
@@ -146,13 +147,13 @@ def train_quality_model(
         run, "doc_id long, label int, buckets array<int>, shares array<float>"
     )
     single = made.groupBy("doc_id").agg(F.min(F.struct("label", "buckets", "shares")).alias("r")).select("doc_id", "r.*")
-    sample = single.toArrow().sort_by("doc_id")
-    if sample.num_rows == 0:
+    found = single.toArrow().sort_by("doc_id")
+    if found.num_rows == 0:
         return None
     return fit(
-        [x.values.to_numpy() for x in sample["buckets"]],
-        [x.values.to_numpy() for x in sample["shares"]],
-        sample["label"].to_numpy(),
+        [x.values.to_numpy() for x in found["buckets"]],
+        [x.values.to_numpy() for x in found["shares"]],
+        found["label"].to_numpy(),
         dim,
         epochs,
     )

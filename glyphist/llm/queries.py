@@ -30,8 +30,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on labelled rows outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(F.col("doc_id"), 3) == 1
-    known = labels.filter(~held_out & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
-    model = train_quality_model(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = labels.filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    model = train_quality_model(docs.select("doc_id", "text"), known)
     scored = quality_scores(docs, model)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
