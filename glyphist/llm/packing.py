@@ -24,7 +24,7 @@ from glyphist.session import stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 # Limits of the search for better fillings; the best found so far is always whole.
 SEARCH_NODES = 200
 FILLINGS_PER_NODE = 20_000
