@@ -66,16 +66,36 @@ _COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|
 _PUNCTUATION = r"[\x00-/:-@\[-`{-\x7f]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, no punctuation, single spaces, one spelling."""
-    result = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "")
-    result = F.regexp_replace(result, _PUNCTUATION, " ")
-    result = F.concat(F.lit(" "), F.trim(result), F.lit(" "))
+def bare_line(line: Column) -> Column:
+    """Lower case and single spaces for punctuation; empty if it is a copyright line."""
+    result = F.lower(line)
+    # Most lines name no copyright at all, which is found faster than the pattern is.
+    named = F.contains(result, F.lit("copyright")) | F.contains(result, F.lit("(c)")) | F.contains(result, F.lit("©"))
+    result = F.when(named, F.regexp_replace(result, _COPYRIGHT_LINE, "")).otherwise(result)
+    return F.trim(F.regexp_replace(result, _PUNCTUATION, " "))
+
+
+def bare_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), bare_line)
+
+
+def joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+
+
+def spelled(bare: Column) -> Column:
+    """One spelling for equivalent ones."""
+    result = F.concat(F.lit(" "), bare, F.lit(" "))
     for spelling, used in EQUIVALENT_SPELLINGS:
         result = F.replace(result, F.lit(f" {spelling} "), F.lit(f" {used} "))
     return F.trim(result)
 
 
+def canonical(text: Column) -> Column:
+    """Lower case, no copyright lines, no punctuation, single spaces, one spelling."""
+    return spelled(joined(bare_lines(text)))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -100,18 +120,20 @@ def license_matches(
     """
     catalogue = licenses.filter(F.col("digest") != F.sha2(F.lit(""), 256)).select("license", "kind", "digest")
     text = F.col(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda line: line != F.lit(""))
-    units = docs.filter(text.isNotNull()).select(
-        F.col(id_col).alias("doc_id"),
+    # Lines are made bare once, and the document is made of them.
+    bare = docs.filter(text.isNotNull()).select(F.col(id_col).alias("doc_id"), bare_lines(text).alias("lines"))
+    units = bare.select(
+        "doc_id",
         F.explode(
             F.concat(
-                F.array(F.struct(F.lit("document").alias("unit"), text.alias("body"))),
-                F.transform(lines, lambda line: F.struct(F.lit("line").alias("unit"), line.alias("body"))),
+                F.array(F.struct(F.lit("document").alias("unit"), joined(F.col("lines")).alias("bare"))),
+                F.transform("lines", lambda line: F.struct(F.lit("line").alias("unit"), line.alias("bare"))),
             )
         ).alias("u"),
     )
     return (
-        units.select("doc_id", "u.unit", digest(F.col("u.body")).alias("digest"))
+        units.filter("u.bare <> ''")
+        .select("doc_id", "u.unit", F.sha2(spelled(F.col("u.bare")), 256).alias("digest"))
         .join(catalogue, "digest")
         .groupBy("doc_id", "unit", "license", "kind")
         .agg(F.count("*").alias("n_units"))
