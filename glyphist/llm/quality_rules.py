@@ -106,18 +106,28 @@ def _group_name(*columns: str) -> Column:
 
 
 def grouped(rows: DataFrame, steps: Steps) -> DataFrame:
-    """Add ``g``: language and source, or language, or all, the first with enough rows."""
+    """Add ``g``, what a row is judged with: language and source, or language, or all, the first with enough rows.
+
+    ``gs`` has all groups that the row counts for: of its pair, its language and all, those
+    that some row is judged with.
+    """
     pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     of_lang = Window.partitionBy("lang")
+    enough = F.col("n") >= MIN_GROUP
     sized = pairs.withColumn("n_lang", F.sum("n").over(of_lang)).select(
         "lang",
         "source",
-        F.when(F.col("n") >= MIN_GROUP, _group_name("lang", "source"))
+        F.when(enough, _group_name("lang", "source"))
         .when(F.col("n_lang") >= MIN_GROUP, _group_name("lang"))
         .otherwise(F.lit("all"))
         .alias("g"),
+        F.when(enough, _group_name("lang", "source")).alias("_pair"),
+        # The least pair tells if any is too small to be judged alone.
+        F.when((F.min("n").over(of_lang) < MIN_GROUP) & (F.col("n_lang") >= MIN_GROUP), _group_name("lang")).alias("_whole"),
     )
     names = steps.keep(sized.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "groups")
+    everything = F.lit("all") if names.filter("g = 'all'").limit(1).count() else F.lit(None).cast("string")
+    names = names.withColumn("gs", F.array_compact(F.array("_pair", "_whole", everything))).drop("_pair", "_whole")
     match = rows["lang"].eqNullSafe(names["_lang"]) & rows["source"].eqNullSafe(names["_source"])
     return rows.join(names, match).drop("_lang", "_source")
 
@@ -197,18 +207,19 @@ def judged(
     """Add ``base_failed``, ``d2`` (null where the base rules failed) and ``kept``.
 
     ``stats`` is a written table with lang, source and the counts of each row. Only its
-    narrow columns are read for the estimates; groups are small tables joined as Spark
-    chooses by their size, and all sums combine before they are shuffled.
+    narrow columns are read for the estimates, once for each group that a row counts for;
+    groups are small tables joined as Spark chooses by their size, and all sums combine
+    before they are shuffled.
     """
     marked = stats.withColumn("base_failed", base_failed())
     peers = grouped(marked.filter(~F.col("base_failed")), steps)
     rows = vectors(peers)
     axes = [f"x{i}" for i in _AXES]
-    core = steps.keep(rows.select("g", *axes), "vectors")
+    core = steps.keep(rows.select(F.explode("gs").alias("g"), *axes), "vectors")
     estimates = steps.keep(start(core, steps), "estimates")
     for _ in range(concentrations):
         estimates = steps.keep(concentrated(core, estimates), "estimates")
-    measured = with_distance(rows, estimates).drop("g", *axes)
+    measured = with_distance(rows, estimates).drop("g", "gs", *axes)
     failed = marked.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return measured.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
 

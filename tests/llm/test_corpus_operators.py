@@ -175,6 +175,28 @@ def test_quality_verdicts_of_odd_rows(spark):
     assert qr.quality_verdicts(nulls).filter("kept IS NULL").count() == 0
 
 
+def test_small_groups_are_judged_with_their_language_and_with_all(spark):
+    rng = random.Random(12)
+
+    def rows(n, lang, source, first, symbols=""):
+        texts = [" ".join(w + symbols for w in helpers.sentence(rng, rng.randrange(60, 300)).split()) for _ in range(n)]
+        named = helpers.table(spark, texts, list(range(first, first + n)), lang)
+        return named.withColumn("source", F.lit(source).cast("string"))
+
+    # Junk alone in its source, its source unknown, its language rare or unknown; and good texts in small groups.
+    junk = [rows(1, "en", "rare", 1000, "!!***$$$"), rows(1, "en", None, 1001, "!!***$$$"),
+            rows(1, "xx", "s", 1002, "!!***$$$"), rows(1, None, None, 1003, "!!***$$$")]
+    good = [rows(3, "en", "few", 2000), rows(3, "yy", "few", 2010)]
+    docs = rows(260, "en", "s", 0)
+    for part in junk + good:
+        docs = docs.union(part)
+    got = {r.doc_id: r for r in qr.quality_verdicts(docs).collect()}
+    assert len(got) == 270 and not any(got[i].base_failed for i in got)
+    assert [i for i in range(1000, 1004) if got[i].kept] == []
+    assert all(got[i].kept for i in got if i >= 2000) and sum(not got[i].kept for i in range(260)) <= 2
+    assert {r.doc_id for r in qr.good_documents(docs).collect()} == {i for i in got if got[i].kept}
+
+
 def helpers_columns():
     return helpers.SCHEMA.replace(",", "").split(" ")[2::2]
 
