@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphist.llm.steps import Steps
 from glyphist.llm.texts import SortedHashes, Texts, all_slices, of_column, shingle_hashes, word_hashes, words_of
 
 SHINGLE_WORDS = 5
@@ -194,24 +195,28 @@ def _stretches(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = ITEM_BYTES) -> Iterator[pa.Table]:
-    """The benchmark in blocks of at most ``limit`` bytes of text (or one longer item), by id.
+    """The benchmark in blocks of at most ``limit`` bytes of text (or one longer item).
 
-    The driver holds a block at a time, and one id and size per item.
+    Rows are numbered when they are written, and blocks cut between any two of them: null and
+    repeated ids are rows like others. The driver holds a block at a time, and one number per block.
     """
-    size = F.coalesce(F.octet_length(text_col), F.lit(0))
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("text is not null")
-    if (items.agg(F.sum(size)).first()[0] or 0) <= limit:
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= limit:
         yield items.toArrow()
         return
+    numbered = items.withColumn("_row", F.monotonically_increasing_id())
+    steps = Steps(benchmark.sparkSession, "items")
+    held = steps.keep(numbered, "items")
     bounds, total = [], 0
-    for row in items.groupBy("item_id").agg(F.sum(size).alias("n")).orderBy("item_id").toLocalIterator():
+    for row in held.select("_row", F.octet_length("text").alias("n")).orderBy("_row").toLocalIterator():
         if not bounds or total + row.n > limit:
-            bounds.append(row.item_id)
+            bounds.append(row["_row"])
             total = 0
         total += row.n
     for low, high in zip(bounds, [*bounds[1:], None]):
-        block = items.filter(F.col("item_id") >= low)
-        yield (block if high is None else block.filter(F.col("item_id") < high)).toArrow()
+        block = held.filter(F.col("_row") >= low)
+        yield (block if high is None else block.filter(F.col("_row") < high)).drop("_row").toArrow()
+    steps.drop(held)
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY):

@@ -145,6 +145,19 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert helpers.rows_of(got, "doc_id", "item_id") == sorted(((i, i) for i, _ in items), key=repr)
 
 
+def test_blocks_hold_null_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [helpers.sentence(rng, 20) for _ in range(24)]
+    ids = [None, *range(10), *[10] * 12, 11]
+    benchmark = spark.createDataFrame(list(zip(ids, texts)), "item_id long, text string")
+    blocks = list(dc.item_blocks(benchmark, "item_id", "text", 600))
+    assert sorted(t for b in blocks for t in b["text"].to_pylist()) == sorted(texts)
+    assert all(sum(len(t.encode()) for t in b["text"].to_pylist()) <= 600 for b in blocks)
+    monkeypatch.setattr(dc.item_blocks, "__defaults__", (600,))
+    got = dc.contaminations(helpers.table(spark, texts), benchmark)
+    assert helpers.rows_of(got, "doc_id", "item_id") == sorted(enumerate(ids), key=repr)
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     import numpy as np
 
