@@ -101,10 +101,11 @@ class ItemIndex:
             members = np.flatnonzero(self.sizes == n)
             self.by_size[n] = (members, FingerprintIndex.of(prints[members]))
 
-    def needed(self, item: int) -> int:
-        """Least weight that a similar window of the same size shares with the item."""
+    def needed(self, item: int, weight: int | None = None) -> int:
+        """Least weight that a similar window of ``weight``, or of the item's own, shares with the item."""
         total = sum(self.weights[item].values())
-        return int(np.ceil(2 * total * self.similarity / (1 + self.similarity) - 1e-9))
+        both = total + (total if weight is None else weight)
+        return int(np.ceil(both * self.similarity / (1 + self.similarity) - 1e-9))
 
     def hits(self, texts: Texts) -> list[Hit]:
         """Best window of every (text, item) whose similarity reaches the limit."""
@@ -135,11 +136,17 @@ class ItemIndex:
             for item in self.items_of[shingle]:
                 at[item].append(place)
         sizes = defaultdict(list)
-        for item, own in at.items():
-            if len(own) >= self.needed(item) and self.sizes[item] <= len(hashes):
-                sizes[int(self.sizes[item])].append(item)
         hits = []
         shingles = shingle_hashes(hashes, SHINGLE_WORDS)
+        for item, own in at.items():
+            if self.sizes[item] > len(hashes):
+                # The whole text is the one window; so few are compared that no fingerprint is asked.
+                if len(own) >= self.needed(item, len(shingles)):
+                    value = self._similarity(item, shingles)
+                    if value >= self.similarity:
+                        hits.append(Hit(row, item, 0, len(hashes), value))
+            elif len(own) >= self.needed(item):
+                sizes[int(self.sizes[item])].append(item)
         for n, items in sizes.items():
             width = n - SHINGLE_WORDS + 1
             wanted = set(items)
@@ -233,8 +240,9 @@ def contaminations(
 
     Items and whole documents are lower-cased (A-Z) and cut into words. A document holds
     an item if a window with as many words has a weighted five-word-shingle Jaccard
-    similarity of at least ``similarity``; the best window, the first on a tie, is given. Items and
-    documents of fewer than five words are one shingle each. Fingerprints within 23 of 64
+    similarity of at least ``similarity``; the best window, the first on a tie, is given. A
+    document with fewer words than the item is one window. Items and documents of fewer
+    than five words are one shingle each. Fingerprints within 23 of 64
     bits are candidates; windows are looked at where the document shares enough shingles
     with an item to be similar at all.
 

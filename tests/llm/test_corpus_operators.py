@@ -145,6 +145,32 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert helpers.rows_of(got, "doc_id", "item_id") == sorted(((i, i) for i, _ in items), key=repr)
 
 
+def test_items_with_words_missing_are_found():
+    import pyarrow as pa
+
+    from glyphist.llm.texts import of_column
+
+    rng = random.Random(14)
+    items = [helpers.sentence(rng, n, 10**6).split() for n in (59, 110)]
+    index = dc.ItemIndex([0, 1], of_column(pa.array([" ".join(i) for i in items])))
+    short, long = items
+    docs = [
+        (short[1:], 0), (short[:-1], 0), (short[:29] + short[30:], 0),
+        (long[10:], 1), (long[:-10], 1), (long[:50] + long[55:], 1), (long[:50] + long[60:], 1),
+        (long[25:], None), (short[:20] + short[40:], None), (short[::-1][1:], None),
+    ]
+    want = set()
+    for row, (doc, item) in enumerate(docs):
+        a = {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)}
+        for i, own in enumerate(items):
+            b = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+            if len(a & b) >= 0.8 * len(a | b):
+                want.add((row, i, 0, len(doc), round(len(a & b) / len(a | b), 9)))
+    assert {w[:2] for w in want} == {(row, item) for row, (_, item) in enumerate(docs) if item is not None}
+    hits = index.hits(of_column(pa.array([" ".join(d) for d, _ in docs])))
+    assert {(h.row, h.item, h.start_word, h.n_words, round(h.similarity, 9)) for h in hits} == want and len(hits) == len(want)
+
+
 def test_blocks_hold_null_and_repeated_ids(spark, monkeypatch):
     rng = random.Random(13)
     texts = [helpers.sentence(rng, 20) for _ in range(24)]
