@@ -12,10 +12,9 @@ from glyphist.llm.quality_rules import good_documents
 from glyphist.llm.repeated_passages import without_repeats
 from glyphist.llm.steps import Steps
 
-# Near-duplicates share 80 % of their five-word shingles; a passage of over fifty words has
-# more bytes than this.
+# Near-duplicates share 80 % of their five-word shingles; passages of over fifty words are cut.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-PASSAGE_BYTES = 256
+PASSAGE_WORDS = 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur twice are cut from the texts; all documents stay."""
-    return without_repeats(docs, PASSAGE_BYTES)
+    """Passages of 51 words or more that occur twice are cut from the texts; all documents stay."""
+    return without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

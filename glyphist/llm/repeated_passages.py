@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphist.llm.steps import Steps
-from glyphist.llm.texts import Spans, Texts, all_slices
+from glyphist.llm.texts import Spans, Texts, all_slices, words_of
 
 LENGTH = 400
 GRAM = 64
@@ -259,6 +259,47 @@ def repeated_starts(
     return ranges, held
 
 
+def repeated_windows(steps: Steps, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """As ``repeated_starts``, but of strings from the start of one word to the end of the ``words``-th.
+
+    Such a string has at least one byte for each word and between two, so all shorter strings
+    of that many bytes in it repeat as well: only windows where these do are named.
+    ``last`` is where a string of that length ends with the window.
+    """
+    length = 2 * words - 1
+    found, texts = repeated_starts(steps, docs, length)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
+                own = words_of(Texts(data, np.array([0, len(data)])))
+                if len(own.start) < words:
+                    continue
+                start, end = own.start[: len(own.start) - words + 1], own.end[words - 1 :]
+                part = batch.column("ranges").slice(row, 1).flatten()
+                runs = np.array(merged(list(zip(part.field(0).to_pylist(), part.field(1).to_pylist())), length))
+                at = np.searchsorted(runs[:, 0], start, side="right") - 1
+                inside = (at >= 0) & (end <= runs[np.maximum(at, 0), 1])
+                start, end = start[inside].astype(np.int64), end[inside].astype(np.int64)
+                if len(start):
+                    keys = [pa.array(np.full(len(start), batch.column(k)[row].as_py(), np.int64)) for k in ("k1", "k2")]
+                    names = [_signed(Spans(data, i).hashes(start, end)) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys, pa.array(start), pa.array(end - length), *names], ["k1", "k2", "first", "last", "s1", "s2"]
+                    )
+
+    schema = "k1 long, k2 long, first long, last long, s1 long, s2 long"
+    windows = steps.keep(_with_ranges(texts, found).mapInArrow(run, schema), "windows")
+    names = steps.keep(repeated(windows, "xxhash64(k1, k2, first)", "s1", "s2"), "repeats")
+    return windows.join(names, ["s1", "s2"], "left_semi").select("k1", "k2", "first", "last"), texts
+
+
+def _with_ranges(texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
+
+
 def merged(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the strings that start in the ranges."""
     runs: list[list[int]] = []
@@ -294,9 +335,7 @@ def cut_texts(ranges: DataFrame, texts: DataFrame, length: int, whole_characters
                 [pa.array(c, t) for c, t in zip(columns, types)], ["k1", "k2", "n_removed", "n_spans", "kept"]
             )
 
-    lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    joined = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
-    return joined.mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
+    return _with_ranges(texts, ranges).mapInArrow(run, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
 
 
 def within_characters(text: bytes, first: int, end: int) -> tuple[int, int]:
@@ -308,6 +347,12 @@ def within_characters(text: bytes, first: int, end: int) -> tuple[int, int]:
     return first, end
 
 
+def _at_least(words: int) -> str:
+    """Pattern of texts with so many words; it looks at each character once."""
+    white, black = r"[\x20\x09-\x0d]", r"[^\x20\x09-\x0d]"
+    return rf"\A{white}*+(?:{black}++{white}++){{{words - 1}}}{black}"
+
+
 def _copies(ids: DataFrame, length: int) -> DataFrame:
     """Keys of texts that more than one row has, where a string fits in."""
     return ids.filter(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1")
@@ -352,20 +397,26 @@ def removal_report(
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None
+) -> DataFrame:
     """``docs``, all rows and columns, with repeated bytes cut from the texts.
 
     As ``removal_report``, but only whole characters are cut; ``n_chars``, if there is such a
-    column, becomes the length of a text that was cut.
+    column, becomes the length of a text that was cut. With ``words``, the strings that are
+    looked for have that many words and any number of bytes.
     """
+    if words:
+        length = 2 * words - 1
     steps = Steps(docs.sparkSession, "passages")
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(text.alias("text"))
-    ranges, texts = repeated_starts(steps, rows, length)
+    ranges, texts = repeated_windows(steps, rows, words) if words else repeated_starts(steps, rows, length)
     cut = cut_texts(ranges, texts, length, whole_characters=True)
     cut = steps.keep(cut.select("k1", "k2", F.col("kept").cast("string").alias("kept")), "cut")
     steps.drop(texts)
-    ids = steps.keep(with_key(rows, F.col("text")).select("k1", "k2", F.octet_length("text").alias("n_bytes")), "ids")
+    long_enough = rows.filter(F.rlike("text", F.lit(_at_least(words)))) if words else rows
+    ids = steps.keep(with_key(long_enough, F.col("text")).select("k1", "k2", F.octet_length("text").alias("n_bytes")), "ids")
     copies = _copies(ids, length).select("k1", "k2")
     whole = copies.select("k1", "k2", F.lit("").alias("kept"))
     changed = steps.keep(whole.unionByName(cut.join(copies, ["k1", "k2"], "left_anti")), "changed")

@@ -115,6 +115,21 @@ def test_cut_texts_stay_valid(spark):
     assert cut.filter("text IS NULL").count() == 1
 
 
+def test_passages_are_counted_in_words(spark):
+    rng = random.Random(15)
+    short = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(51))
+    fifty = " ".join(f"long{rng.randrange(10**9)}" for _ in range(50))
+    copy = " ".join(rng.choice("abcdefgh") for _ in range(80))
+
+    def around(passage):
+        return helpers.sentence(rng, 60, 10**6) + f" {passage}\n" + helpers.sentence(rng, 60, 10**6)
+
+    texts = [around(short) for _ in range(3)] + [around(fifty) for _ in range(2)] + [copy, copy, fifty, None, "", "x" * 300, "x" * 300]
+    got = [r.text for r in corpus_pipeline.passage_dedup(spark, helpers.table(spark, texts), "").orderBy("doc_id").collect()]
+    want = [t.replace(short, "") for t in texts[:3]] + texts[3:5] + ["", ""] + texts[7:]
+    assert got == want
+
+
 def test_contaminations_of_odd_rows(spark):
     rng = random.Random(6)
     items = [(i, helpers.sentence(rng, n)) for i, n in enumerate([3, 5, 14, 30, 59, 40])] + [(6, None), (7, ""), (8, "one")]
