@@ -156,6 +156,17 @@ def test_languages_of_odd_rows(spark):
     assert {r.lang_pred for r in identify_languages(helpers.table(spark, texts), nothing).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_beside_millions_of_grams(spark):
+    rng = random.Random(16)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 200)]
+    rows = [(i, "".join(rng.choices(letters, k=2500)), "aa") for i in range(840)]
+    rows.append((1000, "the quick brown fox jumps over a lazy dog", "zz"))
+    model = train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), calibration_rows=20)
+    assert model.model.langs == ["aa", "zz"] and len(model.model.levels[4].table) > 2_000_000
+    lang, _, _ = model.predict(Texts(np.frombuffer(b"the lazy brown dog", np.uint8), np.array([0, 18])))
+    assert lang.tolist() == ["zz"]
+
+
 def test_language_probabilities_add_up(spark):
     from glyphist.llm.language_id import ORDER, GramCounter, KneserNey, padded_points
 
