@@ -218,10 +218,93 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, ((len(h) - len(rest)) // 2)::BI
 FROM kept
 """
 
+OP11 = r"""
+WITH base AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+    row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM base
+WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS LAST, r)
+"""
+
+OP12 = """
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+        sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest
+    FROM documents
+),
+hashed AS (SELECT *, len(units)::BIGINT AS n, list_transform(range(4), lambda i: ('0x' || substr(digest, 8 * i + 1, 8))::BIGINT) AS h FROM cut),
+placed AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+        CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+            WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM hashed
+),
+parts AS (
+    SELECT *, array_to_string(units[1 : low], '') AS p, array_to_string(units[low + 1 : high], '') AS m,
+        array_to_string(units[high + 1 : n], '') AS s
+    FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(body) AS restored_sha256
+FROM parts
+"""
+
+OP13 = f"""
+WITH base AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws
+    FROM documents
+),
+failing AS (
+    SELECT part, doc_id,
+        CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 10 * length(body) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS f
+    FROM base
+),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+sets AS MATERIALIZED (
+    SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM failing LEFT JOIN marks USING (doc_id) GROUP BY ALL
+),
+letters AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+removal AS (
+    SELECT *, coalesce(list_min(list_transform(string_split(f, ''), lambda x: CASE WHEN x <> '' THEN strpos(filter_order, x) END)), 6) AS gone
+    FROM sets, orders
+),
+counted AS (
+    SELECT part, filter_order, step, filter_order[step] AS x,
+        coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone < step AND contains(f, filter_order[step])), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (f = filter_order[step]), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+    FROM removal, range(1, 6) s(step) GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLES = {
     "op1_sharding": OP1,
     "op3_quality_rules": OP3,
     "op8_near_duplicates": OP8,
     "op9_repeated_passages": OP9,
     "op10_license_scan": OP10,
+    "op11_exact_duplicates": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_filter_audit": OP13,
 }
