@@ -1,84 +1,161 @@
-"""Row blocks for jobs that read the same vectors many times.
+"""Row blocks for jobs that read the same vectors many times, and sums over them.
 
-A block is some thousand rows as packed doubles. Reading it back in a task is a memory
-copy, where an array column is converted value by value in every step.
+A block is some thousand rows as packed numbers: all values of dense rows, or the words and
+values of sparse ones. Reading it back in a task is a memory copy, where an array column is
+converted value by value in every step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glyphist.functions.vectors import batch_matrix
-from glyphist.session import stored
+from glyphist.functions.vectors import SparseRows, feature_rows
+from glyphist.session import release, stored
 
 BLOCK_BYTES = 1 << 20
+# What the tasks of a step may send to the driver together; more is added up in tasks first.
+STEP_BYTES = 64 << 20
 
+_DENSE = {"labels": "binary", "points": "binary"}
+_SPARSE = {"labels": "binary", "sizes": "binary", "words": "binary", "freqs": "binary"}
 
-def to_blocks(rows: DataFrame, dim: int, label: str | None = None) -> DataFrame:
-    """``(labels BINARY, points BINARY)``, written once to the shared folder.
+
+@dataclass(frozen=True)
+class Blocks:
+    """A written table of row blocks, and the number of tasks that read it."""
+
+    table: DataFrame
+    tasks: int
+
+    def release(self) -> None:
+        release(self.table)
+
+
+def is_sparse(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["features"].dataType, T.StructType)
+
+
+def to_blocks(rows: DataFrame, dim: int, label: str | None = None) -> Blocks:
+    """Rows with dense or sparse ``features``, written once to the shared folder.
 
     Every step reads them from there, so a lost executor costs no more than its tasks;
-    ``release`` them after the last step.
+    ``release`` them after the last step. The bytes of sparse rows follow their words,
+    whatever ``dim`` is.
     """
-    per_block = max(1, BLOCK_BYTES // (8 * dim))
     source = rows.select((F.col(label) if label else F.lit(0.0)).cast("double").alias("label"), "features")
+    fields = _SPARSE if is_sparse(rows) else _DENSE
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = np.ascontiguousarray(batch_matrix(batch.column("features"), dim))
+            points = feature_rows(batch.column("features"), dim)
             labels = np.ascontiguousarray(batch.column("label").to_numpy(zero_copy_only=False))
-            for start in range(0, len(points), per_block):
-                part = slice(start, start + per_block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([labels[part].tobytes()]), pa.array([points[part].tobytes()])], ["labels", "points"]
-                )
-
-    return stored(source.mapInArrow(pack, "labels binary, points binary"), "blocks")
-
-
-def block_arrays(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(labels, points) of every block in a batch."""
-    for labels, points in zip(batch.column("labels"), batch.column("points")):
-        yield np.frombuffer(labels.as_buffer()), np.frombuffer(points.as_buffer()).reshape(-1, dim)
-
-
-def summed_partials(blocks: DataFrame, per_task, n_keys: int, width: int) -> np.ndarray:
+            for part in _runs(points):
+                columns = [labels[part], *_packed_rows(points[part])]
+                arrays = [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, list(fields))
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    table = stored(source.mapInArrow(pack, schema), "blocks")
+    return Blocks(table, table.rdd.getNumPartitions())
+
+
+def _runs(points: np.ndarray | SparseRows) -> Iterator[slice]:
+    """Runs of rows of about ``BLOCK_BYTES`` each, at least a row."""
+    if isinstance(points, SparseRows):
+        ends = 12 * points.at[1:] + 12 * np.arange(1, len(points) + 1)
+    else:
+        ends = 8 * points.shape[1] * np.arange(1, len(points) + 1)
+    first = 0
+    while first < len(points):
+        limit = (ends[first - 1] if first else 0) + BLOCK_BYTES
+        last = max(first + 1, int(np.searchsorted(ends, limit, "right")))
+        yield slice(first, last)
+        first = last
+
+
+def _packed_rows(points: np.ndarray | SparseRows) -> list[np.ndarray]:
+    if isinstance(points, SparseRows):
+        return [np.diff(points.at).astype(np.int32), points.words.astype(np.int32), points.values]
+    return [points]
+
+
+def block_arrays(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray | SparseRows]]:
+    """(labels, rows) of every block in a batch."""
+    for row in range(batch.num_rows):
+        buffers = [column[row].as_buffer() for column in batch.columns]
+        labels = np.frombuffer(buffers[0])
+        if batch.schema.names == list(_DENSE):
+            yield labels, np.frombuffer(buffers[1]).reshape(-1, dim)
+        else:
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(buffers[1], np.int32), dtype=np.int64)])
+            yield labels, SparseRows(at, np.frombuffer(buffers[2], np.int32), np.frombuffer(buffers[3]))
+
+
+_PART = "part int, key int, vector binary"
+
+
+def summed_partials(
+    blocks: Blocks,
+    per_task: Callable[[Iterable[pa.RecordBatch]], np.ndarray],
+    n_keys: int,
+    width: int,
+    step_bytes: int = STEP_BYTES,
+) -> np.ndarray:
     """Add up ``per_task(batches) -> matrix`` over all tasks.
 
-    Blocks are read by as many tasks as there are cores, however many files they are in,
-    and each task sends its used rows whole. Tasks that own a share of the keys add them
-    up, so a step shuffles at most keys x cores rows, and the driver receives a matrix of
-    the model's size.
+    The tasks are those of the written table, so their number follows its bytes and not the
+    cores that the session happens to have. If all their matrices fit in ``step_bytes``, the
+    driver adds them, in the order of the tasks. Otherwise groups of about the square root
+    of the tasks are added up in tasks first, and if those are still too many, each key alone:
+    no task reads all matrices unless it reads one key of the groups' sums.
     """
+    matrix = n_keys * width * 8
+    groups = math.isqrt(blocks.tasks - 1) + 1 if blocks.tasks else 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = per_task(batches)
-        yield from _packed(np.flatnonzero(matrix.any(axis=1)), matrix)
+        totals = per_task(batches)
+        part = TaskContext.get().partitionId() % groups
+        yield from _packed(part, np.flatnonzero(totals.any(axis=1)), totals)
+
+    parts = blocks.table.mapInArrow(run, _PART)
+    if blocks.tasks * matrix > step_bytes:
+        parts = _added(parts, min(blocks.tasks, groups * n_keys), "part", "key")
+        if groups * matrix > step_bytes:
+            parts = _added(parts, min(n_keys, blocks.tasks), "key")
+    result = np.zeros((n_keys, width))
+    sums = parts.toArrow()
+    for key, vector in zip(sums["key"].to_pylist(), sums["vector"]):
+        result[key] += np.frombuffer(vector.as_buffer())
+    return result
+
+
+def _added(parts: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """Sums of the vectors with equal ``by``; a task holds one vector for each of its keys."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        totals: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for key, vector in zip(batch.column("key").to_pylist(), batch.column("vector")):
+            part = batch.column("part").to_pylist() if "part" in by else [0] * batch.num_rows
+            for name, vector in zip(zip(part, batch.column("key").to_pylist()), batch.column("vector")):
                 own = np.frombuffer(vector.as_buffer())
-                totals[key] = totals[key] + own if key in totals else own
-        keys = np.array(sorted(totals), dtype=np.int64)
-        yield from _packed(keys, totals)
+                totals[name] = totals[name] + own if name in totals else own
+        for part, key in sorted(totals):
+            yield from _packed(part, np.array([key]), {key: totals[part, key]})
 
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    parts = blocks.coalesce(cores).mapInArrow(run, "key int, vector binary")
-    sums = parts.repartition(max(1, min(cores, n_keys)), "key").mapInArrow(add, "key int, vector binary").toArrow()
-    result = np.zeros((n_keys, width))
-    for key, vector in zip(sums["key"].to_pylist(), sums["vector"].to_pylist()):
-        result[key] = np.frombuffer(vector)
-    return result
+    return parts.repartition(max(1, tasks), *by).mapInArrow(add, _PART)
 
 
-def _packed(keys: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
+def _packed(part: int, keys: np.ndarray, rows) -> Iterator[pa.RecordBatch]:
     if len(keys):
         vectors = [np.ascontiguousarray(rows[k]).tobytes() for k in keys.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(vectors)], ["key", "vector"])
+        parts = pa.array(np.full(len(keys), part, np.int32))
+        yield pa.RecordBatch.from_arrays([parts, pa.array(keys.astype(np.int32)), pa.array(vectors)], ["part", "key", "vector"])

@@ -11,11 +11,19 @@ from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphist.functions.vectors import BLOCK_CELLS, batch_matrix, class_margins, dense_vector, margins
-from glyphist.operators.blocks import block_arrays, summed_partials, to_blocks
+from glyphist.functions.vectors import (
+    BLOCK_CELLS,
+    SparseRows,
+    class_margins,
+    dense_vector,
+    feature_rows,
+    margins,
+    top_classes,
+)
+from glyphist.operators.blocks import Blocks, block_arrays, is_sparse, summed_partials, to_blocks
+from glyphist.operators.histogram import dense_features
 from glyphist.operators.training import class_target
 from glyphist.schema import LinearModel
-from glyphist.session import release
 
 DEFAULT_ITERATIONS = 200
 CLASSES_PER_JOB = 256
@@ -41,7 +49,7 @@ CATEGORY_THRESHOLDS = {
 }
 
 
-def _gradient_sums(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _gradient_sums(blocks: Blocks, classes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Hinge subgradient sums of all classes, and the row count, in one pass."""
     n_classes, dim = weights.shape
 
@@ -49,9 +57,14 @@ def _gradient_sums(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray)
         totals = np.zeros((n_classes, dim + 1))
         for batch in batches:
             for labels, points in block_arrays(batch, dim):
+                # The relabelling of every class is a mask over the same rows.
                 side = np.where(labels[:, None] == classes, 1.0, -1.0)
-                active = side * (points @ weights.T) < 1.0
-                totals[:, :dim] -= (active * side).T @ points
+                if isinstance(points, SparseRows):
+                    active = side * points.margins(weights) < 1.0
+                    totals[:, :dim] -= points.weighted_sums(active * side, dim)
+                else:
+                    active = side * (points @ weights.T) < 1.0
+                    totals[:, :dim] -= (active * side).T @ points
                 totals[:, dim] += len(points)
         return totals
 
@@ -88,7 +101,8 @@ def train_hinge_descent(
     """Full-batch subgradient descent on the hinge loss, one model per class.
 
     Same updates as MLlib's SGD classifier with all rows in every step and no intercept,
-    but one pass over ``rows (label, features)`` serves up to CLASSES_PER_JOB classes.
+    but one pass over ``rows (label, features)``, dense or sparse, serves up to
+    CLASSES_PER_JOB classes.
     """
     labels = np.asarray(classes, dtype=np.float64)
     blocks = to_blocks(rows, dim, "label")
@@ -98,14 +112,26 @@ def train_hinge_descent(
             for i in range(0, len(labels), CLASSES_PER_JOB)
         ]
     finally:
-        release(blocks)
+        blocks.release()
     return LinearModel(labels, np.vstack(weights))
 
 
 def train_linear_svc(
-    rows: DataFrame, n_classes: int, iterations: int = DEFAULT_ITERATIONS, reg: float = 0.01, parallelism: int = 4
+    rows: DataFrame,
+    n_classes: int,
+    iterations: int = DEFAULT_ITERATIONS,
+    reg: float = 0.01,
+    parallelism: int = 4,
+    dim: int | None = None,
 ) -> LinearModel:
-    """Spark ML's linear SVM in a one-vs-rest loop; labels are 0.0 .. n_classes - 1."""
+    """Spark ML's linear SVM in a one-vs-rest loop; labels are 0.0 .. n_classes - 1.
+
+    Sparse rows become dense vectors of ``dim`` numbers, as the fit asks for.
+    """
+    if is_sparse(rows):
+        if dim is None:
+            raise ValueError("sparse rows need their dimension")
+        rows = rows.withColumn("features", dense_features("features", dim))
     svc = LinearSVC(maxIter=iterations, regParam=reg, fitIntercept=False, standardization=False)
     data = rows.select(F.col("label").cast("double").alias("label"), dense_vector("features").alias("features"))
     fitted = OneVsRest(classifier=svc, parallelism=parallelism).fit(data)
@@ -116,6 +142,19 @@ def train_linear_svc(
     )
 
 
+def top_scores(rows: DataFrame, model: LinearModel, top: int) -> DataFrame:
+    """``(id, label, rank, class, margin, predicted)``: the ``top`` classes of each row by margin.
+
+    At most ``top`` rows per row, however many classes there are. Ranks begin at 1; equal
+    margins go to the class that the model has first.
+    """
+    if top < 1:
+        raise ValueError("top must be at least 1")
+    best = top_classes(model.weights, model.classes, model.thresholds, top, CLASSES_PER_JOB)(F.col("features"))
+    long = rows.withColumn("_best", best).select("id", "label", F.posexplode("_best").alias("_rank", "_entry"))
+    return long.select("id", "label", (F.col("_rank") + 1).alias("rank"), "_entry.class", "_entry.margin", "_entry.predicted")
+
+
 def score_rows(rows: DataFrame, model: LinearModel) -> DataFrame:
     """``(id, class, margin, predicted, actual)`` for every row and class.
 
@@ -153,7 +192,7 @@ def confusion_of(rows: DataFrame, model: LinearModel) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, seen = np.zeros((4, len(classes)), np.int64), False
         for batch in batches:
-            points = batch_matrix(batch.column("features"), model.dim)
+            points = feature_rows(batch.column("features"), model.dim)
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for start in range(0, len(points), block):
                 hit = margins(points[start : start + block], weights) > limits

@@ -6,13 +6,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphist.functions.vectors import dense_vector, nearest, nearest_word
-from glyphist.operators.blocks import block_arrays, summed_partials, to_blocks
+from glyphist.operators.blocks import Blocks, block_arrays, summed_partials, to_blocks
 from glyphist.schema import MODEL_MAX_BYTES, Codebook
 from glyphist.session import release, stored
 
@@ -25,29 +24,15 @@ def train_codebook(
     descriptors: DataFrame,
     k: int = DEFAULT_WORDS,
     iterations: int = DEFAULT_ITERATIONS,
-    runs: int = 1,
     init_mode: str = "k-means||",
     seed: int = DEFAULT_SEED,
 ) -> KMeansModel:
-    """k-means over all descriptors; with several runs the cheapest result wins.
+    """k-means over all descriptors by Spark ML; ``operators.restarts`` has several runs.
 
     The result may have fewer than ``k`` words if there are fewer distinct vectors.
     """
-    if runs < 1:
-        raise ValueError("runs must be at least 1")
     vectors = descriptors.select(dense_vector("features").alias("features"))
-    if runs > 1:
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for run in range(runs):
-            model = KMeans(k=k, maxIter=iterations, initMode=init_mode, seed=seed + run).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
-    finally:
-        if runs > 1:
-            vectors.unpersist()
+    return KMeans(k=k, maxIter=iterations, initMode=init_mode, seed=seed).fit(vectors)
 
 
 def codebook_of(model: KMeansModel) -> Codebook:
@@ -82,30 +67,30 @@ def assign_words_of_table(
     """``assign_words`` for a codebook table ``(word, centroid)`` of any size.
 
     The words are taken in blocks of at most ``max_bytes``, in the order of their numbers. Each
-    block is one narrow pass that keeps the best word so far, and its result is written,
-    so that a task holds one block at a time.
+    block is one narrow pass that keeps the best word so far, so that a task holds one
+    block at a time; between two passes their result is written, and removed after the next.
     """
-    row = codebook.agg(F.min("word"), F.max("word"), F.max(F.size("centroid"))).first()
-    low, high, dim = row
+    low, high, dim = codebook.agg(F.min("word"), F.max("word"), F.max(F.size("centroid"))).first()
     if low is None:
         raise ValueError("codebook table is empty")
     per_block = max(1, max_bytes // (8 * dim))
-    best = None
+    current = descriptors.withColumn("_best", F.lit(None).cast("struct<word: int, dist: double>"))
+    written = None
     for first in range(low, high + 1, per_block):
-        block = codebook.filter(F.col("word").between(first, first + per_block - 1))
-        numbers = [r.word for r in block.select("word").orderBy("word").collect()]
-        if not numbers:
+        rows = codebook.filter(F.col("word").between(first, first + per_block - 1)).orderBy("word").collect()
+        if not rows:
             continue
-        match = nearest_word(Codebook.from_df(block, max(max_bytes, 8 * dim)).centroids)(F.col("features"))
-        name = F.get(F.array(*[F.lit(n) for n in numbers]), F.col("_match.word")).cast("int")
-        source = descriptors if best is None else best
-        found = source.withColumn("_match", match).withColumn("_match", F.struct(name.alias("word"), "_match.dist"))
-        if best is not None:
-            nearer = F.col("_match.dist") < F.col("_best.dist")
-            found = found.withColumn("_match", F.when(nearer, F.col("_match")).otherwise(F.col("_best"))).drop("_best")
-        best = stored(found.withColumnRenamed("_match", "_best"), "assignment")
+        if written is not None or first > low:
+            following = stored(current, "assignment")
+            if written is not None:
+                release(written)
+            current = written = following
+        match = nearest_word(Codebook([r.centroid for r in rows]).centroids, [r.word for r in rows])(F.col("features"))
+        nearer = F.col("_best").isNull() | (F.col("_match.dist") < F.col("_best.dist"))
+        found = current.withColumn("_match", match)
+        current = found.withColumn("_best", F.when(nearer, F.col("_match")).otherwise(F.col("_best"))).drop("_match")
     others = [c for c in descriptors.columns if c != "features"]
-    return best.select(*others, F.col("_best.word").alias("word"), F.col("_best.dist").alias("dist"))
+    return current.select(*others, F.col("_best.word").alias("word"), F.col("_best.dist").alias("dist"))
 
 
 def codebook_cost(assignment: DataFrame) -> DataFrame:
@@ -113,7 +98,7 @@ def codebook_cost(assignment: DataFrame) -> DataFrame:
     return assignment.agg(F.sum("dist").alias("wssse"), F.count("*").alias("n_descriptors"))
 
 
-def lloyd_step(blocks: DataFrame, codebook: Codebook) -> tuple[Codebook, float]:
+def lloyd_step(blocks: Blocks, codebook: Codebook) -> tuple[Codebook, float]:
     """One Lloyd step over ``to_blocks`` rows: new centres, and the cost under the old ones.
 
     Each task adds up its vectors per word. A word without descriptors keeps its centre.
@@ -151,5 +136,5 @@ def lloyd(descriptors: DataFrame, initial: Codebook, steps: int) -> tuple[Codebo
             codebook, cost = lloyd_step(blocks, codebook)
             costs.append(cost)
     finally:
-        release(blocks)
+        blocks.release()
     return codebook, costs

@@ -13,13 +13,15 @@ from glyphist.operators.classifier import (
     DEFAULT_THRESHOLD,
     confusion_of,
     score_rows,
+    top_scores,
     train_hinge_descent,
 )
 from glyphist.operators.codebook import assign_words, codebook_of, train_codebook
 from glyphist.operators.evaluate import class_report, label_areas
-from glyphist.operators.histogram import histogram_dense, word_counts
+from glyphist.operators.histogram import histogram_sparse, word_counts
 from glyphist.operators.joins import lookup_join
 from glyphist.operators.labels import label_entities, label_map
+from glyphist.operators.restarts import train_restarts
 from glyphist.operators.split import HashSplit, PrefixSplit, prefix_split
 from glyphist.operators.training import training_rows
 from glyphist.schema import Codebook, LinearModel
@@ -67,17 +69,16 @@ class Models:
 
 
 def histograms(descriptors: DataFrame, codebook: Codebook) -> DataFrame:
-    """Descriptors to dense histograms, one row per entity."""
-    return histogram_dense(word_counts(assign_words(descriptors, codebook)), codebook.size)
+    """Descriptors to sparse histograms, one row per entity."""
+    return histogram_sparse(word_counts(assign_words(descriptors, codebook)))
 
 
-def spark_ml_codebook(settings: Settings) -> Callable[[DataFrame], Codebook]:
+def trained_codebook(settings: Settings) -> Callable[[DataFrame], Codebook]:
     def train(descriptors: DataFrame) -> Codebook:
-        return codebook_of(
-            train_codebook(
-                descriptors, settings.words, settings.codebook_iterations, settings.runs, settings.init_mode
-            )
-        )
+        k, steps, mode = settings.words, settings.codebook_iterations, settings.init_mode
+        if settings.runs == 1:
+            return codebook_of(train_codebook(descriptors, k, steps, mode))
+        return train_restarts(descriptors, k, steps, settings.runs, mode).codebook
 
     return train
 
@@ -108,7 +109,7 @@ def fit(
         log.add("split", "test_entities", split.n - split.n_train)
 
     with log.timed("codebook"):
-        make_codebook = make_codebook or spark_ml_codebook(settings)
+        make_codebook = make_codebook or trained_codebook(settings)
         codebook = make_codebook(descriptors.filter(split.is_train("id")))
     log.add("codebook", "words", codebook.size)
 
@@ -165,10 +166,16 @@ def load_fitted(spark: SparkSession, path: str) -> Models:
     )
 
 
-def predict(fitted: Fitted | Models, descriptors: DataFrame) -> DataFrame:
-    """``(id, class, tag, margin, predicted)`` of entities that may be new, for every category."""
+def predict(fitted: Fitted | Models, descriptors: DataFrame, top: int | None = None) -> DataFrame:
+    """``(id, class, tag, margin, predicted)`` of entities that may be new.
+
+    With ``top``, the best categories of each entity and their ``rank``; otherwise all of
+    them, a row per entity and category.
+    """
     unlabelled = histograms(descriptors, fitted.codebook).withColumn("label", F.lit(None).cast("double"))
-    return named(score_rows(unlabelled, fitted.model).drop("actual"), fitted.labels)
+    if top is None:
+        return named(score_rows(unlabelled, fitted.model).drop("actual"), fitted.labels)
+    return named(top_scores(unlabelled, fitted.model, top).drop("label"), fitted.labels)
 
 
 def evaluate_on(fitted: Fitted | Models, descriptors: DataFrame, tags: DataFrame) -> DataFrame:

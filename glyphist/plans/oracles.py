@@ -356,6 +356,7 @@ ORACLES: dict[str, str] = {
     "histogram_long_lineitem": with_(*given(LINE_ITEM, LINE_ITEM_WORDS), select=LONG),
     "histogram_long_lines": with_(*given(LINES, LINE_WORDS), select=LONG),
     "histogram_long_events": with_(*given(EVENTS, EVENT_WORDS), select=LONG),
+    "histogram_sparse_lineitem": with_(*given(LINE_ITEM, LINE_ITEM_WORDS), select=f"SELECT id, word, freq FROM ({LONG})"),
     "histogram_dense_embedding": with_(
         *given(EMBEDDING, EMBEDDING_WORDS), cells_cte(EMBEDDING_WORDS), select=CELLS
     ),
@@ -384,7 +385,7 @@ ORACLES: dict[str, str] = {
     ),
     "kmeans_codebook": facts_sql(EMBEDDING, EMBEDDING_WORDS),
     "kmeans_lineitem": facts_sql(LINE_ITEM, 100),
-    "kmeans_restarts": facts_sql(EMBEDDING, EMBEDDING_WORDS, ", true AS no_worse"),
+    "kmeans_restarts": facts_sql(EMBEDDING, EMBEDDING_WORDS, ", 3 AS n_runs, true AS first_alone, true AS cheapest"),
     "kmeans_random_init": facts_sql(EMBEDDING, EMBEDDING_WORDS),
     "assign_words_in_blocks": with_(*given(EMBEDDING, EMBEDDING_WORDS), select=ASSIGNED),
     "report_text_scores": with_(
@@ -420,6 +421,12 @@ ORACLES: dict[str, str] = {
     "linear_score": with_(
         *EMBEDDING_SCORES, select="SELECT id, class, round(margin, 9) AS margin, actual FROM scores"
     ),
+    "top_classes": with_(
+        *EMBEDDING_SCORES,
+        select="""SELECT id, label, rank::INTEGER AS rank, class, round(margin, 9) AS margin, predicted FROM (
+            SELECT s.*, r.label, row_number() OVER (PARTITION BY id ORDER BY margin DESC, class) AS rank
+            FROM scores s JOIN rows r USING (id)) WHERE rank <= 3""",
+    ),
     "threshold_predict": with_(*EMBEDDING_SCORES, select=SCORES),
     "category_thresholds": with_(
         *EMBEDDING_ROWS, CONTRAST, scores_cte("w", EMBEDDING_WORDS, CATEGORY_LIMIT), select=SCORES

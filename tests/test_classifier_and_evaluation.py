@@ -178,3 +178,53 @@ def test_vector_conversion_is_lossless(spark):
     df, points, _ = labelled(spark, n=5)
     got = df.orderBy("id").select(array_to_vector("features").alias("v")).collect()
     assert np.array_equal([r.v.toArray() for r in got], points)
+
+
+def sparse_and_dense(spark, n=300, k=9, seed=4):
+    """The same histograms in both forms, some of them empty."""
+    rng = np.random.default_rng(seed)
+    dense, sparse = [], []
+    for i in range(n):
+        words = np.sort(rng.choice(k, rng.integers(0, 5), replace=False))
+        values = rng.random(len(words))
+        row = np.zeros(k)
+        row[words] = values
+        dense.append((i, float(i % 4), row.tolist()))
+        sparse.append((i, float(i % 4), (words.tolist(), values.tolist())))
+    schema = "id int, label double, features struct<words: array<int>, freqs: array<double>>"
+    return spark.createDataFrame(sparse, schema), spark.createDataFrame(dense, ROW)
+
+
+def test_sparse_rows_score_and_train_as_dense_rows(spark):
+    sparse, dense = sparse_and_dense(spark)
+    rng = np.random.default_rng(8)
+    model = LinearModel(np.arange(4.0), rng.normal(size=(4, 9)), 0.1)
+    results = [sorted(map(tuple, cl.score_rows(rows, model).collect())) for rows in (sparse, dense)]
+    assert results[0] == results[1]
+    counts = [sorted(map(tuple, cl.confusion_of(rows, model).collect())) for rows in (sparse, dense)]
+    assert counts[0] == counts[1]
+    fits = [cl.train_hinge_descent(rows, range(4), 9, 12).weights for rows in (sparse, dense)]
+    assert np.abs(fits[0] - fits[1]).max() < 1e-12
+    svc = cl.train_linear_svc(sparse.coalesce(1), 4, 3, dim=9).weights
+    assert np.abs(svc - cl.train_linear_svc(dense.coalesce(1), 4, 3).weights).max() < 1e-9
+    with pytest.raises(ValueError, match="dimension"):
+        cl.train_linear_svc(sparse, 4)
+
+
+@pytest.mark.parametrize("top", [1, 3, 9])
+def test_top_classes_are_the_best_of_all(spark, monkeypatch, top):
+    """In blocks of three classes; equal margins go to the class that comes first."""
+    monkeypatch.setattr(cl, "CLASSES_PER_JOB", 3)
+    sparse, dense = sparse_and_dense(spark)
+    weights = np.random.default_rng(9).integers(-1, 2, (7, 9)).astype(float)
+    model = LinearModel(np.array([5.0, 3, 1, 0, 2, 4, 6]), weights, np.arange(7) / 20)
+    place = {c: i for i, c in enumerate(model.classes.tolist())}
+    by_row = {}
+    for r in cl.score_rows(dense, model).collect():
+        by_row.setdefault(r.id, []).append((-r.margin, place[r["class"]], r["class"], r.margin, r.predicted))
+    want = sorted((i, rank, *e[2:]) for i, entries in by_row.items() for rank, e in enumerate(sorted(entries)[:top], 1))
+    for rows in (sparse, dense):
+        got = cl.top_scores(rows, model, top).select("id", "rank", "class", "margin", "predicted")
+        assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError):
+        cl.top_scores(dense, model, 0)

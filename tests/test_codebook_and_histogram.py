@@ -9,7 +9,6 @@ from glyphist.operators.descriptors import extracted, line_descriptors, sub_vect
 from glyphist.operators.training import training_rows
 from glyphist.plans import registry
 from glyphist.plans.end_to_end import histograms
-from glyphist.session import release
 from glyphist.schema import Codebook, require_uniform_dimension
 
 DESCRIPTOR = "id string, pos int, features array<double>"
@@ -121,8 +120,8 @@ def test_lloyd_matches_brute_force(spark):
 def test_blocks_hold_all_rows(spark):
     points = np.arange(5000, dtype=float).reshape(-1, 2)
     blocks = to_blocks(frame(spark, points), 2)
-    total = sum(np.frombuffer(bytes(r.points)).sum() for r in blocks.collect())
-    release(blocks)
+    total = sum(np.frombuffer(bytes(r.points)).sum() for r in blocks.table.collect())
+    blocks.release()
     assert total == points.sum()
 
 
@@ -131,15 +130,11 @@ def test_kmeans_training(spark, sf):
     first = cb.train_codebook(points, k=16, iterations=5, seed=3)
     again = cb.train_codebook(points, k=16, iterations=5, seed=3)
     assert first.summary.trainingCost == pytest.approx(again.summary.trainingCost)
-    best = cb.train_codebook(points, k=16, iterations=5, runs=3, seed=3)
-    assert best.summary.trainingCost <= first.summary.trainingCost + 1e-9
     book = cb.codebook_of(first)
     assert (book.size, book.dim) == (16, 8)
     # MLlib reports the cost before the last step; the final centres cost no more.
     ours = cb.codebook_cost(cb.assign_words(points, book)).first().wssse
     assert 0 < ours <= first.summary.trainingCost
-    with pytest.raises(ValueError):
-        cb.train_codebook(points, runs=0)
 
 
 def test_kmeans_with_fewer_distinct_points_than_words(spark):
@@ -188,29 +183,157 @@ def test_dimension_check(spark):
         require_uniform_dimension(frame(spark, [(1, 2), (3,)]))
 
 
-def test_a_step_shuffles_whole_vectors(spark):
-    """At most keys x cores rows, however many blocks there are."""
-    from glyphist.operators.blocks import summed_partials
+@pytest.mark.parametrize("step_bytes", [1 << 20, 3 * 2 * 8 * 19, 3 * 2 * 8 * 4, 0])
+def test_sums_by_the_driver_by_groups_and_by_keys(spark, monkeypatch, step_bytes):
+    """The same totals whichever way the matrices of the tasks are added up; the cores do not matter."""
+    from glyphist.operators.blocks import Blocks, summed_partials
 
     points = np.arange(4000, dtype=float).reshape(-1, 2)
-    blocks = to_blocks(frame(spark, points).repartition(20), 2)
+    written = to_blocks(frame(spark, points).repartition(20), 2)
+    blocks = Blocks(written.table.repartition(20), 20)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 1 / 0))
 
     def sums(batches):
         total = np.zeros((3, 2))
         for batch in batches:
             for value in batch.column("points"):
-                total[1] += np.frombuffer(value.as_buffer()).reshape(-1, 2).sum(axis=0)
+                own = np.frombuffer(value.as_buffer()).reshape(-1, 2)
+                total[1] += own.sum(axis=0)
+                total[2] += len(own)
         return total
 
-    got = summed_partials(blocks, sums, 3, 2)
-    assert np.array_equal(got, [[0, 0], points.sum(axis=0), [0, 0]])
-    assert blocks.coalesce(4).rdd.getNumPartitions() <= 4
-    release(blocks)
+    got = summed_partials(blocks, sums, 3, 2, step_bytes)
+    assert np.array_equal(got, [[0, 0], points.sum(axis=0), [2000, 2000]])
+    written.release()
+
+
+def sparse(spark, rows, schema="id int, features struct<words: array<int>, freqs: array<double>>"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_sparse_histograms_hold_the_words_that_occur(spark):
+    counts = spark.createDataFrame([(1, 5, 2), (1, 0, 1), (2, 3, 4)], "id int, word int, n bigint")
+    rows = hg.histogram_sparse(counts)
+    got = {r.id: (r.features.words, r.features.freqs) for r in rows.collect()}
+    assert got == {1: ([0, 5], [1 / 3, 2 / 3]), 2: ([3], [1.0])}
+    dense = {r.id: r.features for r in hg.dense_rows(rows, 6).collect()}
+    assert dense == {1: [1 / 3, 0, 0, 0, 0, 2 / 3], 2: [0, 0, 0, 1.0, 0, 0]}
+    entities = spark.createDataFrame([(1,), (3,)], "id int")
+    kept = hg.with_empty_entities(entities, rows, 6)
+    assert {r.id: r.features.words for r in kept.collect()} == {1: [0, 5], 3: []}
+    assert {r.id: r.features for r in hg.dense_rows(kept, 2).filter("id = 3").collect()} == {3: [0.0, 0.0]}
+    assert sorted(map(tuple, hg.histogram_cells(rows, "id").collect())) == [(1, 0, 1 / 3), (1, 5, 2 / 3), (2, 3, 1.0)]
+
+
+def test_sparse_bytes_follow_the_words_and_not_the_codebook(spark):
+    """A stored row is as large with a million words as with six; no plan step makes it dense."""
+    counts = spark.range(200).selectExpr("id", "CAST(id % 6 AS INT) AS word", "1L AS n")
+    far = counts.withColumn("word", F.col("word") + 999_000)
+    sizes = []
+    for part, dim in ((counts, 6), (far, 1_000_000)):
+        rows = hg.histogram_sparse(part)
+        assert "array_repeat" not in rows._jdf.queryExecution().toString()
+        blocks = to_blocks(rows, dim)
+        sizes.append(sum(len(r.words) + len(r.freqs) + len(r.sizes) for r in blocks.table.collect()))
+        blocks.release()
+    assert sizes == [200 * 16, 200 * 16]
+
+
+@pytest.mark.parametrize("words, freqs", [([1, 0], [0.5, 0.5]), ([0, 7], [0.5, 0.5]), ([0], [0.5, 0.5]), ([0], [float("nan")]), ([0, None], [0.1, 0.2]), ([-1], [1.0])])
+def test_rows_that_are_no_sparse_rows_are_an_error(spark, words, freqs):
+    with pytest.raises(Exception, match="feature vector"):
+        to_blocks(sparse(spark, [(1, ([2], [1.0])), (2, (words, freqs))]), 7)
+    with pytest.raises(Exception, match="feature vector"):
+        to_blocks(sparse(spark, [(1, None)]), 7)
+
+
+def test_index_gives_the_direct_sum(spark):
+    from glyphist.functions.vectors import WordIndex, nearest
+
+    rng = np.random.default_rng(5)
+    for dim, k in ((1, 40), (2, 500), (6, 3000)):
+        # Grid values: many equal distances, so ties decide; some words are the same.
+        words = rng.integers(-4, 5, (k, dim)).astype(float)
+        points = np.vstack([rng.integers(-9, 9, (700, dim)) / 2, rng.normal(size=(300, dim)) * 1e6, np.zeros((1, dim))])
+        index = WordIndex(words)
+        for got, want in zip(index.nearest(points), nearest(points, words)):
+            assert np.array_equal(got, want)
+    same = WordIndex(np.ones((50, 3)))
+    assert same.nearest(np.zeros((4, 3)))[0].tolist() == [0] * 4 and len(same.nearest(np.zeros((0, 3)))[0]) == 0
+
+
+def test_index_looks_at_few_words():
+    from glyphist.functions import vectors
+
+    rng = np.random.default_rng(6)
+    words, points = rng.random((20_000, 4)), rng.random((500, 4))
+    index, seen = vectors.WordIndex(words), []
+    compare = index._compare
+    index._compare = lambda p, rows, cell, *rest: (seen.append(len(rows) * (index._begin[cell + 1] - index._begin[cell])), compare(p, rows, cell, *rest))
+    index.nearest(points)
+    assert sum(seen) < 0.1 * len(words) * len(points)
+
+
+def test_large_codebooks_go_through_the_index(spark, monkeypatch):
+    from glyphist.functions import vectors
+
+    rng = np.random.default_rng(7)
+    points, book = frame(spark, rng.normal(size=(300, 3))), Codebook(rng.normal(size=(90, 3)))
+    want = sorted(map(tuple, cb.assign_words(points, book).collect()))
+    monkeypatch.setattr(vectors, "INDEX_WORDS", 50)
+    assert sorted(map(tuple, cb.assign_words(points, book).collect())) == want
+
+
+def test_restarts_share_passes_and_do_not_change_each_other(spark, sf):
+    from glyphist.operators import restarts
+
+    points = registry.embedding_descriptors(spark, sf)
+    for mode in ("k-means||", "random"):
+        many = restarts.train_restarts(points, 16, 5, 3, mode, seed=3)
+        alone = [restarts.train_restarts(points, 16, 5, 1, mode, seed=3 + r).cost for r in range(3)]
+        assert many.costs == pytest.approx(alone, rel=1e-9) and len(set(many.costs)) == 3
+        ours = cb.codebook_cost(cb.assign_words(points, many.codebook)).first().wssse
+        assert ours == pytest.approx(min(many.costs)) and many.codebook.size == 16
+        given = cb.first_descriptors(points, 16, "id", "pos", "features")
+        assert many.cost < cb.codebook_cost(cb.assign_words(points, given)).first().wssse
+    spark_ml = cb.train_codebook(points, 16, 5, seed=3).summary.trainingCost
+    assert restarts.train_restarts(points, 16, 5, seed=3).cost < 1.1 * spark_ml
+    for wrong in ({"runs": 0}, {"init_mode": "x"}):
+        with pytest.raises(ValueError):
+            restarts.train_restarts(points, **wrong)
+
+
+def test_passes_do_not_grow_with_the_runs(spark, sf, monkeypatch):
+    from glyphist.operators import restarts
+
+    points, passes = registry.embedding_descriptors(spark, sf), []
+    counted = restarts.summed_partials
+    monkeypatch.setattr(restarts, "summed_partials", lambda *a: (passes.append(1), counted(*a))[1])
+    numbers = []
+    for runs in (1, 4):
+        passes.clear()
+        restarts.train_restarts(points, 8, 4, runs, tolerance=0.0)
+        numbers.append(len(passes))
+    assert numbers[0] == numbers[1]
+
+
+def test_restarts_with_fewer_distinct_points_than_words(spark):
+    from glyphist.operators.restarts import train_restarts
+
+    points = frame(spark, [(0, 0), (1, 1), (5, 5)] * 10)
+    for mode in ("k-means||", "random"):
+        found = train_restarts(points, 8, 3, 2, mode)
+        assert found.codebook.size <= 3
+    assert train_restarts(points, 8, 3, 2).cost == 0.0
+    with pytest.raises(ValueError, match="no descriptors"):
+        train_restarts(points.limit(0), 2)
 
 
 def test_words_of_a_table_in_blocks(spark):
     rng = np.random.default_rng(3)
     points, book = frame(spark, rng.normal(size=(200, 3))), Codebook(rng.normal(size=(11, 3)))
     want = {(r.id, r.pos): (r.word, r.dist) for r in cb.assign_words(points, book).collect()}
+    plan = cb.assign_words_of_table(points, book.to_df(spark))._jdf.queryExecution().toString()
+    assert "array(" not in plan
     got = cb.assign_words_of_table(points, book.to_df(spark), max_bytes=4 * 24)
     assert {(r.id, r.pos): (r.word, r.dist) for r in got.collect()} == want

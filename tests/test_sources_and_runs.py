@@ -210,7 +210,7 @@ def test_whole_run(spark, sf, split):
     assert log[("codebook", "words")] == 8
     # Training and test entities are disjoint and every histogram sums to 1.
     assert fitted.rows.groupBy("id").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
-    sums = fitted.rows.select(F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("s"))
+    sums = fitted.rows.select(F.aggregate("features.freqs", F.lit(0.0), lambda a, v: a + v).alias("s"))
     assert sums.filter("abs(s - 1) > 1e-9").count() == 0
 
 
