@@ -12,20 +12,49 @@ from glyphist.session import scratch_path
 
 
 ENTITY_SCHEMA = "path string, length long, hidden boolean"
-# Rows are handed to Spark in pieces of this many names while a directory is listed.
+# Hidden and empty files are handed to Spark in pieces of this many names.
 NAMES_PER_PIECE = 100_000
 
 
-def list_entities(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path, length, hidden)`` of every file directly in ``directory``, whatever its name.
+# Characters that file name patterns of Spark's readers treat specially; here only * and ? are.
+_PATTERN_MARKS = re.compile(r"([\\\[\]{},^])")
 
-    The file system is asked, not a Spark source, so empty files are listed too, and folders
-    such as ``k=1`` neither are entities nor change the listing. ``hidden`` marks names that
-    begin with ``_`` or ``.``, which Spark's sources do not read. As with any source, the
-    driver does the listing; it keeps a piece of the names at a time.
-    """
+
+def _folder(spark: SparkSession, directory: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    statuses = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(path)
+
+
+def _visible(spark: SparkSession, directory: str, glob: str | None = None) -> DataFrame:
+    """``(path, length, content)`` of the files directly in ``directory`` that Spark's sources read.
+
+    Those are the files that are neither hidden nor empty. Nested files, also in folders such
+    as ``k=1``, are left out by a condition on the path that the scan applies to its list of
+    files: they are not opened, and nothing is joined or shuffled. A column that is not
+    asked for is not read.
+    """
+    _, folder = _folder(spark, directory)
+    depth = folder.toUri().getPath().rstrip("/").count("/") + 1
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", _PATTERN_MARKS.sub(r"\\\1", glob))
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return reader.load(directory).filter(F.size(F.split(path, "/")) - 1 == depth).select("path", "length", "content")
+
+
+def _others(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, length, hidden)`` of the files directly in ``directory`` that ``_visible`` does not have.
+
+    A folder without nested ones tells how many files it has; if they are all visible, no
+    name is looked at here. Otherwise the driver goes through the names and keeps the hidden
+    and the empty ones, a piece at a time.
+    """
+    system, path = _folder(spark, directory)
+    whole = system.getContentSummary(path)
+    if whole.getDirectoryCount() == 1 and whole.getFileCount() == _visible(spark, directory).count():
+        return spark.createDataFrame([], ENTITY_SCHEMA)
+    statuses = system.listStatusIterator(path)
     target, piece, pieces = scratch_path(spark, "listing"), [], 0
 
     def write() -> None:
@@ -34,8 +63,9 @@ def list_entities(spark: SparkSession, directory: str) -> DataFrame:
     while statuses.hasNext():
         status = statuses.next()
         if status.isFile():
-            name = status.getPath().getName()
-            piece.append((status.getPath().toString(), status.getLen(), name[0] in "_."))
+            length, name = status.getLen(), status.getPath().getName()
+            if name[0] in "_." or not length:
+                piece.append((status.getPath().toString(), length, name[0] in "_."))
         if len(piece) >= NAMES_PER_PIECE:
             write()
             piece, pieces = [], pieces + 1
@@ -46,29 +76,34 @@ def list_entities(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(ENTITY_SCHEMA).parquet(target)
 
 
+def list_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, length, hidden)`` of every file directly in ``directory``, whatever its name.
+
+    Empty files are listed too, and folders such as ``k=1`` neither are entities nor change
+    the listing. ``hidden`` marks names that begin with ``_`` or ``.``, which Spark's sources do
+    not read. All other names stay in the tasks: the rows come from Spark's own list of files.
+    """
+    visible = _visible(spark, directory).select("path", "length", F.lit(False).alias("hidden"))
+    return visible.unionByName(_others(spark, directory))
+
+
 def read_files(spark: SparkSession, directory: str, glob: str | None = None, skip_hidden: bool = False) -> DataFrame:
     """``(path, content)`` of every file directly in ``directory``.
 
     Empty files have empty content. Spark cannot read hidden files: one that is not empty is an
-    error, unless ``skip_hidden`` leaves all hidden files out.
+    error, unless ``skip_hidden`` leaves all hidden files out. Contents are read where the
+    rows are used; they are not shuffled.
     """
-    listed = list_entities(spark, directory)
+    others = _others(spark, directory)
     if glob is not None:
         pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
-        listed = listed.filter(F.regexp_replace("path", r"(?s)^.*/", "").rlike(f"^(?s:{pattern})$"))
-    unread = listed.filter("hidden AND length > 0")
+        others = others.filter(F.regexp_replace("path", r"(?s)^.*/", "").rlike(f"^(?s:{pattern})$"))
     if skip_hidden:
-        listed = listed.filter("NOT hidden")
-    elif n := unread.count():
+        others = others.filter("NOT hidden")
+    elif n := others.filter("hidden AND length > 0").count():
         raise ValueError(f"{n} hidden files in {directory} cannot be read; skip_hidden leaves them out")
-    # Folders such as k=1 are walked into and filtered again, so they are no partitions.
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if listed.filter("NOT hidden AND length > 0").isEmpty():
-        return listed.select("path", F.lit(b"").alias("content"))
-    contents = reader.load(directory).select("path", "content")
-    empty = listed.filter("length = 0").select("path", F.lit(b"").alias("content"))
-    filled = listed.filter("length > 0").select("path")
-    return contents.join(filled, "path", "left_semi").unionByName(empty)
+    empty = others.filter("length = 0").select("path", F.lit(b"").alias("content"))
+    return _visible(spark, directory, glob).select("path", "content").unionByName(empty)
 
 
 def manifest(paths: DataFrame, path: str, metadata_dir: str | None = None) -> DataFrame:

@@ -74,6 +74,51 @@ def test_prefix_split_keeps_equal_keys_together(spark):
     assert prefix_split(df.filter("key IS NULL"), "key", 0.5).n_train == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "date", "double"])
+def test_key_at_rank_in_several_rounds(spark, monkeypatch, kind):
+    """With small limits; one key holds a third of the rows, others repeat."""
+    from glyphist.operators import split as sp
+
+    monkeypatch.setattr(sp, "SAMPLE_KEYS", 60)
+    monkeypatch.setattr(sp, "BRACKET_KEYS", 25)
+    number = F.when(F.col("id") % 3 == 0, 400).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)))
+    of = {
+        "long": number.cast("long"),
+        "string": F.concat(F.lit("k/é"), number.cast("string")),
+        "date": F.date_add(F.lit("2001-01-01").cast("date"), number.cast("int")),
+        "double": number / 7,
+    }
+    df = spark.range(3000).select(of[kind].alias("key")).unionByName(spark.range(40).select(F.lit(None).cast(kind).alias("key")))
+    keys = sorted(r.key for r in df.filter("key IS NOT NULL").collect())
+    for fraction in (0.0005, 0.1, 0.3, 0.45, 0.6, 0.97, 0.995):
+        split = prefix_split(df, "key", fraction)
+        asked = min(int(3040 * fraction), 3000)
+        assert split.last_key == keys[asked - 1]
+        assert (split.n, split.n_train) == (3040, sum(k <= keys[asked - 1] for k in keys))
+
+
+def test_key_at_rank_with_few_different_keys(spark, monkeypatch):
+    from glyphist.operators import split as sp
+
+    monkeypatch.setattr(sp, "SAMPLE_KEYS", 50)
+    monkeypatch.setattr(sp, "BRACKET_KEYS", 10)
+    df = spark.range(2000).select((F.col("id") % 2).alias("key"))
+    assert [prefix_split(df, "key", f).n_train for f in (0.3, 0.5, 0.51)] == [1000, 1000, 2000]
+
+
+def test_split_sorts_no_keys(spark, sf, monkeypatch):
+    """Whatever is exchanged has one row a task."""
+    from glyphist.operators import split as sp
+
+    monkeypatch.setattr(sp, "BRACKET_KEYS", 100)
+    plans = []
+    first = type(spark.range(1)).first
+    monkeypatch.setattr(type(spark.range(1)), "first", lambda self: (plans.append(self._jdf.queryExecution().toString()), first(self))[1])
+    tags = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    prefix_split(tags, "o_orderkey", 0.8)
+    assert len(plans) > 3 and not any("rangepartitioning" in p or "hashpartitioning" in p for p in plans)
+
+
 def test_hash_split_is_a_fixed_partition(spark):
     df = HashSplit(0.8).apply(spark.range(20_000), "id")
     share = df.filter("split = 'train'").count() / 20_000

@@ -67,9 +67,60 @@ def test_listing_has_every_name(spark, tmp_path):
 def test_listing_in_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(manifest, "NAMES_PER_PIECE", 3)
     for i in range(8):
-        (tmp_path / f"{i}.jpg").write_bytes(b"x" * i)
+        (tmp_path / f"{i}.jpg").write_bytes(b"")
+    (tmp_path / "x.jpg").write_bytes(b"x")
     rows = manifest.list_entities(spark, str(tmp_path)).collect()
-    assert sorted(r.length for r in rows) == list(range(8))
+    assert sorted(r.length for r in rows) == [0] * 8 + [1]
+
+
+def test_names_of_ordinary_files_are_not_looked_at_one_by_one(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / f"{i}.jpg").write_bytes(b"x" * (i + 1))
+    monkeypatch.setattr(manifest, "scratch_path", None)
+    assert manifest.list_entities(spark, str(tmp_path)).count() == 5
+
+
+def files_read(df) -> int:
+    """Files that the scan of an executed plan opened."""
+    import re
+
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString() and "Join" not in plan.toString()
+    stack, total = [plan], 0
+    while stack:
+        node = stack.pop()
+        if re.match(r"Scan binaryFile|FileScan binaryFile", node.nodeName()) or "binaryFile" in node.nodeName():
+            total += node.metrics().apply("numFiles").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+    return total
+
+
+def test_payloads_are_read_without_a_join_and_nested_files_not_at_all(spark, tmp_path):
+    for name in ("a.jpg", "b.jpg", "c.png"):
+        (tmp_path / name).write_bytes(b"x" * 100)
+    for folder in ("k=1", "k=2/deep", "plain"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "z.jpg").write_bytes(b"z" * 100)
+    (tmp_path / "e.jpg").write_bytes(b"")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        everything = manifest.read_files(spark, str(tmp_path))
+        assert sorted(r.path.rsplit("/", 1)[1] for r in everything.collect()) == ["a.jpg", "b.jpg", "c.png", "e.jpg"]
+        assert files_read(manifest.read_files(spark, str(tmp_path))) == 3
+        assert files_read(manifest.read_files(spark, str(tmp_path) + "/", "*.jpg")) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_patterns_have_two_marks_only(spark, tmp_path):
+    for name in ("a[1].jpg", "a1.jpg", "{b}.jpg", "b.jpg"):
+        (tmp_path / name).write_bytes(b"x")
+    for glob, names in (("a[1].*", ["a[1]"]), ("{?}.jpg", ["{b}"]), ("?1.jpg", ["a1"]), ("*", ["a1", "a[1]", "b", "{b}"])):
+        assert sorted(r.id for r in binary.read_entities(spark, str(tmp_path), glob).collect()) == names
 
 
 def test_one_metadata_file_is_one_row(spark, tmp_path):
