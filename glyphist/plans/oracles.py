@@ -13,9 +13,11 @@ from glyphist.plans.registry import (
     EVENT_TYPES,
     EVENT_WORDS,
     FILE_CODEBOOK,
+    FILE_SETTINGS,
     LINE_ITEM_WORDS,
     LINE_WORDS,
     SCORE_THRESHOLD,
+    Settings,
 )
 
 
@@ -246,23 +248,37 @@ SPLIT_MANIFEST = split_sql(DOCUMENT_MANIFEST, "path")
 
 # Whole run: training part only for codebook, labels and weights --------------------------
 
-_k, _steps = END_TO_END.words, END_TO_END.codebook_iterations
-_svm = END_TO_END.classifier_iterations
-WHOLE_RUN = [
-    f"split AS MATERIALIZED ({split_sql(ORDER_TAGS, 'id')})",
-    descriptor_cte(LINE_ITEM),
-    "dt AS MATERIALIZED (SELECT d.* FROM d JOIN split USING (id) WHERE split = 'train')",
-    first_codebook("cb0", _k, "dt"),
-    *lloyd_ctes(_steps, 4, "dt"),
-    assign_cte("a", f"cb{_steps}", 4),
-    cells_cte(_k),
-    DENSE,
-    rows_cte(ORDER_TAGS, "rows", "SELECT tag FROM split WHERE split = 'train'"),
-    "train AS MATERIALIZED (SELECT rows.* FROM rows JOIN split USING (id) WHERE split = 'train')",
-    "test AS MATERIALIZED (SELECT rows.* FROM rows JOIN split USING (id) WHERE split = 'test')",
-    *descent_ctes(_svm, _k, "SELECT DISTINCT label FROM train", "train"),
-    scores_cte(f"w{_svm}", _k, str(END_TO_END.threshold), "test"),
-]
+
+
+def whole_run(settings: Settings, tags: str, source: str, threshold: str | None = None) -> list[str]:
+    """Scores of the test part, from the given codebook, steps and threshold."""
+    k, steps, svm = settings.words, settings.codebook_iterations, settings.classifier_iterations
+    dim = DIMS[source]
+    return [
+        f"split AS MATERIALIZED ({split_sql(tags, 'id')})",
+        descriptor_cte(source),
+        "dt AS MATERIALIZED (SELECT d.* FROM d JOIN split USING (id) WHERE split = 'train')",
+        first_codebook("cb0", k, "dt"),
+        *lloyd_ctes(steps, dim, "dt"),
+        assign_cte("a", f"cb{steps}", dim),
+        cells_cte(k),
+        DENSE,
+        rows_cte(tags, "rows", "SELECT tag FROM split WHERE split = 'train'"),
+        "train AS MATERIALIZED (SELECT rows.* FROM rows JOIN split USING (id) WHERE split = 'train')",
+        "test AS MATERIALIZED (SELECT rows.* FROM rows JOIN split USING (id) WHERE split = 'test')",
+        f"labels AS ({label_map_sql("SELECT tag FROM split WHERE split = 'train'")})",
+        *descent_ctes(svm, k, "SELECT DISTINCT label FROM train", "train"),
+        scores_cte(f"w{svm}", k, threshold or str(settings.threshold), "test"),
+    ]
+
+
+WHOLE_RUN = whole_run(END_TO_END, ORDER_TAGS, LINE_ITEM)
+FILE_LIMIT = (
+    "CASE (SELECT tag FROM labels WHERE label = class) "
+    + " ".join(f"WHEN '{c}' THEN {t}" for c, t in FILE_SETTINGS.category_thresholds.items())
+    + f" ELSE {FILE_SETTINGS.threshold} END"
+)
+
 
 def facts_sql(source: str, k: int, more: str = "") -> str:
     """Numbers from all descriptors; what must be true of any trained codebook is given as true."""
@@ -275,14 +291,17 @@ def facts_sql(source: str, k: int, more: str = "") -> str:
     )
 
 
-def run_facts_sql(tags: str, source: str) -> str:
-    """Test rows with a known category and a descriptor, in all and by category."""
+def run_facts_sql(tags: str, source: str, words: int) -> str:
+    """Rows with a known category and a descriptor, in all and by category; what training must reach is true."""
     return with_(
         f"split AS MATERIALIZED ({split_sql(tags, 'id')})",
         f"labels AS ({label_map_sql("SELECT tag FROM split WHERE split = 'train'")})",
-        f"test AS (SELECT label FROM split JOIN labels USING (tag) WHERE split = 'test' AND id IN (SELECT id FROM ({source})))",
-        select="""SELECT labels.label AS class, (SELECT count(*) FROM test) AS n_test, count(test.label) AS n_class,
-  true AS consistent, true AS area_in_range FROM labels LEFT JOIN test ON test.label = labels.label GROUP BY labels.label""",
+        f"rows AS (SELECT label, split FROM split JOIN labels USING (tag) WHERE id IN (SELECT id FROM ({source})))",
+        "test AS (SELECT label FROM rows WHERE split = 'test')",
+        select=f"""SELECT labels.label AS class, (SELECT count(*) FROM test) AS n_test, count(test.label) AS n_class,
+  (SELECT count(*) FROM rows WHERE split = 'train') AS n_train, true AS below_zero_weights, true AS below_three_steps,
+  {words} AS n_used_words
+  FROM labels LEFT JOIN test ON test.label = labels.label GROUP BY labels.label""",
     )
 
 
@@ -316,7 +335,7 @@ ORACLES: dict[str, str] = {
     "manifest_roundtrip": SPLIT_MANIFEST,
     "first_tag": """SELECT c_custkey AS id, json_extract_string(
     concat('{"name": "', c_name, '", "tags": ["', c_mktsegment, '", "other"]}'), '$.tags[0]') AS tag FROM customer""",
-    "first_tag_absent": "SELECT event_id AS id, json_extract_string(props, '$.tags[0]') AS tag FROM events",
+    "first_tag_absent": "SELECT event_id AS id, CASE WHEN event_id % 25 = 0 THEN event_type END AS tag FROM events",
     "distinct_categories": f"SELECT DISTINCT tag FROM ({DOCUMENT_TAGS})",
     "category_labels": label_map_sql(DOCUMENT_TAGS),
     "label_of_category": f"SELECT * FROM ({label_map_sql(ORDER_TAGS)}) WHERE tag = '3-MEDIUM'",
@@ -399,8 +418,8 @@ ORACLES: dict[str, str] = {
         select=f"""SELECT r.*, auroc, aupr, tag FROM ({report_sql('scores')}) r JOIN ({areas_sql('scores', 'predicted')}) USING (class)
   JOIN ({label_map_sql("SELECT tag FROM split WHERE split = 'train'")}) m ON m.label = class""",
     ),
-    "train_and_evaluate_kmeans": run_facts_sql(EMBEDDING_TAGS, EMBEDDING),
-    "train_and_evaluate_default": run_facts_sql(ORDER_TAGS, LINE_ITEM),
+    "train_and_evaluate_kmeans": run_facts_sql(EMBEDDING_TAGS, EMBEDDING, EMBEDDING_WORDS),
+    "train_and_evaluate_default": run_facts_sql(ORDER_TAGS, LINE_ITEM, 100),
     "entities_from_directory": """SELECT (strlen(html) + 1)::BIGINT AS length, md5(concat(html, chr(10))) AS digest, count(*) AS n
   FROM pages GROUP BY ALL""",
     "metadata_from_files": "SELECT c_mktsegment AS tag, count(*) AS n FROM customer GROUP BY ALL",
@@ -410,6 +429,12 @@ ORACLES: dict[str, str] = {
         assign_cte("a", "cb0", 6),
         select="SELECT word, count(*) AS n FROM a GROUP BY word",
     ),
+    "file_report": with_(
+        *whole_run(FILE_SETTINGS, DOCUMENT_TAGS, LINES, FILE_LIMIT),
+        select=f"""SELECT class, concat('Category:', tag, {REPORT_LINE},
+    '\nArea under ROC = ', printf('%.6f', auroc), '\nArea under PR curve = ', printf('%.6f', aupr)) AS line
+  FROM ({report_sql('scores', None)}) JOIN ({areas_sql('scores', 'predicted')}) USING (class) JOIN labels ON label = class""",
+    ),
     "binary_rows": with_(
         *EMBEDDING_ROWS, select="SELECT id, label, CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM rows"
     ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -236,8 +237,16 @@ def first_tag(spark, sf):
 
 @query
 def first_tag_absent(spark, sf):
-    # The properties of an event hold no tags, so every tag is NULL.
-    return tags_from_json(table(spark, sf, "events"), "event_id", "props")
+    """The properties of an event hold no tags; every fifth event is given some, an empty list or no list."""
+    kind = F.col("event_id") % 25
+    json = (
+        F.when(kind == 0, F.concat(F.lit('{"tags": ["'), F.col("event_type"), F.lit('", "x"]}')))
+        .when(kind == 5, F.lit('{"tags": []}'))
+        .when(kind == 10, F.lit('{"tags": "click"}'))
+        .when(kind == 15, F.lit('{"tags": ["'))
+        .otherwise(F.col("props"))
+    )
+    return tags_from_json(table(spark, sf, "events"), "event_id", json)
 
 
 # Labels -------------------------------------------------------------------------------
@@ -594,24 +603,33 @@ def svm_descent_3(spark, sf):
     return weight_rows(spark, model, 6)
 
 
+def hinge_losses(rows: DataFrame, model: LinearModel) -> DataFrame:
+    """``(class, n_rows, loss)``: the regularised mean hinge loss of every class."""
+    norms = {float(c): 0.005 * float(w @ w) for c, w in zip(model.classes, model.weights)}
+    side = 2 * F.col("actual") - 1
+    hinge = F.greatest(F.lit(0.0), 1 - side * F.col("margin"))
+    by_class = score_rows(rows, model).groupBy("class").agg(F.count("*").alias("n_rows"), F.avg(hinge).alias("loss"))
+    extra = F.element_at(F.create_map(*[F.lit(x) for c in norms.items() for x in c]), F.col("class"))
+    return by_class.withColumn("loss", F.col("loss") + extra)
+
+
+def loss_facts(rows: DataFrame, model: LinearModel, dim: int) -> DataFrame:
+    """Per class: whether the loss is below that of zero weights and of three steps."""
+    three = train_hinge_descent(rows, model.classes.tolist(), dim, 3)
+    steps = hinge_losses(rows, three).select("class", F.col("loss").alias("three"))
+    return hinge_losses(rows, model).join(steps, "class").select(
+        "class",
+        "n_rows",
+        (F.col("loss") < 1.0).alias("below_zero_weights"),
+        (F.col("loss") <= F.col("three")).alias("below_three_steps"),
+    )
+
+
 @query
 def svm_train(spark, sf):
     """Per class: the regularised hinge loss, below that of zero weights and of three steps."""
     rows = stored(embedding_rows(spark, sf), "rows")
-
-    def losses(model: LinearModel) -> DataFrame:
-        norms = {float(c): 0.005 * float(w @ w) for c, w in zip(model.classes, model.weights)}
-        side = 2 * F.col("actual") - 1
-        hinge = F.greatest(F.lit(0.0), 1 - side * F.col("margin"))
-        by_class = score_rows(rows, model).groupBy("class").agg(F.count("*").alias("n_rows"), F.avg(hinge).alias("loss"))
-        extra = F.element_at(F.create_map(*[F.lit(x) for c in norms.items() for x in c]), F.col("class"))
-        return by_class.withColumn("loss", F.col("loss") + extra)
-
-    svc = losses(train_linear_svc(rows, 10, dim=EMBEDDING_WORDS))
-    steps = losses(train_hinge_descent(rows, range(10), EMBEDDING_WORDS, 3)).select("class", F.col("loss").alias("three"))
-    return svc.join(steps, "class").select(
-        "class", "n_rows", (F.col("loss") <= 1.0).alias("below_zero_weights"), (F.col("loss") <= F.col("three")).alias("below_three_steps")
-    )
+    return loss_facts(rows, train_linear_svc(rows, 10, dim=EMBEDDING_WORDS), EMBEDDING_WORDS)
 
 
 @query
@@ -729,29 +747,32 @@ def predict_from_saved(spark, sf):
     return rounded_ratios(report)
 
 
-def run_facts(spark: SparkSession, fitted: Fitted) -> DataFrame:
-    """Per class of a run: its test rows, and whether the counts and ratios agree with them."""
+def run_facts(fitted: Fitted) -> DataFrame:
+    """Per class of a run: its test rows in the report, and what training must have reached.
+
+    The hinge loss of the weights over the training rows is below that of zero weights and
+    of three steps; the codebook has all its words, and each of them is some descriptor's.
+    """
     report = evaluate(fitted)
-    total = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
-    return report.select(
-        "class",
-        total.alias("n_test"),
-        (F.col("tp") + F.col("fn")).alias("n_class"),
-        (F.abs(F.col("accuracy") * total - (F.col("tp") + F.col("tn"))) < 1e-6).alias("consistent"),
-        F.col("auroc").between(0, 1).alias("area_in_range"),
+    train = stored(fitted.rows.filter(F.col("split") == "train"), "rows")
+    used = histogram_cells(fitted.rows, "id").select("word").distinct().count()
+    facts = loss_facts(train, fitted.model, fitted.codebook.size).withColumnRenamed("n_rows", "n_train")
+    counts = report.select(
+        "class", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n_test"), (F.col("tp") + F.col("fn")).alias("n_class")
     )
+    return counts.join(facts, "class").withColumn("n_used_words", F.lit(used))
 
 
 @query
 def train_and_evaluate_kmeans(spark, sf):
     settings = Settings(words=EMBEDDING_WORDS, threshold=-0.093)
-    return run_facts(spark, fit(embedding_descriptors(spark, sf), embedding_tags(spark, sf), settings))
+    return run_facts(fit(embedding_descriptors(spark, sf), embedding_tags(spark, sf), settings))
 
 
 @query
 def train_and_evaluate_default(spark, sf):
     """The default settings: 100 words in 15 iterations, 200 classifier steps."""
-    return run_facts(spark, fit(line_item_descriptors(spark, sf), order_tags(spark, sf)))
+    return run_facts(fit(line_item_descriptors(spark, sf), order_tags(spark, sf)))
 
 
 # Files --------------------------------------------------------------------------------
@@ -796,5 +817,40 @@ def byte_line_counts(content: bytes) -> np.ndarray:
     return line_character_counts(content.decode()[:-1])
 
 
+FILE_SETTINGS = Settings(
+    words=LINE_WORDS, codebook_iterations=2, classifier_iterations=3, threshold=-0.05,
+    category_thresholds={"en/web": -0.06, "de/web": -0.0101},
+)
+FILES_PER_PART = 500
+
+
+def json_line_counts(content: bytes) -> np.ndarray:
+    return line_character_counts(json.loads(content)["text"])
+
+
+@query
+def file_report(spark, sf):
+    """From a directory to the report: list, split, read tags, decode, train, evaluate, name.
+
+    Documents become JSON files with their tag and text, whose names are in the order of the
+    document ids. The categories have thresholds of their own.
+    """
+    docs = table(spark, sf, "documents")
+    parts = docs.count() // FILES_PER_PART + 1
+    tags = F.array(F.concat_ws("/", "lang", "source"), F.lit("other")).alias("tags")
+    rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(tags, "text")
+    folder = written_files(rows, "report", "json")
+    listed = manifest.manifest(manifest.list_entities(spark, folder).filter("NOT hidden"), "path")
+    split = prefix_split(listed, "id", FILE_SETTINGS.train_fraction)
+    items = binary.file_descriptors(spark, folder, json_line_counts, 6, skip_hidden=True)
+
+    def codebook(descriptors: DataFrame) -> Codebook:
+        first = given_codebook(descriptors, FILE_SETTINGS.words)
+        return lloyd(descriptors, first, FILE_SETTINGS.codebook_iterations)[0]
+
+    fitted = fit(items, read_metadata(spark, folder, skip_hidden=True), FILE_SETTINGS, codebook, split)
+    return report_lines(evaluate(fitted), fitted.labels)
+
+
 # Given words for lines: none, and lines rich in vowels, consonants or capitals.
 FILE_CODEBOOK = Codebook([[0, 0, 0, 0, 0, 0], [50, 60, 2, 0, 20, 5], [200, 250, 5, 0, 90, 10], [5, 5, 100, 0, 20, 30]])
