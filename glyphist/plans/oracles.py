@@ -311,6 +311,12 @@ CATEGORY_LIMIT = (
     "CASE class " + " ".join(f"WHEN {c} THEN {t}" for c, t in CLASS_THRESHOLDS.items()) + f" ELSE {SCORE_THRESHOLD} END"
 )
 
+LABEL_JOIN = with_(
+    *given(LINE_ITEM, LINE_ITEM_WORDS),
+    select=f"""SELECT h.id, m.label, word, freq FROM ({LONG}) AS h JOIN ({ORDER_TAGS}) AS t ON h.id = t.id
+  JOIN ({label_map_sql(ORDER_TAGS)}) AS m ON m.tag = t.tag""",
+)
+
 ORACLES: dict[str, str] = {
     "descriptors_embedding": flat(EMBEDDING),
     "descriptors_lineitem": flat(LINE_ITEM),
@@ -343,11 +349,8 @@ ORACLES: dict[str, str] = {
     "entity_label_drops": f"""SELECT count(*) FILTER (tag IS NULL) AS n_no_tag,
   count(*) FILTER (tag IS NOT NULL AND label IS NULL) AS n_unknown_tag, count(label) AS n_labelled
   FROM ({ENTITY_LABELS})""",
-    "label_join": with_(
-        *given(LINE_ITEM, LINE_ITEM_WORDS),
-        select=f"""SELECT h.id, m.label, word, freq FROM ({LONG}) AS h JOIN ({ORDER_TAGS}) AS t ON h.id = t.id
-  JOIN ({label_map_sql(ORDER_TAGS)}) AS m ON m.tag = t.tag""",
-    ),
+    "label_join": LABEL_JOIN,
+    "label_join_bucketed": LABEL_JOIN,
     "label_join_repeated_ids": with_(
         *given(EVENTS, EVENT_WORDS),
         select=f"""SELECT h.id, m.label, word, freq, count(*) AS copies

@@ -36,6 +36,7 @@ from glyphist.operators.histogram import (
 from glyphist.operators.labels import distinct_tags, label_drops, label_entities, label_map
 from glyphist.operators.restarts import train_restarts
 from glyphist.operators.split import HashSplit, prefix_split
+from glyphist.operators.tables import store_by_entity
 from glyphist.operators.training import class_rows, one_vs_rest, training_rows
 from glyphist.plans.end_to_end import (
     Fitted,
@@ -58,6 +59,7 @@ EMBEDDING_WORDS = 64
 LINE_ITEM_WORDS = 32
 LINE_WORDS = 16
 EVENT_WORDS = 16
+TABLE_BUCKETS = 16
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 SCORE_THRESHOLD = 0.002
 CLASS_THRESHOLDS = {0.0: -0.004, 2.0: 0.001, 4.0: 0.0, 7.0: 0.006}
@@ -307,6 +309,15 @@ def label_join(spark, sf):
     return histogram_cells(rows, "id", "label")
 
 
+@query
+def label_join_bucketed(spark, sf):
+    """Histograms and labels as tables by entity: the join and the training join move no rows."""
+    items, tags = line_item_descriptors(spark, sf), order_tags(spark, sf)
+    hists = store_by_entity(histograms(items, given_codebook(items, LINE_ITEM_WORDS)), TABLE_BUCKETS, name="histograms")
+    labels = store_by_entity(label_entities(tags, label_map(tags)), TABLE_BUCKETS, name="labels")
+    return histogram_cells(training_rows(labels, hists), "id", "label")
+
+
 @query
 def label_join_repeated_ids(spark, sf):
     """Every event labels its user, so ids repeat; frequent users take the hot-key path."""

@@ -182,3 +182,47 @@ def test_large_rows_of_hot_keys_are_not_broadcast(spark, monkeypatch):
     many, one = skewed(spark), spark.range(200).withColumn("m", F.lit(1))
     assert join_on_entity(many, one, "id", 50, 0.1).count() == many.filter("id < 200").count()
 
+
+
+def test_tables_by_entity_join_without_an_exchange(spark):
+    from glyphist.operators.tables import release_by_entity, store_by_entity
+
+    one = spark.range(300).select(F.when(F.col("id") < 299, F.col("id")).alias("id"), (F.col("id") * 2).alias("twice"))
+    many = spark.range(900).select((F.col("id") % 350).alias("id"), F.col("id").alias("n")).unionByName(
+        spark.range(3).select(F.lit(None).cast("long").alias("id"), F.col("id").alias("n"))
+    )
+    want = rows(many.join(one, "id"), "id", "n", "twice")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = store_by_entity(many, 7), store_by_entity(one, 7)
+        assert left.filter("id IS NULL").count() == 0 and right.count() == 299
+        for _ in range(2):
+            joined = left.join(right, "id")
+            assert rows(joined, "id", "n", "twice") == want
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan
+        grouped = left.groupBy("id").count()
+        assert grouped.count() == 350 and "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+        assert len(right.inputFiles()) <= 7
+        files = right.inputFiles()
+        release_by_entity(left, right, one)
+        assert not any(__import__("os").path.exists(f.replace("file:", "").replace("//", "")) for f in files)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        store_by_entity(one, 0)
+
+
+def test_training_rows_of_tables_by_entity_move_no_rows(spark, sf):
+    from glyphist.operators.tables import store_by_entity
+    from glyphist.plans import registry
+
+    items, tags = registry.line_item_descriptors(spark, sf), registry.order_tags(spark, sf)
+    hists = store_by_entity(registry.histograms(items, registry.given_codebook(items, 4)), 5)
+    labels = store_by_entity(registry.label_entities(tags, registry.label_map(tags)), 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = training_rows(labels, hists)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
