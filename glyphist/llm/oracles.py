@@ -146,20 +146,31 @@ sized AS (
     SELECT *, count(*) OVER (PARTITION BY lang, source) AS n_pair, count(*) OVER (PARTITION BY lang) AS n_lang
     FROM marked WHERE NOT base_failed
 ),
-vectors AS MATERIALIZED (
-    SELECT r, CASE WHEN n_pair >= {quality_rules.MIN_GROUP} THEN struct_pack(l := lang, s := source, k := 2)
-            WHEN n_lang >= {quality_rules.MIN_GROUP} THEN struct_pack(l := lang, s := NULL, k := 1)
-            ELSE struct_pack(l := NULL, s := NULL, k := 0) END::VARCHAR AS g,
+named AS (
+    SELECT *, min(n_pair) OVER (PARTITION BY lang) AS least_pair,
+        struct_pack(l := lang, s := source, k := 2)::VARCHAR AS of_pair, struct_pack(l := lang, s := NULL, k := 1)::VARCHAR AS of_lang
+    FROM sized
+),
+judged AS MATERIALIZED (
+    SELECT r, n_pair, n_lang, least_pair, of_pair, of_lang, CASE WHEN n_pair >= {quality_rules.MIN_GROUP} THEN of_pair
+            WHEN n_lang >= {quality_rules.MIN_GROUP} THEN of_lang ELSE 'all' END AS g,
         floor(word_chars / n_words * 64 + 0.5::DOUBLE)::BIGINT AS x1,
         {_logged("n_symbols")} AS x2, {_logged("n_dup_lines")} AS x3, {_logged("n_repeat_words")} AS x4
-    FROM sized
+    FROM named
+),
+vectors AS MATERIALIZED (
+    SELECT of_pair AS g, x1, x2, x3, x4 FROM judged WHERE n_pair >= {quality_rules.MIN_GROUP}
+    UNION ALL
+    SELECT of_lang, x1, x2, x3, x4 FROM judged WHERE n_lang >= {quality_rules.MIN_GROUP} AND least_pair < {quality_rules.MIN_GROUP}
+    UNION ALL
+    SELECT 'all', x1, x2, x3, x4 FROM judged WHERE EXISTS (FROM judged WHERE g = 'all')
 ),
 medians AS MATERIALIZED (SELECT g, {", ".join(f"median(x{i})::DOUBLE AS m{i}" for i in _AXES)} FROM vectors GROUP BY g),
 deviations AS (
     SELECT g, {", ".join(f"median(abs(x{i} - m{i}))::DOUBLE AS s{i}" for i in _AXES)} FROM vectors JOIN medians USING (g) GROUP BY g
 ),
 e0 AS MATERIALIZED (SELECT g, {_MEANS}, {_DIAGONAL} FROM medians JOIN deviations USING (g)){_ROUNDS},
-measured AS (SELECT r, d2 FROM {_distance("vectors", f"e{quality_rules.CONCENTRATIONS}")})
+measured AS (SELECT r, d2 FROM {_distance("judged", f"e{quality_rules.CONCENTRATIONS}")})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     coalesce(d2 <= {quality_rules.CUTOFF}::DOUBLE, false) AS kept, round(d2, 6) AS d2
 FROM marked LEFT JOIN measured USING (r)
