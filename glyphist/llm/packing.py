@@ -14,12 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphist.llm.token_counts import byte_letters
+from glyphist.llm.token_counts import byte_letters, word_cutter
 from glyphist.session import stored
 
 CAPACITY = 1024
@@ -47,10 +46,13 @@ class TextIds:
         self._model = self._tokenizer.model
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._letters = {i: c for i, c in enumerate(byte_letters())}
-        self._find = regex.compile(WORD_PATTERN).findall
+        self._find = word_cutter(WORD_PATTERN)
+        # Two generations each: when the newer one is half of what may be held, the older goes.
         self._parts: dict[str, bytes | None] = {}
+        self._old_parts: dict[str, bytes | None] = {}
         self._words: dict[str, bytes] = {}
-        self._cached = cached
+        self._old_words: dict[str, bytes] = {}
+        self._half = cached // 2
 
     def _new(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self._letters)
@@ -59,9 +61,11 @@ class TextIds:
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
         if ids is None:
-            ids = self._new(word)
-            if len(self._words) > self._cached:
-                self._words.clear()
+            ids = self._old_words.get(word)
+            if ids is None:
+                ids = self._new(word)
+            if len(self._words) > self._half:
+                self._words, self._old_words = {}, self._words
             self._words[word] = ids
         return ids
 
@@ -81,14 +85,11 @@ class TextIds:
         first, *parts = text.split(" ")
         special = any(s in text for s in self._special)
         if not special and not (first and first[-1].isspace()):
-            known = self._parts
-            missing = set(parts).difference(known)
-            if missing:
-                if len(known) > self._cached:
-                    known.clear()
-                    missing = set(parts)
-                for part in missing:
-                    known[part] = self._part(part)
+            if len(self._parts) > self._half:
+                self._parts, self._old_parts = {}, self._parts
+            known, old = self._parts, self._old_parts
+            for part in set(parts).difference(known):
+                known[part] = old[part] if part in old else self._part(part)
             try:
                 rest = b"".join(map(known.__getitem__, parts))
             except TypeError:  # a part that is None
@@ -217,12 +218,24 @@ def completions(left: dict[int, int], sizes: list[int], room: int, limit: int =
     return [f for _, f in found]
 
 
+def _fullest(left: dict[int, int], sizes: list[int], room: int) -> tuple[int, ...]:
+    """The best-fit filling: each time the largest piece that fits. For nodes too wide to enumerate."""
+    filling: list[int] = []
+    for size in sizes:
+        take = min(left[size], room // size)
+        filling += [size] * take
+        room -= take * size
+    return tuple(filling)
+
+
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[Filling]:
     """Branch and bound: the largest piece left gets a completion, the rest is searched on.
 
     A branch ends when the waste so far leaves no room below the incumbent. The search
     visits at most ``nodes`` complete descents after the first; the best packing found
-    is returned, and it stops at once if the lower bound is met.
+    is returned, and it stops at once if the lower bound is met. Of a node's fillings, found
+    in at most ``FILLINGS_PER_NODE`` steps, the ``BRANCHES`` fullest are followed; a node with
+    none in that time is completed by best fit.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -254,7 +267,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NO
         rest = dict(left)
         rest[largest] -= 1
         sizes = sorted((s for s, n in rest.items() if n), reverse=True)
-        options = completions(rest, sizes, capacity - largest)[:BRANCHES] or [()]
+        room = capacity - largest
+        options = completions(rest, sizes, room)[:BRANCHES] or [_fullest(rest, sizes, room)]
         children = []
         for option in options:
             filling = (largest, *option)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +90,45 @@ class PairMerges:
         return n - merges
 
 
+def _unknown_letters() -> str:
+    """A character class of letters and digits that are newer than the tables of Python's ``unicodedata``.
+
+    The tokenizer library does not know them either and cuts them as marks, while ``regex`` does.
+    """
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    ranges: list[list[int]] = []
+    for point in found:
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
+def word_cutter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern over letters and digits, as far as the tokenizer library knows them."""
+    find = regex.compile(pattern).findall
+    strict: list = []
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():
+            return find(text)
+        if not strict:
+            unknown = _unknown_letters()
+            known = pattern.replace(r"\p{L}", rf"[\p{{L}}--{unknown}]").replace(r"\p{N}", rf"[\p{{N}}--{unknown}]")
+            strict.extend([regex.compile(unknown).search, regex.compile("(?V1)" + known).findall])
+        return strict[1](text) if strict[0](text) else find(text)
+
+    return cut
+
+
 class TextCounter:
     """Tokens of whole texts: special strings, normalising, words, then merges of each word."""
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         self._merges = PairMerges(path)
-        self._find = regex.compile(self._merges.pattern).findall
+        self._find = word_cutter(self._merges.pattern)
         self._special = None
         if self._merges.special:
             longest_first = sorted(self._merges.special, key=len, reverse=True)

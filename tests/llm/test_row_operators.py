@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -46,6 +46,7 @@ def test_sorted_hashes_find_what_they_hold():
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
+@example("Â\U000323b0 a\U000323b0b\u0558 \u0558")
 def test_tokens_are_those_of_the_library(text):
     want = Tokenizer.from_file(WORD_VOCABULARY) if not hasattr(helpers, "words") else helpers.words
     ids = Tokenizer.from_file(BYTE_VOCABULARY) if not hasattr(helpers, "bytes_") else helpers.bytes_
