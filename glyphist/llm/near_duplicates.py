@@ -321,7 +321,7 @@ class Forest:
         wanted = self.steps.keep(likely(shown, self.percent, self.trees), "wanted")
         sets = self.steps.keep(self.sets(wanted.select("g1", "g2").distinct()), "sets")
         links = self.steps.keep(confirmed(wanted.join(sets, ["g1", "g2"]), self.percent).distinct(), "links")
-        self.steps.drop(sets)
+        self.steps.drop(sets, wanted)
         return links
 
     def sets(self, names: DataFrame) -> DataFrame:
@@ -357,6 +357,7 @@ class Forest:
     def membership(self) -> DataFrame:
         """``(doc_id, n, k1, k2, component_id, c1, c2)`` for every row; c1, c2 name the component."""
         labels = self.steps.keep(self.labels(self.links()), "labels")
+        self.steps.leave(self.rows, self.classes, labels)
         linked = self.classes.select("g1", "g2", "least").join(labels, ["g1", "g2"])
         lowest = linked.groupBy("r1", "r2").agg(F.min("least").alias("component_id"))
         moved = linked.join(lowest, ["r1", "r2"]).select("g1", "g2", "component_id", "r1", "r2")
@@ -367,6 +368,7 @@ class Forest:
             F.coalesce("r1", "g1").alias("c1"), F.coalesce("r2", "g2").alias("c2"),
         )
         named = self.steps.keep(named, "named")
+        self.steps.leave(self.rows, named)
         joined = self.rows.drop("sig").join(named, ["g1", "g2"], "left")
         own = F.when(F.col("g1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return joined.select("doc_id", "n", "k1", "k2", own.alias("component_id"), "c1", "c2")
@@ -419,6 +421,7 @@ def one_of_each(
     )
     forest = Forest(marked.select("doc_id", "text"), words, percent)
     members = forest.steps.keep(forest.membership(), "members")
+    forest.steps.leave(members)
     key = ["doc_id", "k1", "k2"]
     winners = members.filter("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(*key)).alias("w")).select("w.*")
     stays = forest.steps.keep(winners.union(members.filter("n = 0").select(*key).distinct()), "stays")
@@ -426,7 +429,9 @@ def one_of_each(
     same = reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key])
     result = keyed.join(stays.alias("s"), same, "left_semi")
     repeated = members.filter("n > 0").groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1")
-    if not repeated.join(stays, key, "left_semi").isEmpty():
+    twice = not repeated.join(stays, key, "left_semi").isEmpty()
+    forest.steps.leave(stays)
+    if twice:
         wordless = ~F.col("text").rlike(r"[^ \x09-\x0d]")
         result = result.withColumn("_own", F.when(wordless, F.monotonically_increasing_id()))
         result = result.dropDuplicates([*key, "_own"])

@@ -105,11 +105,12 @@ def _group_name(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def grouped(rows: DataFrame, steps: Steps) -> DataFrame:
-    """Add ``g``, what a row is judged with: language and source, or language, or all, the first with enough rows.
+def groups_of_pairs(rows: DataFrame, steps: Steps) -> DataFrame:
+    """``(_lang, _source, g, gs)`` of every pair of language and source.
 
-    ``gs`` has all groups that the row counts for: of its pair, its language and all, those
-    that some row is judged with.
+    ``g`` is what its rows are judged with: language and source, or language, or all, the first
+    with enough rows. ``gs`` has all groups that the rows count for: of the pair, the language
+    and all, those that some row is judged with.
     """
     pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     of_lang = Window.partitionBy("lang")
@@ -127,7 +128,12 @@ def grouped(rows: DataFrame, steps: Steps) -> DataFrame:
     )
     names = steps.keep(sized.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "groups")
     everything = F.lit("all") if names.filter("g = 'all'").limit(1).count() else F.lit(None).cast("string")
-    names = names.withColumn("gs", F.array_compact(F.array("_pair", "_whole", everything))).drop("_pair", "_whole")
+    listed = F.array_compact(F.array("_pair", "_whole", everything))
+    return steps.keep(names.withColumn("gs", listed).drop("_pair", "_whole"), "groups")
+
+
+def with_group(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with ``g`` and ``gs`` of their pair."""
     match = rows["lang"].eqNullSafe(names["_lang"]) & rows["source"].eqNullSafe(names["_source"])
     return rows.join(names, match).drop("_lang", "_source")
 
@@ -185,41 +191,52 @@ def concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 def factored(sums: DataFrame) -> DataFrame:
     """Means and the lower triangular factor of the scaled, floored scatter matrix."""
     df = sums.withColumns({f"m{i}": F.col(f"t{i}") / F.col("n") for i in _AXES})
+    scatters = {}
     for i, j in _PAIRS:
         scatter = (F.col(f"t{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
         if i == j:
             scatter = F.greatest(scatter, F.lit(0.0)) + F.lit(FLOORS[i - 1] * FLOORS[i - 1])
-        df = df.withColumn(f"c{i}{j}", scatter)
+        scatters[f"c{i}{j}"] = scatter
+    df = df.withColumns(scatters)
     for j in _AXES:
+        rest = {}
         for i in range(j, DIM + 1):
-            rest = F.col(f"c{i}{j}")
+            rest[i] = F.col(f"c{i}{j}")
             for k in range(1, j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floor keeps the matrix positive definite; the least value only meets rounding.
-            value = F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}")
-            df = df.withColumn(f"l{i}{j}", value)
+                rest[i] = rest[i] - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        # The floor keeps the matrix positive definite; the least value only meets rounding.
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest[j], F.lit(1.0))))
+        if j < DIM:
+            df = df.withColumns({f"l{i}{j}": rest[i] / F.col(f"l{j}{j}") for i in range(j + 1, DIM + 1)})
     return df.select("g", *[f"m{i}" for i in _AXES], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
-def judged(
-    stats: DataFrame, steps: Steps, concentrations: int = CONCENTRATIONS, cutoff: float = CUTOFF
-) -> DataFrame:
-    """Add ``base_failed``, ``d2`` (null where the base rules failed) and ``kept``.
+def estimated(stats: DataFrame, steps: Steps, concentrations: int = CONCENTRATIONS) -> tuple[DataFrame, DataFrame]:
+    """``(names, estimates)``: what pairs of language and source are judged with, and how.
 
     ``stats`` is a written table with lang, source and the counts of each row. Only its
-    narrow columns are read for the estimates, once for each group that a row counts for;
-    groups are small tables joined as Spark chooses by their size, and all sums combine
-    before they are shuffled.
+    narrow columns are read, once for each group that a row counts for; groups are small
+    tables joined as Spark chooses by their size, and all sums combine before they are
+    shuffled. All other tables that were written on the way are removed.
     """
-    marked = stats.withColumn("base_failed", base_failed())
-    peers = grouped(marked.filter(~F.col("base_failed")), steps)
-    rows = vectors(peers)
-    axes = [f"x{i}" for i in _AXES]
-    core = steps.keep(rows.select(F.explode("gs").alias("g"), *axes), "vectors")
+    passed = stats.filter(~base_failed())
+    names = groups_of_pairs(passed, steps)
+    core = vectors(with_group(passed, names)).select(F.explode("gs").alias("g"), *[f"x{i}" for i in _AXES])
+    core = steps.keep(core, "vectors")
     estimates = steps.keep(start(core, steps), "estimates")
     for _ in range(concentrations):
         estimates = steps.keep(concentrated(core, estimates), "estimates")
-    measured = with_distance(rows, estimates).drop("g", "gs", *axes)
+    return names, estimates
+
+
+def judged(stats: DataFrame, names: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """``stats`` with ``base_failed``, ``d2`` (null where the base rules failed) and ``kept``.
+
+    Rows are not moved unless the estimates are too many to be sent to them.
+    """
+    marked = stats.withColumn("base_failed", base_failed())
+    rows = vectors(with_group(marked.filter(~F.col("base_failed")), names))
+    measured = with_distance(rows, estimates).drop("g", "gs", *[f"x{i}" for i in _AXES])
     failed = marked.filter("base_failed").withColumn("d2", F.lit(None).cast("double"))
     return measured.unionByName(failed).withColumn("kept", F.coalesce(F.col("d2") <= cutoff, F.lit(False)))
 
@@ -235,7 +252,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         docs.select(F.col(id_col).alias("doc_id"), "lang", "source", F.col(text_col).alias("text"))
     ).drop("text")
     steps = Steps(docs.sparkSession, "quality")
-    return judged(steps.keep(stats, "stats"), steps).select(
+    stats = steps.keep(stats, "stats")
+    names, estimates = estimated(stats, steps)
+    steps.leave(stats, names, estimates)
+    return judged(stats, names, estimates).select(
         "doc_id", "n_words", *STATS, "base_failed", "kept", F.round("d2", 6).alias("d2")
     )
 
@@ -243,13 +263,18 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns.
 
-    The rows and their counts are written once; only the counts are read to find the verdicts.
+    Only the counts are written and read to find the estimates. The counts of a row are taken a
+    second time for its verdict, in the pass that returns it, so that no copy of the texts
+    is made.
     """
     steps = Steps(docs.sparkSession, "quality")
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        docs["lang"].alias("lang"),
-        docs["source"].alias("source"),
-        docs[text_col].alias("text"),
-    )
-    return judged(steps.keep(text_statistics(held).drop("text"), "rows"), steps).filter("kept").select("row.*")
+    named = docs.select("lang", "source", F.col(text_col).alias("text"))
+    stats = steps.keep(text_statistics(named).drop("text"), "stats")
+    names, estimates = estimated(stats, steps)
+    steps.leave(names, estimates)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = text_statistics(docs.select(whole, "lang", "source", F.col(text_col).alias("text"))).drop("text")
+    # A condition on a row number is not moved below it: the counts are taken once, and not in place of their names.
+    rows = rows.withColumn("_place", F.monotonically_increasing_id()).filter(~base_failed() & (F.col("_place") >= 0))
+    passed = vectors(with_group(rows, names))
+    return with_distance(passed, estimates).filter(F.col("d2") <= CUTOFF).select("row.*")

@@ -20,6 +20,7 @@ class Steps:
         self._spark = spark
         self._folder = scratch_path(spark, name)
         self._written = 0
+        self._held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._written += 1
@@ -35,11 +36,17 @@ class Steps:
                 self._spark.conf.set(_CLEANUP, before)
         kept = self._spark.read.schema(df.schema).parquet(path)
         kept._step_path = path
+        self._held.append(kept)
         return kept
 
+    def leave(self, *tables: DataFrame) -> None:
+        """Delete all tables of ``keep`` but these: once what is read on depends on these alone."""
+        self.drop(*[t for t in self._held if not any(t is left for left in tables)])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of ``keep`` that nothing reads any more."""
         jvm = self._spark._jvm
+        self._held = [t for t in self._held if not any(t is gone for gone in tables)]
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._step_path)
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
