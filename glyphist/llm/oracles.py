@@ -216,8 +216,27 @@ marked AS (SELECT r, i, coalesce(i > lag(i) OVER w + 400, true) AS opens FROM fo
 runs AS (SELECT r, i, sum(opens::INTEGER) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
 spans AS (SELECT r, run, min(i) AS first, max(i) + 400 AS last FROM runs GROUP BY ALL),
 cuts AS (SELECT r, list(struct_pack(f := first, l := last) ORDER BY first) AS c FROM spans GROUP BY r),
+pieces AS (
+    SELECT r, unnest(ps) AS piece, unnest(range(len(ps))) AS j
+    FROM (SELECT row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ps FROM documents)
+),
+ends AS (SELECT *, sum(strlen(piece)) OVER (PARTITION BY r ORDER BY j) AS e FROM pieces),
+fifties AS MATERIALIZED (
+    SELECT r, e - strlen(piece) AS s, lead(e, 50) OVER (PARTITION BY r ORDER BY j) AS e
+    FROM ends WHERE regexp_matches(piece, '[^\\x20\\x09-\\x0D]')
+),
+phrases AS MATERIALIZED (
+    SELECT f.r, f.s, f.e, md5_number(substr(h, (2 * s + 1)::BIGINT, (2 * (e - s))::BIGINT)) AS name FROM fifties f JOIN base USING (r) WHERE e IS NOT NULL
+),
+again AS (SELECT name FROM phrases GROUP BY name HAVING count(*) > 1),
+islands AS (
+    SELECT *, coalesce(s > max(e) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens
+    FROM phrases SEMI JOIN again USING (name)
+),
+numbered AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY r ORDER BY s) AS island FROM islands),
+passages AS (SELECT r, sum(n) AS n FROM (SELECT r, island, max(e) - min(s) AS n FROM numbered GROUP BY ALL) GROUP BY r),
 kept AS (
-    SELECT doc_id, h, coalesce(c, []) AS c,
+    SELECT r, doc_id, h, coalesce(c, []) AS c,
         array_to_string(list_transform(range(0, len(coalesce(c, [])) + 1), lambda k:
             substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * c[k].l + 1 END,
                 (CASE WHEN k = len(coalesce(c, [])) THEN len(h) ELSE 2 * c[k + 1].f END)
@@ -225,8 +244,8 @@ kept AS (
     FROM base LEFT JOIN cuts USING (r)
 )
 SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, ((len(h) - len(rest)) // 2)::BIGINT AS n_removed,
-    len(c)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
-FROM kept
+    len(c)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256, coalesce(n, 0)::BIGINT AS n_passage_bytes
+FROM kept LEFT JOIN passages USING (r)
 """
 
 OP11 = r"""

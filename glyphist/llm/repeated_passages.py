@@ -29,13 +29,29 @@ LENGTH = 400
 GRAM = 64
 # Sizes of the blocks of positions that are ranked together, the last 1.
 BLOCKS = (64, 8, 1)
+# Words whose bytes name a window of words first.
+WORD_GRAM = 8
+PASSAGE_WORDS = 51
 # Longer texts are read in pieces of this size that overlap by a string.
 PIECE_BYTES = 1 << 20
 
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+
 _U = np.uint64
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def least_in_windows(keys: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The least of the ``width`` keys from each of the first ``n`` positions on."""
+    # Of a window's part in one block of `width` and its part in the next.
+    padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max)
+    padded[: len(keys)] = keys
+    rows = padded.reshape(-1, width)
+    upto = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    since = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(since[:n], upto[width - 1 : width - 1 + n])
+
+
 def anchor_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """``(text, anchor, low, high, gram hash, whole hash)``: starts low to high have this anchor.
 
@@ -51,13 +67,7 @@ def anchor_runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tup
     spans = Spans(data)
     hashes = spans.hashes(begin, begin + gram)
     keys = (hashes >> _U(32) << _U(32)) | begin.astype(np.uint64)
-    # Least key of every window: of its part in one block of `width` and its part in the next.
-    padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max)
-    padded[: len(keys)] = keys
-    rows = padded.reshape(-1, width)
-    upto = np.minimum.accumulate(rows, axis=1).reshape(-1)
-    since = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    anchors = (np.minimum(since[:n], upto[width - 1 : width - 1 + n]) & _U(0xFFFFFFFF)).astype(np.int64)
+    anchors = (least_in_windows(keys, width, n) & _U(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(per_text)), per_text)
     starts = np.arange(len(owner)) + (at[:-1] - np.cumsum(per_text) + per_text)[owner]
     anchors = anchors[starts]
@@ -142,8 +152,8 @@ def repeated(rows: DataFrame, position: str, *name: str) -> DataFrame:
     return names.filter("_first <> _last").select(*name)
 
 
-def judged(steps: Steps, rows: DataFrame, position: str, shared: list[str], whole: list[str]) -> DataFrame:
-    """Add ``equal`` (all strings of the block repeat) and ``open`` (to be ranked again).
+def judged(steps: Steps, rows: DataFrame, position: str, shared: list[str], whole: list[str], *columns: str) -> DataFrame:
+    """``(k1, k2, run, *columns, equal, open)``: all strings of the block repeat; it is to be ranked again.
 
     Blocks with equal whole pieces are equal. A block whose shared piece is its own alone
     has no string that repeats, and is left out. Blocks that share a piece stay open if
@@ -151,7 +161,7 @@ def judged(steps: Steps, rows: DataFrame, position: str, shared: list[str], whol
     A whole piece that is 0 is none.
 
     What a join adds is written first, one row for each name: Spark then splits the rows of
-    a frequent name over tasks.
+    a frequent name over tasks. Those tables go as soon as the result is written.
     """
     p = F.expr(position)
     groups = rows.groupBy(*shared, *whole).agg(F.min(p).alias("_first"), F.max(p).alias("_last"))
@@ -163,9 +173,12 @@ def judged(steps: Steps, rows: DataFrame, position: str, shared: list[str], whol
     groups, classes = steps.keep(groups, "groups"), steps.keep(classes, "classes")
     flags = groups.join(classes, shared, "left").filter("equal OR _open")
     flags = steps.keep(flags.select(*shared, *whole, "equal", "_open", "_first"), "flags")
+    steps.drop(groups, classes)
     named = rows.join(flags, [*shared, *whole])
     still = F.coalesce("_open", F.lit(False)) & (~F.col("equal") | (p == F.col("_first")))
-    return named.withColumn("open", still).drop("_open", "_first", *shared, *whole)
+    verdicts = steps.keep(named.select("k1", "k2", "run", *columns, "equal", still.alias("open")), "verdicts")
+    steps.drop(flags)
+    return verdicts
 
 
 def block_names(found: DataFrame, length: int, block: int) -> DataFrame:
@@ -226,11 +239,11 @@ def repeated_starts(
     # The anchor's gram is the piece that all strings of a run share.
     names = steps.keep(repeated(found, _POSITION, "gram"), "grams")
     seeds = steps.keep(found.join(names, "gram", "left_semi"), "seeds")
-    steps.drop(found)
-    runs = steps.keep(
-        judged(steps, seeds, _POSITION, ["gram"], ["whole"]).select("k1", "k2", "run", "equal", "open").distinct(), "runs"
-    )
+    steps.drop(found, names)
+    verdicts = judged(steps, seeds, _POSITION, ["gram"], ["whole"])
     steps.drop(seeds)
+    runs = steps.keep(verdicts.distinct(), "runs")
+    steps.drop(verdicts)
 
     text = F.col("text")
     texts = with_key(docs.filter(F.octet_length(text) >= length).select("text"), text)
@@ -244,8 +257,7 @@ def repeated_starts(
     nodes = runs.filter("open").withColumn("i", _blocks("0", str(length), blocks[0]))
     for level, block in enumerate(blocks):
         names = steps.keep(block_names(held.join(_listed(nodes), ["k1", "k2"]), length, block), "names")
-        verdicts = judged(steps, names, f"xxhash64(k1, k2, {_ANCHOR}, i)", ["s1", "s2"], ["w1", "w2"])
-        verdicts = steps.keep(verdicts, "verdicts")
+        verdicts = judged(steps, names, f"xxhash64(k1, k2, {_ANCHOR}, i)", ["s1", "s2"], ["w1", "w2"], "i")
         steps.drop(names)
         equal = verdicts.filter("equal").selectExpr(
             "k1",
@@ -259,40 +271,86 @@ def repeated_starts(
     return ranges, held
 
 
+def word_anchor_runs(texts: Texts, words: int, gram: int) -> tuple[np.ndarray, ...]:
+    """``(text, anchor, low, high, gram hash)``: windows from word low to word high have this anchor.
+
+    The anchor of a window of ``words`` words is the least hashed gram of ``gram`` words in it, with
+    the white space between them, so that equal windows have equal anchors. Words are numbered
+    within their text.
+    """
+    own = words_of(texts)
+    n = max(0, len(own.start) - words + 1)
+    owner = np.repeat(np.arange(len(texts)), own.counts)
+    starts = np.flatnonzero(owner[:n] == owner[words - 1 :]) if n else np.zeros(0, np.int64)
+    if not len(starts):
+        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+    begin = np.arange(len(own.start) - gram + 1)
+    hashes = Spans(texts.data).hashes(own.start[begin], own.end[begin + gram - 1])
+    keys = (hashes >> _U(32) << _U(32)) | begin.astype(np.uint64)
+    anchors = (least_in_windows(keys, words - gram + 1, n) & _U(0xFFFFFFFF)).astype(np.int64)[starts]
+    owner = owner[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts)) - 1
+    a, text = anchors[first], owner[first]
+    base = own.first[text]
+    return text, a - base, starts[first] - base, starts[last] - base, hashes[a]
+
+
+def word_anchors(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """``(k1, k2, anchor, low, high, gram)`` of every text with at least ``words`` words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in all_slices(batches):
+            text, *columns, grams = word_anchor_runs(texts, words, gram)
+            used, at = np.unique(text, return_inverse=True)
+            keys = np.array([text_key(texts.text(int(i))) for i in used], np.int64).reshape(-1, 2)[at]
+            arrays = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(c.astype(np.int32)) for c in columns), _signed(grams)]
+            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "anchor", "low", "high", "gram"])
+
+    long_texts = docs.filter(F.octet_length("text") >= 2 * words - 1).select("text")
+    return long_texts.mapInArrow(run, "k1 long, k2 long, anchor int, low int, high int, gram long")
+
+
 def repeated_windows(steps: Steps, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """As ``repeated_starts``, but of strings from the start of one word to the end of the ``words``-th.
 
-    Such a string has at least one byte for each word and between two, so all shorter strings
-    of that many bytes in it repeat as well: only windows where these do are named.
-    ``last`` is where a string of that length ends with the window.
+    Ranked twice: windows by their anchor, about two in ``words`` words, and those whose anchor
+    repeats by all their bytes. ``last`` is where a string of ``2 * words - 1`` bytes, the least
+    that so many words have, ends with the window.
     """
-    length = 2 * words - 1
-    found, texts = repeated_starts(steps, docs, length)
+    gram, length = min(WORD_GRAM, words), 2 * words - 1
+    found = steps.keep(word_anchors(docs, words, gram), "anchors")
+    names = steps.keep(repeated(found, "xxhash64(k1, k2, anchor)", "gram"), "grams")
+    runs = steps.keep(found.join(names, "gram", "left_semi").select("k1", "k2", "low", "high").distinct(), "runs")
+    steps.drop(found, names)
+    # A text has at most one run for each of its words.
+    lists = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    text = F.col("text")
+    keyed = with_key(docs.filter(F.octet_length(text) >= length).select("text"), text)
+    single = keyed.groupBy("k1", "k2").agg(F.first(text.cast("binary")).alias("text"))
+    texts = steps.keep(single.join(lists, ["k1", "k2"]), "texts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data = np.frombuffer(batch.column("text")[row].as_buffer(), np.uint8)
                 own = words_of(Texts(data, np.array([0, len(data)])))
-                if len(own.start) < words:
-                    continue
-                start, end = own.start[: len(own.start) - words + 1], own.end[words - 1 :]
-                part = batch.column("ranges").slice(row, 1).flatten()
-                runs = np.array(merged(list(zip(part.field(0).to_pylist(), part.field(1).to_pylist())), length))
-                at = np.searchsorted(runs[:, 0], start, side="right") - 1
-                inside = (at >= 0) & (end <= runs[np.maximum(at, 0), 1])
-                start, end = start[inside].astype(np.int64), end[inside].astype(np.int64)
-                if len(start):
-                    keys = [pa.array(np.full(len(start), batch.column(k)[row].as_py(), np.int64)) for k in ("k1", "k2")]
-                    names = [_signed(Spans(data, i).hashes(start, end)) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*keys, pa.array(start), pa.array(end - length), *names], ["k1", "k2", "first", "last", "s1", "s2"]
-                    )
+                low, high = (x.to_numpy() for x in batch.column("runs").slice(row, 1).flatten().flatten())
+                sizes = high - low + 1
+                windows = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                start, end = own.start[windows].astype(np.int64), own.end[windows + words - 1].astype(np.int64)
+                keys = [pa.array(np.full(len(start), batch.column(k)[row].as_py(), np.int64)) for k in ("k1", "k2")]
+                hashes = [_signed(Spans(data, i).hashes(start, end)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(start), pa.array(end - length), *hashes], ["k1", "k2", "first", "last", "s1", "s2"]
+                )
 
     schema = "k1 long, k2 long, first long, last long, s1 long, s2 long"
-    windows = steps.keep(_with_ranges(texts, found).mapInArrow(run, schema), "windows")
+    windows = steps.keep(texts.mapInArrow(run, schema), "windows")
     names = steps.keep(repeated(windows, "xxhash64(k1, k2, first)", "s1", "s2"), "repeats")
-    return windows.join(names, ["s1", "s2"], "left_semi").select("k1", "k2", "first", "last"), texts
+    return windows.join(names, ["s1", "s2"], "left_semi").select("k1", "k2", "first", "last"), texts.drop("runs")
 
 
 def _with_ranges(texts: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -359,16 +417,21 @@ def _copies(ids: DataFrame, length: int) -> DataFrame:
 
 
 def removal_report(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS
 ) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes)`` for every row.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in
     another row or the same, is removed; overlapping occurrences count, and all strings are
     judged on the input. A null or empty text has 0 bytes; shorter texts than ``length`` stay
     whole. Equal texts, also under one id, are copies of each other and are removed whole if
-    they are long enough. Other columns are not read; an empty table gives no rows.
+    they are long enough. ``n_passage_bytes`` tells, apart from that, how many bytes of the text lie
+    in passages of ``words`` words or more, however few bytes those have, that occur twice.
+    Other columns are not read; an empty table gives no rows.
     """
+    # Runs of starts are held in 12 bits before and behind their anchor.
+    if not 1 <= length <= 4096:
+        raise ValueError("length must lie in 1 to 4096")
     steps = Steps(docs.sparkSession, "passages")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -377,23 +440,34 @@ def removal_report(
         "k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
     cut = steps.keep(cut, "cut")
-    steps.drop(texts)
+    steps.leave(cut)
+    others = Steps(docs.sparkSession, "windows")
+    ranges, texts = repeated_windows(others, rows, words)
+    covered = cut_texts(ranges, texts, 2 * words - 1).select("k1", "k2", F.col("n_removed").alias("n_passage_bytes"))
+    covered = steps.keep(covered, "covered")
+    others.leave()
+    # From its first word to its last, a copy of enough words is one passage.
+    passage = F.when(F.rlike("text", F.lit(_at_least(words))), F.octet_length(F.btrim("text", F.lit(WHITE_SPACE))))
     ids = with_key(rows, F.col("text")).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "k1", "k2"
-    )
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "k1", "k2",
+        F.coalesce(passage, F.lit(0)).cast("long").alias("passage"),
+    )
     ids = steps.keep(ids, "ids")
     # Copies need no text: nothing of them stays. All others meet at most one cut text.
-    copies = _copies(ids, length).select("k1", "k2")
-    whole = copies.selectExpr("k1", "k2", "CAST(NULL AS BIGINT) AS n_removed", "1L AS n_spans", f"'{_EMPTY_SHA}' AS kept_sha256")
-    changed = steps.keep(whole.unionByName(cut.join(copies, ["k1", "k2"], "left_anti")), "changed")
+    copies = steps.keep(_copies(ids, 1).select("k1", "k2", F.lit(True).alias("copied")), "copies")
+    changed = cut.join(covered, ["k1", "k2"], "full").join(copies, ["k1", "k2"], "full")
+    changed = steps.keep(changed, "changed")
+    steps.leave(ids, changed)
     joined = ids.join(changed, ["k1", "k2"], "left")
-    lost = F.col("n_spans").isNotNull()
+    copied = F.coalesce("copied", F.lit(False))
+    whole = copied & (F.col("n_bytes") >= length)
     return joined.select(
         "doc_id",
         "n_bytes",
-        F.when(lost, F.coalesce("n_removed", "n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.when(lost, F.col("kept_sha256")).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copied, F.col("passage")).otherwise(F.coalesce("n_passage_bytes", F.lit(0))).cast("long").alias("n_passage_bytes"),
     )
 
 
@@ -414,12 +488,13 @@ def without_repeats(
     ranges, texts = repeated_windows(steps, rows, words) if words else repeated_starts(steps, rows, length)
     cut = cut_texts(ranges, texts, length, whole_characters=True)
     cut = steps.keep(cut.select("k1", "k2", F.col("kept").cast("string").alias("kept")), "cut")
-    steps.drop(texts)
+    steps.leave(cut)
     long_enough = rows.filter(F.rlike("text", F.lit(_at_least(words)))) if words else rows
     ids = steps.keep(with_key(long_enough, F.col("text")).select("k1", "k2", F.octet_length("text").alias("n_bytes")), "ids")
     copies = _copies(ids, length).select("k1", "k2")
     whole = copies.select("k1", "k2", F.lit("").alias("kept"))
     changed = steps.keep(whole.unionByName(cut.join(copies, ["k1", "k2"], "left_anti")), "changed")
+    steps.leave(changed)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
     joined = with_key(held, F.col("text")).join(changed, ["k1", "k2"], "left")
     columns = []

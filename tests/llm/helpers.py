@@ -89,6 +89,22 @@ def removals(rows: list[tuple], length: int) -> list[tuple]:
     return result
 
 
+def passage_bytes(rows: list[tuple], words: int) -> list[tuple]:
+    """``(doc_id, bytes)`` covered by strings of so many words that occur twice, by counting all of them."""
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for _, b in texts]
+    windows = [[(s[i][0], s[i + words - 1][1]) for i in range(len(s) - words + 1)] for s in spans]
+    times = Counter(b[x:y] for (_, b), own in zip(texts, windows) for x, y in own)
+    result = []
+    for (doc, b), own in zip(texts, windows):
+        covered = bytearray(len(b))
+        for x, y in own:
+            if times[b[x:y]] > 1:
+                covered[x:y] = b"\1" * (y - x)
+        result.append((doc, sum(covered)))
+    return result
+
+
 def windows_like(items: list[tuple], rows: list[tuple], similarity: float) -> set[tuple]:
     """``(doc_id, item_id)`` by comparing every window of every document with every item."""
 

@@ -130,6 +130,25 @@ def test_passages_are_counted_in_words(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("words", [51, 9, 3])
+def test_bytes_of_repeated_passages(spark, words):
+    """Against counting all windows: short words, other white space, repeats in a text, copies of all lengths."""
+    rng = random.Random(16)
+    base = [rng.choice("abcdefghijé") for _ in range(90)]
+    texts = [" ".join(base), "x y " + " ".join(base[20:80]) + " z", "\n".join(base), " ".join(base[:30] + base[:30] + base[10:]),
+             "  " + " ".join(base[5:70]) + " \t", "  " + " ".join(base[5:70]) + " \t", "a b c", "a b c", "a b", "a b"]
+    docs = helpers.odd_table(spark).unionByName(helpers.table(spark, texts, list(range(200, 210))))
+    got = removal_report(docs, 400, words=words)
+    want = helpers.passage_bytes(pairs(docs), words)
+    assert helpers.rows_of(got, "doc_id", "n_passage_bytes") == sorted(want, key=repr)
+    assert len({n for _, n in want}) > 5
+
+
+def test_lengths_that_the_runs_cannot_hold_are_refused(spark):
+    with pytest.raises(ValueError, match="4096"):
+        removal_report(helpers.table(spark, ["x"]), 5000)
+
+
 def test_contaminations_of_odd_rows(spark):
     rng = random.Random(6)
     items = [(i, helpers.sentence(rng, n)) for i, n in enumerate([3, 5, 14, 30, 59, 40])] + [(6, None), (7, ""), (8, "one")]
