@@ -31,15 +31,6 @@ def partition_sizes(slotted: DataFrame) -> list[tuple[int, int]]:
     return sorted((r.p, r.n) for r in counts.collect())
 
 
-def slot_at_rank(sizes: list[tuple[int, int]], rank: int) -> int | None:
-    """``_slot`` of the row with the given 0-based rank."""
-    for partition, n in sizes:
-        if rank < n:
-            return (partition << SLOT_BITS) + rank
-        rank -= n
-    return None
-
-
 def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Add the 0-based global rank in the given order."""
     slotted = ordered_slots(df, *order)
