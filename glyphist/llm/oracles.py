@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from glyphist.llm import quality_rules
-from glyphist.llm.licenses import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
+from glyphist.llm.licenses import EQUIVALENT_SPELLINGS, LICENSE_DIGESTS, LICENSE_TEXTS
 
 # CRC-32 by half bytes: the table is made from the polynomial, low half of each byte first.
 _CRC32 = """
@@ -54,8 +54,10 @@ def _canonical(text: str) -> str:
 
 OP10 = f"""
 WITH known AS (
-    SELECT DISTINCT license, kind, {_canonical("body")} AS canonical
+    SELECT DISTINCT license, kind, sha256({_canonical("body")}) AS digest
     FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c)})" for a, b, c in LICENSE_TEXTS)}) v(license, kind, body)
+    UNION
+    FROM (VALUES {", ".join(map(str, LICENSE_DIGESTS))}) d(license, kind, digest)
 ),
 units AS (
     SELECT doc_id, 'document' AS unit, text AS body FROM documents WHERE text IS NOT NULL
@@ -64,7 +66,7 @@ units AS (
 )
 SELECT doc_id, unit, license, kind, count(*) AS n_units
 FROM (SELECT doc_id, unit, {_canonical("body")} AS canonical FROM units WHERE unit = 'document' OR body <> '') u
-JOIN known USING (canonical)
+JOIN known ON digest = sha256(canonical)
 WHERE canonical <> ''
 GROUP BY ALL
 """

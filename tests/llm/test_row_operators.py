@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -136,6 +137,31 @@ def test_licences_in_odd_rows(spark):
     assert license_matches(helpers.table(spark, texts), known_licenses(spark).limit(0)).count() == 0
 
 
+def test_every_licence_of_the_catalogue_is_found(spark):
+    """Whole texts under a copyright line, in other case and line breaks; repeated rows, a null id, a very long text."""
+    names, texts = [], []
+    for name, kind, text in helpers_licenses():
+        names.append(name)
+        texts.append(f"Copyright (c) 1999-2024 The Authors\n\n{text.upper()}" if kind == "text" else text)
+    files = {
+        "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0",
+        "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    for file, name in files.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            names.append(name)
+            texts.append("  " + path.read_text().replace("\n", " \n"))
+    ids = list(range(len(texts)))
+    long = "word " * 300_000 + "\nLicensed under CC BY 4.0."
+    more = [texts[0], texts[0], long, texts[-1][:-40]]
+    docs = helpers.table(spark, texts + more, [*ids, 0, None, 1000, 1001])
+    got = license_matches(docs, known_licenses(spark))
+    found = {(r.doc_id, r.license): r.n_units for r in got.filter("unit = 'document'").collect()}
+    assert found == {**{(i, n): 1 for i, n in zip(ids, names)}, (0, names[0]): 2, (None, names[0]): 1}
+    assert [tuple(r) for r in got.filter("doc_id = 1000").collect()] == [(1000, "line", "CC-BY-4.0", "notice", 1)]
+
+
 def helpers_licenses():
     from glyphist.llm.licenses import LICENSE_TEXTS
 
