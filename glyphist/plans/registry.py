@@ -792,15 +792,15 @@ def train_and_evaluate_default(spark, sf):
 def written_files(rows: DataFrame, name: str, kind: str = "text") -> str:
     """Each row as a file of its own in a new folder."""
     path = scratch_path(rows.sparkSession, name)
-    writer = rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\n")
-    writer.text(path) if kind == "text" else writer.json(path)
+    value = F.col("value") if kind == "text" else F.to_json(F.struct(*rows.columns))
+    binary.write_entities(rows.select(value.alias("value")), path, {"text": "txt", "json": "json"}[kind])
     return path
 
 
 @query
 def entities_from_directory(spark, sf):
     """Pages as files, listed and read back: their sizes and contents."""
-    folder = written_files(table(spark, sf, "pages").select(F.col("html").alias("value")), "entities")
+    folder = written_files(wide_table(spark, sf, "pages", "html").withColumnRenamed("html", "value"), "entities")
     listed = manifest.list_entities(spark, folder).filter("NOT hidden").select("path", "length")
     read = binary.read_entities(spark, folder, skip_hidden=True).join(listed, "path")
     return read.groupBy("length", F.md5("content").alias("digest")).agg(F.count("*").alias("n"))
@@ -817,8 +817,8 @@ def metadata_from_files(spark, sf):
 @query
 def file_run(spark, sf):
     """From files to word counts: documents as files, decoded to a vector per line."""
-    docs = table(spark, sf, "documents").select(F.col("text").alias("value"))
-    folder = written_files(docs, "files")
+    docs = wide_table(spark, sf, "documents", "text")
+    folder = written_files(docs.withColumnRenamed("text", "value"), "files")
     items = binary.file_descriptors(spark, folder, byte_line_counts, 6, skip_hidden=True)
     counts = word_counts(assign_words(items, FILE_CODEBOOK))
     return counts.groupBy("word").agg(F.sum("n").alias("n"))

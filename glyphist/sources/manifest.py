@@ -14,6 +14,10 @@ from glyphist.session import scratch_path
 ENTITY_SCHEMA = "path string, length long, hidden boolean"
 # Hidden and empty files are handed to Spark in pieces of this many names.
 NAMES_PER_PIECE = 100_000
+# Spark gives a task 32 files at most, however small; here it gets more, up to this many bytes,
+# unless that leaves fewer tasks than these for each core.
+TASK_BYTES = 64 << 20
+TASKS_PER_CORE = 4
 
 
 # Characters that file name patterns of Spark's readers treat specially; here only * and ? are.
@@ -43,7 +47,14 @@ def _visible(spark: SparkSession, directory: str, glob: str | None = None) -> Da
     return reader.load(directory).filter(F.size(F.split(path, "/")) - 1 == depth).select("path", "length", "content")
 
 
-def _others(spark: SparkSession, directory: str) -> DataFrame:
+def _counted(visible: DataFrame) -> tuple[int, int]:
+    """The number of files, and how many tasks are to read them."""
+    few = TASKS_PER_CORE * visible.sparkSession.sparkContext.defaultParallelism
+    n, size = visible.coalesce(few).agg(F.count("*"), F.sum("length")).first()
+    return n, max(few, (size or 0) // TASK_BYTES)
+
+
+def _others(spark: SparkSession, directory: str, n_visible: int) -> DataFrame:
     """``(path, length, hidden)`` of the files directly in ``directory`` that ``_visible`` does not have.
 
     A folder without nested ones tells how many files it has; if they are all visible, no
@@ -52,7 +63,7 @@ def _others(spark: SparkSession, directory: str) -> DataFrame:
     """
     system, path = _folder(spark, directory)
     whole = system.getContentSummary(path)
-    if whole.getDirectoryCount() == 1 and whole.getFileCount() == _visible(spark, directory).count():
+    if whole.getDirectoryCount() == 1 and whole.getFileCount() == n_visible:
         return spark.createDataFrame([], ENTITY_SCHEMA)
     statuses = system.listStatusIterator(path)
     target, piece, pieces = scratch_path(spark, "listing"), [], 0
@@ -83,8 +94,10 @@ def list_entities(spark: SparkSession, directory: str) -> DataFrame:
     the listing. ``hidden`` marks names that begin with ``_`` or ``.``, which Spark's sources do
     not read. All other names stay in the tasks: the rows come from Spark's own list of files.
     """
-    visible = _visible(spark, directory).select("path", "length", F.lit(False).alias("hidden"))
-    return visible.unionByName(_others(spark, directory))
+    visible = _visible(spark, directory)
+    n, tasks = _counted(visible)
+    listed = visible.coalesce(tasks).select("path", "length", F.lit(False).alias("hidden"))
+    return listed.unionByName(_others(spark, directory, n))
 
 
 def read_files(spark: SparkSession, directory: str, glob: str | None = None, skip_hidden: bool = False) -> DataFrame:
@@ -94,16 +107,19 @@ def read_files(spark: SparkSession, directory: str, glob: str | None = None, ski
     error, unless ``skip_hidden`` leaves all hidden files out. Contents are read where the
     rows are used; they are not shuffled.
     """
-    others = _others(spark, directory)
+    visible = _visible(spark, directory)
+    n, tasks = _counted(visible)
+    others = _others(spark, directory, n)
     if glob is not None:
+        visible = _visible(spark, directory, glob)
         pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
         others = others.filter(F.regexp_replace("path", r"(?s)^.*/", "").rlike(f"^(?s:{pattern})$"))
     if skip_hidden:
         others = others.filter("NOT hidden")
-    elif n := others.filter("hidden AND length > 0").count():
-        raise ValueError(f"{n} hidden files in {directory} cannot be read; skip_hidden leaves them out")
+    elif unread := others.filter("hidden AND length > 0").count():
+        raise ValueError(f"{unread} hidden files in {directory} cannot be read; skip_hidden leaves them out")
     empty = others.filter("length = 0").select("path", F.lit(b"").alias("content"))
-    return _visible(spark, directory, glob).select("path", "content").unionByName(empty)
+    return visible.coalesce(tasks).select("path", "content").unionByName(empty)
 
 
 def manifest(paths: DataFrame, path: str, metadata_dir: str | None = None) -> DataFrame:

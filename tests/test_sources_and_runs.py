@@ -286,3 +286,23 @@ def test_saved_models_classify_new_entities(spark, sf, tmp_path):
     log = {(stage, metric): v for stage, metric, v in fitted.log.collect()}
     assert log[("settings", "classifier_iterations")] == 3
     fitted.release()
+
+
+def test_many_rows_become_files_in_their_order(spark, tmp_path):
+    rows = spark.range(1500).coalesce(1).select(F.when(F.col("id") != 7, F.col("id").cast("string")).alias("value"))
+    binary.write_entities(rows, str(tmp_path / "files"), "txt")
+    names = sorted(p.name for p in (tmp_path / "files").iterdir())
+    contents = [(tmp_path / "files" / n).read_text() for n in names]
+    assert contents == ["\n" if i == 7 else f"{i}\n" for i in range(1500)]
+    assert not list((tmp_path / "files.tmp").iterdir())
+    with pytest.raises(FileExistsError):
+        binary.write_entities(rows, (tmp_path / "files").as_uri(), "txt")
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    few = manifest.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    for i in range(32 * few + 100):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    for found in (manifest.read_files(spark, str(tmp_path)), manifest.list_entities(spark, str(tmp_path))):
+        assert found.rdd.getNumPartitions() <= few + spark.sparkContext.defaultParallelism
+        assert found.select("path").distinct().count() == 32 * few + 100
