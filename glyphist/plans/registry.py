@@ -848,18 +848,20 @@ def file_report(spark, sf):
     """
     docs = table(spark, sf, "documents")
     parts = docs.count() // FILES_PER_PART + 1
-    tags = F.array(F.concat_ws("/", "lang", "source"), F.lit("other")).alias("tags")
-    rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(tags, "text")
+    both = F.array(F.concat_ws("/", "lang", "source"), F.lit("other")).alias("tags")
+    rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(both, "text")
     folder = written_files(rows, "report", "json")
     listed = manifest.manifest(manifest.list_entities(spark, folder).filter("NOT hidden"), "path")
-    split = prefix_split(listed, "id", FILE_SETTINGS.train_fraction)
-    items = binary.file_descriptors(spark, folder, json_line_counts, 6, skip_hidden=True)
+    split = prefix_split(stored(listed, "listed"), "id", FILE_SETTINGS.train_fraction)
+    # Opening the files takes longest: each is opened once for its tag and once for its lines.
+    tags = stored(read_metadata(spark, folder, skip_hidden=True), "tags")
+    items = stored(binary.file_descriptors(spark, folder, json_line_counts, 6, skip_hidden=True), "lines")
 
     def codebook(descriptors: DataFrame) -> Codebook:
         first = given_codebook(descriptors, FILE_SETTINGS.words)
         return lloyd(descriptors, first, FILE_SETTINGS.codebook_iterations)[0]
 
-    fitted = fit(items, read_metadata(spark, folder, skip_hidden=True), FILE_SETTINGS, codebook, split)
+    fitted = fit(items, tags, FILE_SETTINGS, codebook, split)
     return report_lines(evaluate(fitted), fitted.labels)
 
 
