@@ -809,7 +809,8 @@ def entities_from_directory(spark, sf):
 @query
 def metadata_from_files(spark, sf):
     """Customers as JSON files; the tag of each is read back."""
-    tagged = table(spark, sf, "customer").select("c_name", F.array("c_mktsegment", F.lit("other")).alias("tags"))
+    customers = wide_table(spark, sf, "customer", "c_name", "c_mktsegment")
+    tagged = customers.select("c_name", F.array("c_mktsegment", F.lit("other")).alias("tags"))
     folder = written_files(tagged, "metadata", "json")
     return read_metadata(spark, folder, skip_hidden=True).groupBy("tag").agg(F.count("*").alias("n"))
 
