@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphist.llm.texts import SortedHashes, Texts, all_slices, code_points, gram_hashes
+from glyphist.session import release, stored
 
 ORDER = 4
 # A task hands its counts on when it holds more n-grams than this.
 TASK_GRAMS = 1_000_000
-# Training texts whose entropies set the scale of scores and the limit of rejection.
-CALIBRATION_ROWS = 2_000
+# Share of the training texts of a language that its limit of rejection lets pass.
 REJECT_ABOVE = 0.999
+# Scales of scores to choose from.
+SCALES = np.geomspace(0.05, 20, 30)
+# Shares of the rows, on either side of a quantile, that are looked at one by one.
+QUANTILE_MARGIN = 0.001
 UNDETERMINED = "und"
 
 _PAD = 2
@@ -251,7 +255,7 @@ def posterior_exponent(entropy: np.ndarray, length: np.ndarray, scale: float) ->
 def train_language_model(
     training: DataFrame,
     order: int = ORDER,
-    calibration_rows: int = CALIBRATION_ROWS,
+    calibration_rows: int | None = None,
     reject_above: float = REJECT_ABOVE,
 ) -> LanguageModel:
     """Fit on all rows of ``training (doc_id, lang, text)``, all with a lang and a text.
@@ -259,8 +263,8 @@ def train_language_model(
     Every text is counted, and the model keeps every n-gram of every language: discounts,
     continuation counts and context totals rest on all of them. One row per language and
     distinct n-gram reaches the driver, and a table of distinct n-grams by languages the
-    tasks. The scale of scores and the limits of rejection come from ``calibration_rows``
-    texts with the lowest hashed ids.
+    tasks. The scale of scores and the limits of rejection come from all texts too, unless the
+    caller asks for ``calibration_rows`` with the lowest hashed ids.
     """
     counts = gram_counts(training, order).toArrow()
     if counts.num_rows == 0:
@@ -275,36 +279,75 @@ def train_language_model(
     table[inverse.reshape(-1), lang] = counts["n"].to_numpy()
     model = KneserNey(langs, rows, table, order)
 
-    limit = training.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id")
-    ids = limit.limit(calibration_rows).select("doc_id").distinct()
-    sample = training.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+    if calibration_rows is not None:
+        limit = training.select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id")
+        ids = limit.limit(calibration_rows).select("doc_id").distinct()
+        training = training.join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in all_slices(batches):
             entropy, length = model.entropies(texts)
+            own = np.flatnonzero(length > 0)
+            true = np.array([index[x] for x in part.column("lang").to_pylist()], np.int64)[own]
+            entropy, length, at = entropy[own], length[own], np.arange(len(own))
+            losses = []
+            for scale in SCALES:
+                exponent = posterior_exponent(entropy, length, scale)
+                losses.append(float((exponent[at, true] + np.log(np.exp(-exponent).sum(axis=1))).sum()))
+            # A row per text, and one for the losses of all of them.
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(length)],
-                ["lang", "entropy", "length"],
+                [
+                    pa.array([*(langs[i] for i in true), None], pa.string()),
+                    pa.array([*entropy[at, true].tolist(), None], pa.float64()),
+                    pa.array([None] * len(own) + [losses], pa.list_(pa.float64())),
+                ],
+                ["lang", "entropy", "losses"],
             )
 
-    seen = sample.mapInArrow(run, "lang string, entropy array<double>, length long").limit(2 * calibration_rows)
-    seen = seen.filter("length > 0").toArrow()
-    entropy = np.array(seen["entropy"].to_pylist()).reshape(-1, len(langs))
-    length = seen["length"].to_numpy()
-    true = np.array([index.get(x, -1) for x in seen["lang"].to_pylist()], np.int64)
-    known = true >= 0
-    best_scale, best_loss = 1.0, np.inf
-    for scale in np.geomspace(0.05, 20, 30):
-        exponent = posterior_exponent(entropy[known], length[known], scale)
-        loss = (exponent[np.arange(known.sum()), true[known]] + np.log(np.exp(-exponent).sum(axis=1))).sum()
-        if loss < best_loss:
-            best_scale, best_loss = float(scale), loss
-    limits = np.full(len(langs), np.inf)
-    for i in range(len(langs)):
-        own = entropy[true == i, i]
-        if len(own):
-            limits[i] = np.quantile(own, reject_above)
-    return LanguageModel(model, best_scale, limits)
+    seen = training.select("lang", "text").mapInArrow(run, "lang string, entropy double, losses array<double>")
+    seen = stored(seen, "calibration")
+    try:
+        sums = seen.agg(*[F.sum(F.get("losses", F.lit(i))) for i in range(len(SCALES))]).first()
+        found = quantiles(seen.filter(F.col("lang").isNotNull()), "lang", "entropy", reject_above)
+    finally:
+        release(seen)
+    best = float(SCALES[int(np.argmin(sums))]) if found else 1.0
+    return LanguageModel(model, best, np.array([found.get(x, np.inf) for x in langs]))
+
+
+def quantiles(rows: DataFrame, key: str, value: str, share: float, margin: float = QUANTILE_MARGIN) -> dict[str, float]:
+    """The exact quantile of the values of every key, between two of them by their distance.
+
+    A sketch gives two values around it; the rows below them are counted, and only the distinct
+    values between them, about twice ``margin`` of the rows, reach the driver.
+    """
+    ends = [max(0.0, share - margin), min(1.0, share + margin)]
+    around = F.percentile_approx(value, ends, 100_000)
+    bounds = rows.groupBy(key).agg(F.count(value).alias("n"), around.alias("ends"))
+    counts = {r[key]: (r.n, *r.ends) for r in bounds.collect()}
+    if not counts:
+        return {}
+    limits = rows.sparkSession.createDataFrame([(k, *x[1:]) for k, x in counts.items()], f"{key} string, low double, high double")
+    near = rows.filter(F.col(value).isNotNull()).join(F.broadcast(limits), key).filter(F.col(value) <= F.col("high"))
+    place = F.when(F.col(value) >= F.col("low"), F.col(value))
+    band: dict[str, list[tuple[float, int]]] = {k: [] for k in counts}
+    below = dict.fromkeys(counts, 0)
+    for k, v, n in near.groupBy(key, place.alias("v")).agg(F.count("*").alias("n")).collect():
+        if v is None:
+            below[k] = n
+        else:
+            band[k].append((v, n))
+    result = {}
+    for k, (n, *_) in counts.items():
+        values, times = map(np.array, zip(*sorted(band[k])))
+        rank = (n - 1) * share
+        ranks = np.array([int(rank), min(int(rank) + 1, n - 1)])
+        last = below[k] + np.cumsum(times)
+        if ranks[0] < below[k] or ranks[1] >= last[-1]:
+            return quantiles(rows, key, value, share, 10 * margin)
+        low, high = values[np.searchsorted(last, ranks, "right")].tolist()
+        result[k] = low + (rank - int(rank)) * (high - low)
+    return result
 
 
 def identify_languages(

@@ -194,6 +194,38 @@ def test_a_rare_language_is_learned_beside_millions_of_grams(spark):
     assert lang.tolist() == ["zz"]
 
 
+def test_limits_and_scale_of_languages_come_from_all_texts(spark):
+    from glyphist.llm.language_id import REJECT_ABOVE, SCALES, posterior_exponent
+
+    rng = random.Random(17)
+    words = {"aa": "the cat sat on a mat".split(), "bb": "el gato the sat la mat".split()}
+    langs = [rng.choice("ab") * 2 for _ in range(4000)]
+    texts = [" ".join(rng.choices(words[lang], k=rng.randrange(1, 8))) for lang in langs]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))] + [(5000, "", "aa")]
+    model = train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    data = [t.encode() for t in texts]
+    joined = Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    entropy, length = model.model.entropies(joined)
+    true = np.array([model.model.langs.index(lang) for lang in langs])
+    own = entropy[np.arange(len(true)), true]
+    assert np.allclose(model.limits, [np.quantile(own[true == i], REJECT_ABOVE) for i in range(2)], rtol=1e-12)
+    exponents = [posterior_exponent(entropy, length, scale) for scale in SCALES]
+    losses = [(e[np.arange(len(true)), true] + np.log(np.exp(-e).sum(axis=1))).sum() for e in exponents]
+    assert model.scale == SCALES[int(np.argmin(losses))]
+
+
+def test_quantiles_are_exact(spark):
+    from glyphist.llm.language_id import quantiles
+
+    rng = np.random.default_rng(3)
+    values = {"aa": rng.normal(size=9000), "bb": rng.integers(0, 5, 7000) / 4, "cc": np.array([2.5])}
+    rows = [(k, float(v)) for k, own in values.items() for v in own] + [("aa", None)]
+    frame = spark.createDataFrame(rows, "lang string, v double").repartition(5)
+    for share in (0.0, 0.5, 0.9, 0.999, 1.0):
+        found = quantiles(frame, "lang", "v", share)
+        assert found == pytest.approx({k: np.quantile(own, share) for k, own in values.items()}, rel=1e-12)
+
+
 def test_language_probabilities_add_up(spark):
     from glyphist.llm.language_id import ORDER, GramCounter, KneserNey, padded_points
 
