@@ -23,7 +23,8 @@ from glyphist.session import stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHED_PIECES = 150_000
+# Parts, and words, whose ids a task keeps: a half of them is dropped when there are more.
+CACHED_PIECES = 400_000
 # Limits of the search for better fillings; the best found so far is always whole.
 SEARCH_NODES = 200
 FILLINGS_PER_NODE = 20_000
@@ -55,7 +56,10 @@ class TextIds:
         self._half = cached // 2
 
     def _new(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self._letters)
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            letters = self._letters[ord(" ")] + word[1:]  # other ASCII letters stand for themselves
+        else:
+            letters = word.encode().decode("latin-1").translate(self._letters)
         return array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
@@ -69,12 +73,22 @@ class TextIds:
             self._words[word] = ids
         return ids
 
+    def _alone(self, part: str) -> bytes:
+        """Ids of letters after a space, made once whether a mark follows or not."""
+        ids = self._parts.get(part)
+        if ids is None:
+            ids = self._old_parts.get(part)
+            if ids is None:
+                ids = self._new(" " + part)
+            self._parts[part] = ids
+        return ids
+
     def _part(self, part: str) -> bytes | None:
         # Letters alone, or before one mark, are cut as the pattern cuts them.
         if part.isalpha():
-            return self._new(" " + part)
+            return self._alone(part)
         if part[:-1].isalpha() and part[-1] in ".,;:!?":
-            return self._word(" " + part[:-1]) + self._word(part[-1])
+            return self._alone(part[:-1]) + self._word(part[-1])
         if not part or part[-1].isspace():
             return None
         return b"".join(map(self._word, self._find(" " + part)))

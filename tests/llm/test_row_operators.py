@@ -60,6 +60,18 @@ def test_tokens_are_those_of_the_library(text):
         assert got == ids.encode(t, add_special_tokens=False).ids
 
 
+def test_a_word_is_cut_into_tokens_once():
+    """Its ids are those before a mark too, and 100,000 other words do not push them out."""
+    encoder = packing.TextIds(BYTE_VOCABULARY)
+    library, asked = encoder._model, []
+    encoder._model = type("Counting", (), {"tokenize": lambda _, word: asked.append(word) or library.tokenize(word)})()
+    far = " ".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(100_000))
+    texts = ["a harbour", "a harbour, naïve", "the harbour. naïve; of", far, far[:40], "one harbour"]
+    want = [Tokenizer.from_file(BYTE_VOCABULARY).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == want
+    assert asked.count("Ġharbour") == 1 and len(asked) == len(set(asked))
+
+
 def test_token_counts_of_odd_rows(spark):
     docs = helpers.odd_table(spark)
     library = Tokenizer.from_file(WORD_VOCABULARY)
