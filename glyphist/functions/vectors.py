@@ -229,6 +229,21 @@ class SparseRows:
         owners = self.owners
         return np.stack([np.bincount(self.words, self.values * f[owners], dim) for f in factors.T])
 
+    def signed_sums(self, signs: np.ndarray, dim: int) -> np.ndarray:
+        """``weighted_sums`` of factors -1, 0 and 1.
+
+        With few classes, entries of rows with equal factors are added together first, so that
+        each entry is added once and not once for every class.
+        """
+        n_classes = signs.shape[1]
+        if n_classes > 8 or 3**n_classes * dim > len(self.words):
+            return self.weighted_sums(signs, dim)
+        powers = 3 ** np.arange(n_classes)
+        kinds = ((signs + 1) @ powers.astype(float)).astype(np.int64) * dim
+        cells = np.bincount(np.repeat(kinds, np.diff(self.at)) + self.words, self.values, 3**n_classes * dim)
+        factors = np.arange(3**n_classes)[:, None] // powers % 3 - 1.0
+        return factors.T @ cells.reshape(-1, dim)
+
 
 def sparse_rows(column: pa.Array, dim: int) -> SparseRows:
     """Rows of a ``struct<words, freqs>`` column; anything that is no sparse row of ``dim`` is an error."""

@@ -2,7 +2,8 @@
 
 A block is some thousand rows as packed numbers: all values of dense rows, or the words and
 values of sparse ones. Reading it back in a task is a memory copy, where an array column is
-converted value by value in every step.
+converted value by value in every step. Numbers of sparse rows take as few bytes as hold them
+exactly, since a step of many is mostly the reading of its blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ BLOCK_BYTES = 1 << 20
 STEP_BYTES = 64 << 20
 
 _DENSE = {"labels": "binary", "points": "binary"}
-_SPARSE = {"labels": "binary", "sizes": "binary", "words": "binary", "freqs": "binary"}
+_SPARSE = {"labels": "binary", "sizes": "binary", "words": "binary", "freqs": "binary", "short": "boolean"}
+# Sparse blocks from so many entries on are written in short form; a smaller one is read in no time.
+SHORT_ENTRIES = 1_024
 
 
 @dataclass(frozen=True)
@@ -59,8 +62,7 @@ def to_blocks(rows: DataFrame, dim: int, label: str | None = None) -> Blocks:
             points = feature_rows(batch.column("features"), dim)
             labels = np.ascontiguousarray(batch.column("label").to_numpy(zero_copy_only=False))
             for part in _runs(points):
-                columns = [labels[part], *_packed_rows(points[part])]
-                arrays = [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns]
+                arrays = [pa.array([c]) for c in _packed_block(labels[part], points[part])]
                 yield pa.RecordBatch.from_arrays(arrays, list(fields))
 
     schema = ", ".join(f"{name} {kind}" for name, kind in fields.items())
@@ -82,22 +84,59 @@ def _runs(points: np.ndarray | SparseRows) -> Iterator[slice]:
         first = last
 
 
-def _packed_rows(points: np.ndarray | SparseRows) -> list[np.ndarray]:
-    if isinstance(points, SparseRows):
-        return [np.diff(points.at).astype(np.int32), points.words.astype(np.int32), points.values]
-    return [points]
+def _packed_block(labels: np.ndarray, points: np.ndarray | SparseRows) -> list[bytes | bool]:
+    if not isinstance(points, SparseRows):
+        return [np.ascontiguousarray(c).tobytes() for c in (labels, points)]
+    sizes = np.diff(points.at)
+    if len(points.words) < SHORT_ENTRIES:
+        columns = labels, sizes.astype(np.int32), points.words.astype(np.int32), points.values
+        return [*[np.ascontiguousarray(c).tobytes() for c in columns], False]
+    return [_packed_floats(labels), _packed_counts(sizes), _packed_counts(points.words), _packed_floats(points.values), True]
+
+
+def _packed_counts(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in the smallest type that holds them, after its size."""
+    small = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    return np.int64(small.itemsize).tobytes() + small.tobytes()
+
+
+def _counts(packed: pa.Buffer) -> np.ndarray:
+    size = int(np.frombuffer(packed, np.int64, 1)[0])
+    return np.frombuffer(packed, f"u{size}", offset=8).astype(np.int64)
+
+
+def _packed_floats(numbers: np.ndarray) -> bytes:
+    """The distinct numbers, by their bits, and the place of each among them; as they are if many differ."""
+    numbers = np.ascontiguousarray(numbers)
+    distinct, places = np.unique(numbers.view(np.int64), return_inverse=True)
+    if len(distinct) > min(65_536, max(1, len(numbers) // 2)):
+        return np.int64(0).tobytes() + numbers.tobytes()
+    small = places.astype(np.min_scalar_type(max(0, len(distinct) - 1)))
+    return np.int64(len(distinct)).tobytes() + distinct.tobytes() + small.tobytes()
+
+
+def _floats(packed: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    if n == 0:
+        return np.frombuffer(packed, offset=8)
+    return np.frombuffer(packed, np.float64, n, 8)[np.frombuffer(packed, np.min_scalar_type(n - 1), offset=8 + 8 * n)]
 
 
 def block_arrays(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray | SparseRows]]:
     """(labels, rows) of every block in a batch."""
+    dense = batch.schema.names == list(_DENSE)
     for row in range(batch.num_rows):
-        buffers = [column[row].as_buffer() for column in batch.columns]
-        labels = np.frombuffer(buffers[0])
-        if batch.schema.names == list(_DENSE):
-            yield labels, np.frombuffer(buffers[1]).reshape(-1, dim)
+        buffers = [column[row].as_buffer() for column in batch.columns[: 2 if dense else 4]]
+        if dense:
+            yield np.frombuffer(buffers[0]), np.frombuffer(buffers[1]).reshape(-1, dim)
+            continue
+        if batch.column("short")[row].as_py():
+            labels, values = _floats(buffers[0]), _floats(buffers[3])
+            sizes, words = _counts(buffers[1]), _counts(buffers[2])
         else:
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(buffers[1], np.int32), dtype=np.int64)])
-            yield labels, SparseRows(at, np.frombuffer(buffers[2], np.int32), np.frombuffer(buffers[3]))
+            labels, values = np.frombuffer(buffers[0]), np.frombuffer(buffers[3])
+            sizes, words = np.frombuffer(buffers[1], np.int32), np.frombuffer(buffers[2], np.int32)
+        yield labels, SparseRows(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), words, values)
 
 
 _PART = "part int, key int, vector binary"

@@ -61,7 +61,7 @@ def _gradient_sums(blocks: Blocks, classes: np.ndarray, weights: np.ndarray) ->
                 side = np.where(labels[:, None] == classes, 1.0, -1.0)
                 if isinstance(points, SparseRows):
                     active = side * points.margins(weights) < 1.0
-                    totals[:, :dim] -= points.weighted_sums(active * side, dim)
+                    totals[:, :dim] -= points.signed_sums(active * side, dim)
                 else:
                     active = side * (points @ weights.T) < 1.0
                     totals[:, :dim] -= (active * side).T @ points

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphist.functions.vectors import SparseRows
 from glyphist.operators import codebook as cb
 from glyphist.operators import histogram as hg
-from glyphist.operators.blocks import to_blocks
+from glyphist.operators.blocks import block_arrays, to_blocks
 from glyphist.operators.descriptors import extracted, line_descriptors, sub_vectors
 from glyphist.operators.training import training_rows
 from glyphist.plans import registry
@@ -239,6 +240,40 @@ def test_sparse_bytes_follow_the_words_and_not_the_codebook(spark):
     assert sizes == [200 * 16, 200 * 16]
 
 
+def test_large_sparse_blocks_are_short_and_exact(spark):
+    """An entry takes some bytes and not twelve where words and frequencies are few, and all numbers come back."""
+    rng = np.random.default_rng(5)
+    for values in (np.arange(1, 8) / 7, rng.random(20_000)):
+        rows = []
+        for i in range(3_000):
+            words = sorted(rng.choice(100, i % 7, replace=False).tolist())
+            rows.append((i, float(i % 5), (words, rng.choice(values, len(words)).tolist())))
+        schema = "id long, label double, features struct<words: array<int>, freqs: array<double>>"
+        blocks = to_blocks(spark.createDataFrame(rows, schema).coalesce(1), 100, "label")
+        got, size = [], 0
+        for batch in blocks.table.toArrow().to_batches():
+            size += sum(len(x.as_buffer()) for name in ("sizes", "words", "freqs") for x in batch.column(name))
+            for labels, part in block_arrays(batch, 100):
+                for i, label in enumerate(labels.tolist()):
+                    own = part[i : i + 1]
+                    got.append((label, own.words.tolist(), own.values.tolist()))
+        blocks.release()
+        assert sorted(got) == sorted((label, *features) for _, label, features in rows)
+        if len(values) == 7:
+            assert size < 4 * sum(len(w) for _, _, (w, _) in rows)
+
+
+def test_signed_sums_are_weighted_sums():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(0, 5, 4_000)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    rows = SparseRows(at, rng.integers(0, 30, at[-1]), rng.random(at[-1]))
+    for n_classes in (1, 2, 4, 6, 12):
+        signs = rng.integers(-1, 2, (4_000, n_classes)).astype(float)
+        assert np.allclose(rows.signed_sums(signs, 30), rows.weighted_sums(signs, 30), rtol=1e-12, atol=1e-9)
+    assert not SparseRows(np.zeros(4, int), np.zeros(0, int), np.zeros(0)).signed_sums(np.ones((3, 2)), 30).any()
+
+
 @pytest.mark.parametrize("words, freqs", [([1, 0], [0.5, 0.5]), ([0, 7], [0.5, 0.5]), ([0], [0.5, 0.5]), ([0], [float("nan")]), ([0, None], [0.1, 0.2]), ([-1], [1.0])])
 def test_rows_that_are_no_sparse_rows_are_an_error(spark, words, freqs):
     with pytest.raises(Exception, match="feature vector"):
