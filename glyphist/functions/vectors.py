@@ -81,16 +81,57 @@ def _nearest_block(points: np.ndarray, centroids: np.ndarray, norms: np.ndarray)
     return word
 
 
+class _RoughScores:
+    """The scores of ``_nearest_block`` in single precision: a fast first look that settles most rows.
+
+    A row is clear if only one word comes within twice the rounding bound of its best one; numbers
+    beyond single precision, or near its smallest, leave a row unclear.
+    """
+
+    def __init__(self, centroids: np.ndarray, norms: np.ndarray):
+        k, dim = centroids.shape
+        with np.errstate(over="ignore"):
+            self._table = np.hstack([-2.0 * centroids, norms[:, None]]).astype(np.float32)
+        # One product gives the number of words within the bound, and the word if there is one.
+        self._which = np.vstack([np.ones(k), np.arange(k)]).astype(np.float32)
+        self._norm, self._bound = norms.max(), 2 * (dim + 8) * np.finfo(np.float32).eps
+        self._least = dim * 1e-36
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest word of each point, and whether it may be another."""
+        # A column per point: the least of all words is taken for many points at once.
+        columns = np.ones((points.shape[1] + 1, len(points)), np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            columns[:-1] = points.T
+            score = self._table @ columns
+            best = score.min(axis=0)
+            slack = self._bound * (np.einsum("ij,ij->i", points, points) + self._norm) + self._least
+            limit = np.nextafter((best + slack).astype(np.float32), np.float32(np.inf))
+            count, word = self._which @ (score <= limit).astype(np.float32)
+        return word.astype(np.int64), count != 1
+
+
 def nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest word of each point (ties: lowest word) and its squared distance."""
+    """Nearest word of each point (ties: lowest) and its squared distance."""
     words = np.empty(len(points), dtype=np.int32)
     distance = np.empty(len(points))
     norms = np.square(centroids).sum(axis=1)
+    # Beyond 2^24 words single precision does not tell their numbers apart.
+    rough = _RoughScores(centroids, norms) if len(centroids) < 1 << 24 else None
     block = max(1, BLOCK_CELLS // max(centroids.shape))
     for start in range(0, len(points), block):
         part = slice(start, start + block)
-        words[part] = _nearest_block(points[part], centroids, norms)
-        distance[part] = _paired_distances(points[part], centroids[words[part]])
+        own = points[part]
+        if rough is None:
+            found = _nearest_block(own, centroids, norms)
+        else:
+            found, unclear = rough.nearest(own)
+            if unclear.any():
+                found[unclear] = _nearest_block(own[unclear], centroids, norms)
+                # Vectors too close together for a first look.
+                rough = rough if 2 * np.count_nonzero(unclear) <= len(own) else None
+        words[part] = found
+        distance[part] = _paired_distances(own, centroids[found])
     return words, distance
 
 

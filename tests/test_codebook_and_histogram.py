@@ -138,6 +138,27 @@ def test_kmeans_training(spark, sf):
     assert 0 < ours <= first.summary.trainingCost
 
 
+def test_kmeans_steps_read_blocks_and_give_a_whole_model(spark, sf, monkeypatch):
+    """Spark ML, which would hold all vectors as objects, is given the centres only."""
+    from pyspark.ml.clustering import KMeans
+
+    from glyphist.operators.restarts import train_run
+
+    fit, given = KMeans.fit, []
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows, *more: (given.append(rows.count()), fit(self, rows, *more))[1])
+    points = registry.line_item_descriptors(spark, sf)
+    model = cb.train_codebook(points, k=12, iterations=4, seed=5)
+    assert given == [12] and points.count() > 12
+    run = train_run(points, 12, 4, seed=5)
+    assert sorted(map(tuple, model.clusterCenters())) == sorted(map(tuple, run.centres))
+    assert (model.getK(), model.getMaxIter(), model.getInitMode()) == (12, 4, "k-means||")
+    summary = model.summary
+    assert (summary.k, summary.numIter, summary.trainingCost) == (12, run.steps, pytest.approx(run.cost))
+    assert sum(summary.clusterSizes) == points.count()
+    _, costs = cb.lloyd(points, Codebook(run.centres), 2)
+    assert costs[1] <= costs[0] <= run.cost
+
+
 def test_kmeans_with_fewer_distinct_points_than_words(spark):
     points = frame(spark, [(0, 0), (1, 1), (5, 5)] * 10)
     assert cb.codebook_of(cb.train_codebook(points, k=8)).size <= 3

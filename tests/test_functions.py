@@ -65,6 +65,26 @@ def test_nearest_far_from_origin():
     assert np.array_equal(word, vectors.squared_distances(points, words).argmin(axis=1))
 
 
+def test_few_rows_need_double_precision(monkeypatch):
+    rng = np.random.default_rng(5)
+    points, words = rng.random((20_000, 4)), rng.random((100, 4))
+    double, seen = vectors._nearest_block, []
+    monkeypatch.setattr(vectors, "_nearest_block", lambda p, *more: (seen.append(len(p)), double(p, *more))[1])
+    word, _ = vectors.nearest(points, words)
+    assert sum(seen) < 200
+    assert np.array_equal(word, vectors.squared_distances(points, words).argmin(axis=1))
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1e-40, 1e-25, 1e-19, 1e18, 1e25, 1e100])
+def test_nearest_beyond_single_precision(scale):
+    rng = np.random.default_rng(6)
+    words = rng.normal(size=(40, 3)) * scale * rng.choice([1, 1e-20, 1e20], size=(40, 1))
+    points = np.vstack([rng.normal(size=(300, 3)) * scale, words, (words + words[::-1]) / 2])
+    direct = vectors.squared_distances(points, words)
+    word, distance = vectors.nearest(points, words)
+    assert np.array_equal(word, direct.argmin(axis=1)) and np.array_equal(distance, direct.min(axis=1))
+
+
 def test_margins_match_product():
     rng = np.random.default_rng(4)
     points, weights = rng.normal(size=(20, 7)), rng.normal(size=(3, 7))
