@@ -27,6 +27,8 @@ from glyphist.schema import LinearModel
 
 DEFAULT_ITERATIONS = 200
 CLASSES_PER_JOB = 256
+# Numbers that a task of a linear SVM's step reads at least: with fewer, starting the task takes longer.
+FIT_TASK_BYTES = 32 << 20
 
 # The thresholds given for a classifier over all categories, and for
 # single food categories.
@@ -126,12 +128,18 @@ def train_linear_svc(
 ) -> LinearModel:
     """Spark ML's linear SVM in a one-vs-rest loop; labels are 0.0 .. n_classes - 1.
 
-    Sparse rows become dense vectors of ``dim`` numbers, as the fit asks for.
+    Sparse rows become dense vectors of ``dim`` numbers, as the fit asks for. A step of a class is a
+    job of its own, so the number of its tasks follows the bytes and not the cores; classes
+    are fitted beside each other.
     """
     if is_sparse(rows):
         if dim is None:
             raise ValueError("sparse rows need their dimension")
-        rows = rows.withColumn("features", dense_features("features", dim))
+        tasks = _fit_tasks(rows.count(), dim)
+        rows = rows.withColumn("features", dense_features("features", dim)).coalesce(tasks)
+    else:
+        n, width = rows.agg(F.count("*"), F.max(F.size("features"))).first()
+        rows = rows.coalesce(_fit_tasks(n, width or 0))
     svc = LinearSVC(maxIter=iterations, regParam=reg, fitIntercept=False, standardization=False)
     data = rows.select(F.col("label").cast("double").alias("label"), dense_vector("features").alias("features"))
     fitted = OneVsRest(classifier=svc, parallelism=parallelism).fit(data)
@@ -142,6 +150,10 @@ def train_linear_svc(
     )
 
 
+def _fit_tasks(n: int, dim: int) -> int:
+    return max(1, -(-8 * n * dim // FIT_TASK_BYTES))
+
+
 def top_scores(rows: DataFrame, model: LinearModel, top: int) -> DataFrame:
     """``(id, label, rank, class, margin, predicted)``: the ``top`` classes of each row by margin.
 

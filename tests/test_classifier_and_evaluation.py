@@ -77,6 +77,18 @@ def test_linear_svc(spark):
     assert best.agg(F.avg("hit")).first()[0] > 0.95
 
 
+def test_tasks_of_a_linear_svc_step_follow_the_bytes(spark, monkeypatch):
+    sparse, dense = sparse_and_dense(spark)
+    fit, tasks = cl.OneVsRest.fit, []
+    monkeypatch.setattr(cl.OneVsRest, "fit", lambda self, data: (tasks.append(data.rdd.getNumPartitions()), fit(self, data))[1])
+    for limit, expected in ((cl.FIT_TASK_BYTES, 1), (-(-8 * 9 * dense.count() // 3), 3)):
+        monkeypatch.setattr(cl, "FIT_TASK_BYTES", limit)
+        for rows, dim in ((sparse.repartition(16), 9), (dense.repartition(16), None)):
+            tasks.clear()
+            model = cl.train_linear_svc(rows, 4, 3, dim=dim)
+            assert tasks == [expected] and model.weights.shape == (4, 9)
+
+
 def test_thresholds(spark):
     df = spark.createDataFrame([(1, 0.0, [1.0]), (2, 1.0, [-1.0])], ROW)
     model = LinearModel([0.0, 1.0], [[0.5], [-0.5]]).with_threshold(0.5).with_thresholds({1.0: -0.6})
