@@ -306,3 +306,32 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     for found in (manifest.read_files(spark, str(tmp_path)), manifest.list_entities(spark, str(tmp_path))):
         assert found.rdd.getNumPartitions() <= few + spark.sparkContext.defaultParallelism
         assert found.select("path").distinct().count() == 32 * few + 100
+
+
+def test_folders_of_many_files_are_listed_and_read_without_spark_s_list(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b%20c"
+    (folder / "k=1" / "deep").mkdir(parents=True)
+    contents = {"a b.txt": b"1", "p+q.txt": b"22\n", "x%20y.txt": b"", "\u00e9 \u00fc.bin": bytes(range(256)), "a[1]{b}.txt": b"5" * 100}
+    contents |= {f"{i}.txt": str(i).encode() for i in range(20)} | {"_h.txt": b"h", ".i.txt": b"", ".a.txt.crc": b"sum"}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    for nested in ("k=1", "k=1/deep"):
+        (folder / nested / "z.txt").write_bytes(b"z")
+    (folder / "link.txt").symlink_to(folder / "3.txt")
+    (folder / "broken.txt").symlink_to(folder / "none")
+    plain, uri = str(folder), folder.as_uri().replace("%20", " ").replace("%25", "%") + "/"
+    by_spark = None
+    for at, limit, piece, batch in ((plain, 1000, 1000, 1000), (plain, 5, 1000, 1000), (uri, 5, 7, 30)):
+        for name, value in (("INDEXED_FILES", limit), ("BATCH_FILES", piece), ("BATCH_BYTES", batch)):
+            monkeypatch.setattr(manifest, name, value)
+        frames = [manifest.list_entities(spark, at), manifest.read_files(spark, at, skip_hidden=True)]
+        frames.append(manifest.read_files(spark, at, "a[1]*", True))
+        if limit < 1000:
+            assert not any("binaryFile" in f._jdf.queryExecution().toString() for f in frames)
+        got = [sorted(map(tuple, f.collect())) for f in frames]
+        by_spark = by_spark or got
+        assert got == by_spark
+        with pytest.raises(ValueError, match="1 hidden"):
+            manifest.read_files(spark, at)
+    assert [len(rows) for rows in by_spark] == [28, 26, 1]
+    assert dict(by_spark[1])[f"file:{folder}/link.txt"] == b"3"
