@@ -335,3 +335,15 @@ def test_folders_of_many_files_are_listed_and_read_without_spark_s_list(spark, t
             manifest.read_files(spark, at)
     assert [len(rows) for rows in by_spark] == [28, 26, 1]
     assert dict(by_spark[1])[f"file:{folder}/link.txt"] == b"3"
+
+
+def test_file_run_keeps_no_list_of_many_files_in_the_driver(spark, tmp_path, monkeypatch):
+    texts = ["one\ntwo\n\nthree", "", None, "\u00e9t\u00e9 " * 300, "A" * 50, "A" * 50, *[f"line {i}\n{i}" for i in range(6)]]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    by_spark = sorted(map(tuple, registry.file_run(spark, str(tmp_path)).collect()))
+    assert sum(n for _, n in by_spark) == 4 + 1 + 1 + 1 + 2 + 12
+    monkeypatch.setattr(manifest, "INDEXED_FILES", 5)
+    found = registry.file_run(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == by_spark
